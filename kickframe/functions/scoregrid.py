@@ -1,84 +1,71 @@
-"""Scoreline probabilities of two Poisson sides as column expressions.
+"""Scoreline probabilities of two Poisson sides as SQL expressions.
 
-Markets are sums over the grid that factor into per-side sums, so they are
-written as short arithmetic that stays inside generated code; only the full grid
-and the ranked scorelines build an array.
+Markets are sums over the grid that factor into per-side sums, so they are short
+arithmetic that stays inside generated code; only the full grid and the ranked
+scorelines build an array. The expressions are SQL text because a grid has over
+a hundred cells, and one parsed text is far cheaper to build than a thousand
+column objects.
 """
 
 from __future__ import annotations
 
 from math import factorial
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+LOW = ((0, 0), (0, 1), (1, 0), (1, 1))
 
 
-def pmf(rate: Column, k: int) -> Column:
+def pmf(rate: str, k: int) -> str:
     """Poisson probability of exactly k goals."""
-    return F.exp(-rate) * F.pow(rate, F.lit(float(k))) / F.lit(float(factorial(k)))
+    return f"exp(-{rate}) * power({rate}, {k}.0D) / {factorial(k)}.0D"
 
 
-def pmf_columns(home: str, away: str, max_goals: int) -> dict[str, Column]:
+def pmf_columns(home: str, away: str, max_goals: int) -> dict[str, str]:
     """Helper columns _h0.._hN and _a0.._aN."""
-    out = {f"_h{k}": pmf(F.col(home), k) for k in range(max_goals + 1)}
-    return out | {f"_a{k}": pmf(F.col(away), k) for k in range(max_goals + 1)}
+    out = {f"_h{k}": pmf(home, k) for k in range(max_goals + 1)}
+    return out | {f"_a{k}": pmf(away, k) for k in range(max_goals + 1)}
 
 
-def _sum(columns: list[Column]) -> Column:
-    total = columns[0]
-    for c in columns[1:]:
-        total = total + c
-    return total
-
-
-def _cell(i: int, j: int) -> Column:
-    return F.col(f"_h{i}") * F.col(f"_a{j}")
+def corrected_cells(lam: str, mu: str, rho: str) -> dict[str, str]:
+    """_c00.._c11: the four dependent low scores, corrected, not below zero."""
+    factor = {
+        (0, 0): f"(1.0D - {lam} * {mu} * {rho})",
+        (0, 1): f"(1.0D + {lam} * {rho})",
+        (1, 0): f"(1.0D + {mu} * {rho})",
+        (1, 1): f"(1.0D - {rho})",
+    }
+    return {f"_c{i}{j}": f"greatest(_h{i} * _a{j} * {factor[i, j]}, 0.0D)" for i, j in LOW}
 
 
-def low_score_factor(i: int, j: int, lam: Column, mu: Column, rho: Column) -> Column | None:
-    """Correction of the four dependent low scores; None elsewhere."""
-    one = F.lit(1.0)
-    return {
-        (0, 0): one - lam * mu * rho,
-        (0, 1): one + lam * rho,
-        (1, 0): one + mu * rho,
-        (1, 1): one - rho,
-    }.get((i, j))
+def plain_cells() -> dict[str, str]:
+    """The same columns without a correction, for independent sides."""
+    return {f"_c{i}{j}": f"_h{i} * _a{j}" for i, j in LOW}
 
 
-def corrected_cells(lam: str, mu: str, rho: Column) -> dict[str, Column]:
-    """_c00.._c11: the corrected low-score cells, not below zero."""
-    return {
-        f"_c{i}{j}": F.greatest(
-            _cell(i, j) * low_score_factor(i, j, F.col(lam), F.col(mu), rho), F.lit(0.0)
-        )
-        for i in (0, 1) for j in (0, 1)
-    }
+def _delta(i: int, j: int) -> str:
+    return f"(_c{i}{j} - _h{i} * _a{j})"
 
 
-def _delta(i: int, j: int) -> Column:
-    return F.col(f"_c{i}{j}") - _cell(i, j)
+def _upto(side: str, k: int) -> str:
+    return "(" + " + ".join(f"_{side}{x}" for x in range(k + 1)) + ")"
 
 
-def grid_masses(max_goals: int) -> dict[str, Column]:
+def grid_masses(max_goals: int) -> dict[str, str]:
     """Unnormalised mass of each market, from the helper columns."""
     n = max_goals
-    h = [F.col(f"_h{k}") for k in range(n + 1)]
-    a = [F.col(f"_a{k}") for k in range(n + 1)]
-    cum_h = [_sum(h[: k + 1]) for k in range(n + 1)]
-    cum_a = [_sum(a[: k + 1]) for k in range(n + 1)]
-    low = F.col("_c00") + F.col("_c01") + F.col("_c10")
-    under_25 = low + F.col("_c11") + _cell(0, 2) + _cell(2, 0)
-    under_35 = under_25 + _cell(0, 3) + _cell(1, 2) + _cell(2, 1) + _cell(3, 0)
+    low = "_c00 + _c01 + _c10"
+    under_25 = f"{low} + _c11 + _h0 * _a2 + _h2 * _a0"
+    wins = " + ".join(f"_h{i} * {_upto('a', i - 1)}" for i in range(1, n + 1))
+    losses = " + ".join(f"_a{j} * {_upto('h', j - 1)}" for j in range(1, n + 1))
+    level = " + ".join(f"_h{i} * _a{i}" for i in range(n + 1))
     return {
-        "_total": cum_h[n] * cum_a[n] + _delta(0, 0) + _delta(0, 1) + _delta(1, 0) + _delta(1, 1),
-        "_home": _sum([h[i] * cum_a[i - 1] for i in range(1, n + 1)]) + _delta(1, 0),
-        "_draw": _sum([h[i] * a[i] for i in range(n + 1)]) + _delta(0, 0) + _delta(1, 1),
-        "_away": _sum([a[j] * cum_h[j - 1] for j in range(1, n + 1)]) + _delta(0, 1),
+        "_total": f"{_upto('h', n)} * {_upto('a', n)} + " + " + ".join(_delta(i, j) for i, j in LOW),
+        "_home": f"{wins} + {_delta(1, 0)}",
+        "_draw": f"{level} + {_delta(0, 0)} + {_delta(1, 1)}",
+        "_away": f"{losses} + {_delta(0, 1)}",
         "_u15": low,
         "_u25": under_25,
-        "_u35": under_35,
-        "_btts": (cum_h[n] - h[0]) * (cum_a[n] - a[0]) + _delta(1, 1),
+        "_u35": f"{under_25} + _h0 * _a3 + _h1 * _a2 + _h2 * _a1 + _h3 * _a0",
+        "_btts": f"({_upto('h', n)} - _h0) * ({_upto('a', n)} - _a0) + {_delta(1, 1)}",
     }
 
 
@@ -97,17 +84,15 @@ def uniform_share(max_goals: int) -> dict[str, float]:
     }
 
 
-def grid_cells(max_goals: int) -> list[tuple[int, int, Column]]:
+def grid_cells(max_goals: int) -> list[tuple[int, int, str]]:
     """(i, j, probability) of every cell in row-major order, from helper columns.
 
     Written out cell by cell: each side's probabilities stay plain columns that
     are computed once, where a nested lambda would recompute them per cell.
     """
-    even = F.lit(1.0 / (max_goals + 1) ** 2)
-    cells = []
-    for i in range(max_goals + 1):
-        for j in range(max_goals + 1):
-            mass = F.col(f"_c{i}{j}") if i < 2 and j < 2 else _cell(i, j)
-            p = F.when(F.col("_total") > 0, mass / F.col("_total")).otherwise(even)
-            cells.append((i, j, p))
-    return cells
+    even = 1.0 / (max_goals + 1) ** 2
+    size = range(max_goals + 1)
+    mass = {(i, j): f"_c{i}{j}" if (i, j) in LOW else f"_h{i} * _a{j}" for i in size for j in size}
+    return [
+        (i, j, f"CASE WHEN _total > 0 THEN {mass[i, j]} / _total ELSE {even}D END") for i in size for j in size
+    ]

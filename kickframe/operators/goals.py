@@ -53,80 +53,66 @@ def dc_rates(fixtures: DataFrame, strengths: DataFrame, home_advantage: Column)
     )
 
 
-def _grid_columns(rates: DataFrame, rho: Column, p: ScoreParams) -> DataFrame:
-    out = rates.withColumns(sg.pmf_columns("lambda_home", "lambda_away", p.max_goals))
-    out = out.withColumns(sg.corrected_cells("lambda_home", "lambda_away", rho))
-    return out.withColumn("_total", sg.grid_masses(p.max_goals)["_total"])
+def add(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Append SQL expressions as columns."""
+    return df.selectExpr("*", *[f"{sql} AS {name}" for name, sql in columns.items()])
 
 
-def score_grid(rates: DataFrame, rho: Column, p: ScoreParams = SCORES) -> DataFrame:
-    """Adds `grid`: the normalised scoreline array in row-major order."""
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), prob.alias("p"))
-        for i, j, prob in sg.grid_cells(p.max_goals)
-    ])
-    return _grid_columns(rates, rho, p).select(*rates.columns, cells.alias("grid"))
+def _grid_columns(rates: DataFrame, rho: float, p: ScoreParams) -> DataFrame:
+    """Per-side probabilities, then the corrected cells, then the market masses."""
+    out = add(rates, sg.pmf_columns("lambda_home", "lambda_away", p.max_goals))
+    out = add(out, sg.corrected_cells("lambda_home", "lambda_away", f"({rho}D)"))
+    return add(out, sg.grid_masses(p.max_goals))
 
 
-def goal_markets(rates: DataFrame, rho: Column, p: ScoreParams = SCORES) -> DataFrame:
-    """1X2, totals and both-teams-to-score from the corrected grid."""
-    n = p.max_goals
-    out = rates.withColumns(sg.pmf_columns("lambda_home", "lambda_away", n))
-    out = out.withColumns(sg.corrected_cells("lambda_home", "lambda_away", rho))
-    out = out.withColumns(sg.grid_masses(n))
-    even = sg.uniform_share(n)
-
-    def share(name: str) -> Column:
-        return F.when(F.col("_total") > 0, F.col(name) / F.col("_total")).otherwise(F.lit(even[name]))
-
-    out = out.withColumns({
-        "home_win": share("_home"), "draw": share("_draw"), "away_win": share("_away"),
-        "over_15": F.lit(1.0) - share("_u15"), "over_25": F.lit(1.0) - share("_u25"),
-        "over_35": F.lit(1.0) - share("_u35"), "under_25": share("_u25"),
-        "btts_yes": share("_btts"), "btts_no": F.lit(1.0) - share("_btts"),
-    })
-    return out.select(*rates.columns, *MARKETS)
+def score_grid(rates: DataFrame, rho: float, p: ScoreParams = SCORES) -> DataFrame:
+    """Adds `grid`: the normalised scoreline array in row-major order."""
+    cells = ", ".join(
+        f"named_struct('i', {i}, 'j', {j}, 'p', {prob})" for i, j, prob in sg.grid_cells(p.max_goals)
+    )
+    return _grid_columns(rates, rho, p).selectExpr(*rates.columns, f"array({cells}) AS grid")
 
 
-def top_scorelines(rates: DataFrame, rho: Column, p: ScoreParams = SCORES) -> DataFrame:
+def goal_markets(rates: DataFrame, rho: float, p: ScoreParams = SCORES) -> DataFrame:
+    """1X2, totals and both-teams-to-score from the corrected grid."""
+    even = sg.uniform_share(p.max_goals)
+    share = {name: f"CASE WHEN _total > 0 THEN {name} / _total ELSE {even[name]}D END" for name in even}
+    markets = {
+        "home_win": share["_home"], "draw": share["_draw"], "away_win": share["_away"],
+        "over_15": f"1.0D - {share['_u15']}", "over_25": f"1.0D - {share['_u25']}",
+        "over_35": f"1.0D - {share['_u35']}", "under_25": share["_u25"],
+        "btts_yes": share["_btts"], "btts_no": f"1.0D - {share['_btts']}",
+    }
+    return _grid_columns(rates, rho, p).selectExpr(
+        *rates.columns, *[f"{sql} AS {name}" for name, sql in markets.items()])
+
+
+def top_scorelines(rates: DataFrame, rho: float, p: ScoreParams = SCORES) -> DataFrame:
     """The most likely scorelines, one row each; ties to the higher cell."""
     size = p.max_goals + 1
-    cells = F.array(*[
-        F.struct(prob.alias("p"), F.lit(i * size + j).alias("cell"))
-        for i, j, prob in sg.grid_cells(p.max_goals)
-    ])
-    best = F.slice(F.sort_array(cells, asc=False), 1, p.top_scorelines)
+    cells = ", ".join(
+        f"named_struct('p', {prob}, 'cell', {i * size + j})" for i, j, prob in sg.grid_cells(p.max_goals)
+    )
+    best = f"slice(sort_array(array({cells}), false), 1, {p.top_scorelines})"
     return (
         _grid_columns(rates, rho, p)
-        .select(*rates.columns, F.posexplode(best).alias("pos", "s"))
-        .select(
-            *rates.columns, (F.col("pos") + 1).alias("rank"),
-            F.floor(F.col("s.cell") / size).alias("home_goals"),
-            (F.col("s.cell") % size).alias("away_goals"), F.col("s.p").alias("prob"),
-        )
+        .selectExpr(*rates.columns, f"posexplode({best}) AS (pos, s)")
+        .selectExpr(*rates.columns, "pos + 1 AS rank", f"s.cell DIV {size} AS home_goals",
+                    f"s.cell % {size} AS away_goals", "s.p AS prob")
     )
 
 
 def _plain_markets(df: DataFrame, in_grid_over: bool) -> DataFrame:
     """Uncorrected 6x6 markets. Either over = in-grid sum, or 1 - in-grid under."""
-    cols = df.columns
-    out = df.withColumns(sg.pmf_columns("home_xg", "away_xg", 5))
-    out = out.withColumns({f"_c{i}{j}": F.col(f"_h{i}") * F.col(f"_a{j}") for i in (0, 1) for j in (0, 1)})
-    out = out.withColumns(sg.grid_masses(5))
+    out = add(df, sg.pmf_columns("home_xg", "away_xg", 5))
+    out = add(add(out, sg.plain_cells()), sg.grid_masses(5))
     if in_grid_over:
-        over = {k: F.col("_total") - F.col(f"_u{k}") for k in (15, 25, 35)}
-        under_25 = F.lit(1.0) - over[25]
-        btts_yes = F.col("_btts")
-        btts_no = F.lit(1.0) - btts_yes
+        markets = {f"over_{k}": f"_total - _u{k}" for k in (15, 25, 35)} | {
+            "under_25": "1.0D - (_total - _u25)", "btts_yes": "_btts", "btts_no": "1.0D - _btts"}
     else:
-        over = {k: F.lit(1.0) - F.col(f"_u{k}") for k in (15, 25, 35)}
-        under_25 = F.col("_u25")
-        btts_no = F.col("_total") - F.col("_btts")
-        btts_yes = F.lit(1.0) - btts_no
-    return out.select(
-        *cols, *[over[k].alias(f"over_{k}") for k in (15, 25, 35)], under_25.alias("under_25"),
-        btts_yes.alias("btts_yes"), btts_no.alias("btts_no"),
-    )
+        markets = {f"over_{k}": f"1.0D - _u{k}" for k in (15, 25, 35)} | {
+            "under_25": "_u25", "btts_yes": "1.0D - (_total - _btts)", "btts_no": "_total - _btts"}
+    return out.selectExpr(*df.columns, *[f"{sql} AS {name}" for name, sql in markets.items()])
 
 
 def _clamp(c: Column, low: float, high: float) -> Column:

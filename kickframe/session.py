@@ -19,6 +19,8 @@ def build_session(master: str | None = None, app: str = "kickframe", **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # Call-site capture costs more than building the plans it annotates.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)

@@ -30,28 +30,23 @@ def dc_rates(spark, sf):
 
 def score_grid(spark, sf):
     """The grid of every match, reported as moments, corner cells and its peak."""
-    g = gl.score_grid(rates(matches(spark, sf)), F.lit(RHO))
-    total = lambda f: F.aggregate("grid", F.lit(0.0), f)
-    out = g.select(
-        "match_id",
-        total(lambda acc, c: acc + c["p"]).alias("mass"),
-        total(lambda acc, c: acc + c["p"] * c["i"]).alias("mean_home"),
-        total(lambda acc, c: acc + c["p"] * c["j"]).alias("mean_away"),
-        total(lambda acc, c: acc + c["p"] * c["i"] * c["j"]).alias("mean_product"),
-        F.get("grid", 0)["p"].alias("p00"), F.get("grid", 1)["p"].alias("p01"),
-        F.get("grid", 11)["p"].alias("p10"), F.get("grid", 12)["p"].alias("p11"),
-        F.array_max(F.transform("grid", lambda c: c["p"])).alias("peak"),
-        F.size("grid").alias("cells"),
-    )
+    g = gl.score_grid(rates(matches(spark, sf)), RHO)
+    moments = """aggregate(grid, named_struct('m', 0D, 'h', 0D, 'a', 0D, 'x', 0D, 'top', 0D),
+        (s, c) -> named_struct('m', s.m + c.p, 'h', s.h + c.p * c.i, 'a', s.a + c.p * c.j,
+                               'x', s.x + c.p * c.i * c.j, 'top', greatest(s.top, c.p)))"""
+    out = g.selectExpr("match_id", "grid", f"{moments} AS s").selectExpr(
+        "match_id", "s.m AS mass", "s.h AS mean_home", "s.a AS mean_away", "s.x AS mean_product",
+        "grid[0].p AS p00", "grid[1].p AS p01", "grid[11].p AS p10", "grid[12].p AS p11",
+        "s.top AS peak", "size(grid) AS cells")
     return tidy(out)
 
 
 def goal_markets(spark, sf):
-    return tidy(gl.goal_markets(rates(matches(spark, sf)), F.lit(RHO)), "match_id", *gl.MARKETS)
+    return tidy(gl.goal_markets(rates(matches(spark, sf)), RHO), "match_id", *gl.MARKETS)
 
 
 def top_scorelines(spark, sf):
-    out = gl.top_scorelines(rates(matches(spark, sf)), F.lit(RHO))
+    out = gl.top_scorelines(rates(matches(spark, sf)), RHO)
     return tidy(out, "match_id", "rank", "home_goals", "away_goals", "prob")
 
 
@@ -77,7 +72,7 @@ def empirical_markets(spark, sf):
 
 
 def chosen_markets(m: DataFrame) -> DataFrame:
-    return gl.market_choice(gl.goal_markets(rates(m, KNOWN_MIN), F.lit(RHO)), historical(m))
+    return gl.market_choice(gl.goal_markets(rates(m, KNOWN_MIN), RHO), historical(m))
 
 
 def market_choice(spark, sf):
@@ -97,7 +92,7 @@ def normalise_1x2(spark, sf):
 
 def blend_1x2(spark, sf):
     m = matches(spark, sf)
-    goals = gl.goal_markets(rates(m), F.lit(RHO)).select("match_id", "home_win", "draw", "away_win")
+    goals = gl.goal_markets(rates(m), RHO).select("match_id", "home_win", "draw", "away_win")
     both = odds_triple(m).join(goals, "match_id")
     out = gl.blend_1x2(both, ["p_home", "p_draw", "p_away"], ["home_win", "draw", "away_win"])
     return tidy(out, "match_id", "blend_home", "blend_draw", "blend_away")
