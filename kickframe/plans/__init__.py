@@ -1,0 +1 @@
+"""Multi-step jobs: score-model fits, model training, backtests."""

@@ -76,11 +76,12 @@ def project_required(rows: DataFrame, wanted: list[str]) -> DataFrame:
 def write_league_parquet(matches: DataFrame, path: str) -> None:
     """One directory per league; only leagues present are replaced.
 
-    Rows are clustered by league and season so that a large league is written by
-    several tasks and its season filter prunes files.
+    Rows are clustered by league and season; the rebalance hint lets AQE split a
+    large league over tasks, and sorting lets a season filter skip row groups.
     """
     (
-        matches.repartition("league_code", "season").write.mode("overwrite")
+        matches.hint("rebalance", "league_code").sortWithinPartitions("league_code", "season")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy("league_code").parquet(path)
     )
 

@@ -28,10 +28,13 @@ def payloads(rows: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
 
 
 def _by_month(rows: DataFrame) -> DataFrame:
-    """Months as partitions, clustered by league: few files, and a date filter
-    still prunes by month and by the sorted dates' statistics."""
+    """Rows clustered by month for writing.
+
+    The rebalance hint lets AQE split a hot month over several tasks and merge
+    small ones, so file sizes stay even whatever the spread of dates.
+    """
     month = rows.withColumn("match_month", F.date_format("match_date", "yyyy-MM"))
-    return month.repartition("match_month", "league_code").sortWithinPartitions("match_date")
+    return month.hint("rebalance", "match_month").sortWithinPartitions("match_month", "match_date")
 
 
 def write_predictions(rows: DataFrame, path: str) -> None:
@@ -50,7 +53,7 @@ def write_predictions(rows: DataFrame, path: str) -> None:
         touched = fresh.select("match_month").distinct()
         kept = old.join(touched, "match_month", "left_semi").join(
             fresh.select("league_code", "match_date").distinct(), ["league_code", "match_date"], "left_anti")
-        fresh = stage(fresh.unionByName(kept), "upsert").repartition("match_month", "league_code")
+        fresh = stage(fresh.unionByName(kept), "upsert").hint("rebalance", "match_month")
     (
         fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("match_month").parquet(path)
