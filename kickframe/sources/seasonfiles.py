@@ -33,7 +33,7 @@ def read_season_csv(spark: SparkSession, path: str) -> DataFrame:
         "value", F.col("_metadata.file_path").alias("file"))
     files = lines.groupBy("file").agg(
         F.max(F.when(F.col("value").contains(HEADER_MARK), F.col("value"))).alias("header"),
-        F.max(F.col("value").contains("�")).alias("latin"),
+        F.max(~F.is_valid_utf8("value")).alias("latin"),
     ).where(F.col("header").isNotNull())
     groups: dict[tuple[str, bool], list[str]] = defaultdict(list)
     for row in files.toLocalIterator():

@@ -31,9 +31,12 @@ ITERATIONS = 6
 
 
 def training_rows(spark, sf):
-    """Feature matrix in chronological order, staged once."""
-    rows = feat.feature_matrix(feat.all_features(matches(spark, sf)))
-    return stage(chronological_index(rows), "matrix")
+    """Feature matrix with its chronological index; both are written once.
+
+    The index reads its input twice, so the features are staged before it.
+    """
+    rows = stage(feat.feature_matrix(feat.all_features(matches(spark, sf))), "matrix")
+    return stage(chronological_index(rows), "indexed")
 
 
 def model_columns(rows):
