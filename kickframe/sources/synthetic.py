@@ -12,6 +12,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kickframe.session import stage
+
 MATCHES = """
 SELECT match_id, league_code, league_code AS home_league, is_cross,
   CASE WHEN is_cross THEN 'L' || lpad(CAST((lg + 1 + c % 19) % 20 AS STRING), 2, '0') ELSE league_code END AS away_league,
@@ -53,8 +55,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LAID_OUT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _laid_out(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A view as a Parquet table in the shared folder, written once per session.
+
+    Queries read a view several times with different columns; as a table it is
+    pruned per reader and not derived again. A source with fewer splits than the
+    session has cores is spread first, a larger one is left as it is.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _LAID_OUT:
+        view = build()
+        cores = spark.sparkContext.defaultParallelism
+        if view.rdd.getNumPartitions() < cores:
+            view = view.repartition(cores)
+        _LAID_OUT[key] = stage(view, name)
+    return _LAID_OUT[key]
+
+
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(MATCHES, orders=table(spark, sf_dir, "orders"))
+    return _laid_out(spark, sf_dir, "matches",
+                     lambda: spark.sql(MATCHES, orders=table(spark, sf_dir, "orders")))
 
 
 def domestic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,12 +85,14 @@ def domestic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(QUOTES, lineitem=table(spark, sf_dir, "lineitem"))
+    return _laid_out(spark, sf_dir, "quotes",
+                     lambda: spark.sql(QUOTES, lineitem=table(spark, sf_dir, "lineitem")))
 
 
 def live_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = LIVE_POLLS.replace("EPOCH(ts)", "unix_timestamp(ts)")
-    return spark.sql(text, events=table(spark, sf_dir, "events"))
+    return _laid_out(spark, sf_dir, "live_polls",
+                     lambda: spark.sql(text, events=table(spark, sf_dir, "events")))
 
 
 def duckdb_sql(text: str) -> str:
