@@ -111,16 +111,19 @@ def retrain_decision(models: DataFrame, matches: DataFrame, threshold: int = MIN
                      enabled: bool = True) -> DataFrame:
     """Whether each model should be refitted, and why; rules in fixed order.
 
-    `models` (one row per model: model, model_exists, last_trained) is small;
-    match counts per day are joined to it, never match rows.
+    `models` has one row per model: model, model_exists, last_trained. Matches
+    are counted per day first; models are placed among the days and take the sum
+    of the later ones, so the window holds one row per calendar day and model.
     """
     days = matches.where(F.col("match_date").isNotNull()).groupBy("match_date").agg(F.count(F.lit(1)).alias("n"))
     latest = days.agg(F.max("match_date")).scalar()
-    # Counts are one row per calendar day.
+    later = Window.orderBy(F.col("_d").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    placed = models.select("*", F.unix_date("last_trained").alias("_d"), F.lit(0).cast("bigint").alias("n")).unionByName(
+        days.select(F.unix_date("match_date").alias("_d"), "n"), allowMissingColumns=True)
+    counted = F.when(F.col("_d").isNotNull(), F.sum("n").over(later))
     newer = (
-        models.join(days, F.col("match_date") > F.col("last_trained"), "left")
-        .groupBy("model", "model_exists", "last_trained").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("new_matches"))
-        .withColumn("latest", latest)
+        placed.withColumn("new_matches", F.coalesce(counted, F.lit(0))).where(F.col("model").isNotNull())
+        .drop("_d", "n").withColumn("latest", latest)
     )
     has_new = F.col("latest").isNotNull() & (F.col("last_trained").isNull() | (F.col("latest") > F.col("last_trained")))
     n = F.col("new_matches").cast("string")

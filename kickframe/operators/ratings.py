@@ -215,14 +215,11 @@ def league_strata(ratings: DataFrame, leagues: DataFrame, initial: float = ELO.i
         .agg(F.avg("rating").alias("mean_rating"), F.max("rating").alias("max_rating"),
              F.count(F.lit(1)).alias("teams"))
     )
-    overall = per_league.agg(
+    overall = per_league.agg(F.struct(
         (F.max("mean_rating") - F.min("mean_rating")).alias("spread"),
         F.count_if(F.round("mean_rating", 1) == initial).alias("pinned"),
-    )
-    # One summary row joined to one row per league.
-    return per_league.withColumn("_k", F.lit(1)).join(
-        F.broadcast(overall.withColumn("_k", F.lit(1))), "_k"
-    ).drop("_k")
+    )).scalar()
+    return per_league.withColumn("_o", overall).select("*", "_o.spread", "_o.pinned").drop("_o")
 
 
 def elo_to_1x2(expected_home: Column, draw_rate: float = CROSS.draw_rate):

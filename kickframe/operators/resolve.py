@@ -10,10 +10,11 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kickframe.operators.odds import containing_names
+from kickframe.operators.windows import hot_keys, over_recent
 from kickframe.params import SUGGESTION_COUNT, SUGGESTION_CUTOFF
 
 APPROVED, PENDING = "approved", "pending"
@@ -234,11 +235,13 @@ def alias_merge_report(seed: DataFrame, incoming: DataFrame) -> DataFrame:
     """
     clean = incoming.withColumns({c: F.trim(c) for c in ("scope", "raw_name", "canonical_name")})
     clean = clean.where((F.col("scope") != "") & (F.col("raw_name") != "") & (F.col("canonical_name") != ""))
-    in_order = Window.partitionBy("scope", "raw_name").orderBy("position")
+    key = ["scope", "raw_name"]
+    ordered = over_recent(
+        clean, key, ["position"], 1, {"_before": lambda w: F.lag("canonical_name").over(w)},
+        hot_keys(clean, key), piece=F.shiftright("position", 20))
     old = seed.select("scope", "raw_name", F.col("canonical_name").alias("_seed"))
     compared = (
-        clean.withColumn("_before", F.lag("canonical_name").over(in_order))
-        .join(old, ["scope", "raw_name"], "left")
+        ordered.join(old, key, "left")
         .withColumn("_prev", F.coalesce("_before", "_seed"))
     )
     total = seed.select("scope", "raw_name").union(clean.select("scope", "raw_name")).distinct()

@@ -40,11 +40,12 @@ def over_recent(
     lookback: int,
     exprs: dict[str, Callable[[WindowSpec], Column]],
     hot: DataFrame | None = None,
-    day: str = "match_date",
+    piece: Column | None = None,
 ) -> DataFrame:
     """Add window columns that look back at most `lookback` rows per key.
 
-    `order` must be a total order within a key and begin with `day`.
+    `order` must be a total order within a key. Hot keys are split by `piece`, a
+    number that never falls along that order; the day by default.
     """
     if hot is None:
         spec = Window.partitionBy(*keys).orderBy(*order)
@@ -52,10 +53,10 @@ def over_recent(
 
     marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), list(keys), "left")
     chunked = marked.withColumn(
-        "_chunk", F.when(F.col("_hot"), F.unix_date(F.col(day))).otherwise(F.lit(-1))
+        "_chunk", F.when(F.col("_hot"), F.unix_date("match_date") if piece is None else piece)
     ).drop("_hot")
     columns = chunked.columns
-    halo = _halo(chunked.where(F.col("_chunk") >= 0), keys, order, lookback, columns)
+    halo = _halo(chunked.where(F.col("_chunk").isNotNull()), keys, order, lookback, columns)
     primed = chunked.withColumn("_halo", F.lit(False)).unionByName(
         halo.withColumn("_halo", F.lit(True))
     )

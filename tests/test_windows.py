@@ -78,3 +78,14 @@ def test_chronological_index_with_wide_ids(spark):
     df = spark.createDataFrame([("2020-01-0%d" % (1 + i % 2), i << 21) for i in range(50)], "match_date string, match_id long")
     got = [r.idx for r in chronological_index(df).orderBy("match_date", "match_id").collect()]
     assert got == list(range(50))
+
+
+def test_split_path_across_the_epoch(spark):
+    days = ["1969-12-29", "1969-12-30", "1969-12-31", "1970-01-01", "1970-01-02", "1970-01-03"]
+    data = [(i, d, "a", f"o{i}", i, 0) for i, d in enumerate(days)]
+    df = spark.createDataFrame(data, "match_id long, match_date string, home_team string, away_team string, fthg long, ftag long")
+    records = feat.team_matches(df.withColumn("match_date", F.to_date("match_date")), stats=("gf", "ga"))
+    hot = hot_keys(records, ["team"], min_rows=3, share=10)
+    cols = ["team", "match_id", "avg_gf", "form"]
+    plain = feat.rolling_team_stats(records, ("gf", "ga")).select(cols)
+    assert rows(plain) == rows(feat.rolling_team_stats(records, ("gf", "ga"), hot=hot).select(cols))
