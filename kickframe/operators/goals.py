@@ -88,14 +88,19 @@ def goal_markets(rates: DataFrame, rho: float, p: ScoreParams = SCORES) -> DataF
 
 
 def top_scorelines(rates: DataFrame, rho: float, p: ScoreParams = SCORES) -> DataFrame:
-    """The most likely scorelines, one row each; ties to the higher cell."""
-    size = p.max_goals + 1
-    cells = ", ".join(
-        f"named_struct('p', {prob}, 'cell', {i * size + j})" for i, j, prob in sg.grid_cells(p.max_goals)
-    )
-    best = f"slice(sort_array(array({cells}), false), 1, {p.top_scorelines})"
+    """The most likely scorelines, one row each; ties to the higher cell.
+
+    Sorting plain numbers finds the cut-off; only the few cells that reach it are
+    made into records and ranked.
+    """
+    size, n = p.max_goals + 1, p.top_scorelines
+    probs = ", ".join(prob for _, _, prob in sg.grid_cells(p.max_goals))
+    reach = f"filter(sequence(0, {size * size - 1}), k -> _ps[k] >= _cut)"
+    best = f"slice(sort_array(transform({reach}, k -> named_struct('p', _ps[k], 'cell', k)), false), 1, {n})"
     return (
         _grid_columns(rates, rho, p)
+        .selectExpr(*rates.columns, f"array({probs}) AS _ps")
+        .selectExpr("*", f"sort_array(_ps, false)[{n - 1}] AS _cut")
         .selectExpr(*rates.columns, f"posexplode({best}) AS (pos, s)")
         .selectExpr(*rates.columns, "pos + 1 AS rank", f"s.cell DIV {size} AS home_goals",
                     f"s.cell % {size} AS away_goals", "s.p AS prob")
