@@ -12,7 +12,7 @@ from kickframe.functions import seasons as sn
 from kickframe.operators import cleaning as cl
 from kickframe.operators import goals as gl
 from kickframe.operators.features import result_of
-from kickframe.session import scratch_path
+from kickframe.session import scratch_path, stage
 from kickframe.sources import feeds as fd
 from kickframe.sources import international as intl
 from kickframe.sources import matchtext as mt
@@ -167,7 +167,8 @@ AVG = [f"{k}_{s}" for k in ("avg", "best") for s in ("home", "draw", "away")]
 
 
 def parse_odds_events(spark, sf):
-    _, fixtures = fd.parse_odds_events(odds_events(spark, sf))
+    # The payloads are a feed: written once, then read by both branches of the parser.
+    _, fixtures = fd.parse_odds_events(stage(odds_events(spark, sf), "odds-feed"))
     return tidy(fixtures.withColumn("match_id", F.col("id").cast("bigint")), "match_id", "kickoff", "home_team", "away_team", *AVG)
 
 
