@@ -58,26 +58,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _LAID_OUT: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def _laid_out(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def laid_out(spark: SparkSession, sf_dir: str, name: str, source: str, build) -> DataFrame:
     """A view as a Parquet table in the shared folder, written once per session.
 
     Queries read a view several times with different columns; as a table it is
-    pruned per reader and not derived again. A source with fewer splits than the
-    session has cores is spread first, a larger one is left as it is.
+    pruned per reader and not derived again. Where the source table has fewer splits
+    than the session has cores the rows are spread, else they are left as they are.
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _LAID_OUT:
         view = build()
         cores = spark.sparkContext.defaultParallelism
-        if view.rdd.getNumPartitions() < cores:
+        # Splits of the plain scan: asking the view itself would run its shuffles.
+        if table(spark, sf_dir, source).rdd.getNumPartitions() < cores:
             view = view.repartition(cores)
         _LAID_OUT[key] = stage(view, name)
     return _LAID_OUT[key]
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _laid_out(spark, sf_dir, "matches",
-                     lambda: spark.sql(MATCHES, orders=table(spark, sf_dir, "orders")))
+    return laid_out(spark, sf_dir, "matches", "orders",
+                    lambda: spark.sql(MATCHES, orders=table(spark, sf_dir, "orders")))
 
 
 def domestic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,14 +86,14 @@ def domestic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _laid_out(spark, sf_dir, "quotes",
-                     lambda: spark.sql(QUOTES, lineitem=table(spark, sf_dir, "lineitem")))
+    return laid_out(spark, sf_dir, "quotes", "lineitem",
+                    lambda: spark.sql(QUOTES, lineitem=table(spark, sf_dir, "lineitem")))
 
 
 def live_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = LIVE_POLLS.replace("EPOCH(ts)", "unix_timestamp(ts)")
-    return _laid_out(spark, sf_dir, "live_polls",
-                     lambda: spark.sql(text, events=table(spark, sf_dir, "events")))
+    return laid_out(spark, sf_dir, "live_polls", "events",
+                    lambda: spark.sql(text, events=table(spark, sf_dir, "events")))
 
 
 def duckdb_sql(text: str) -> str:

@@ -20,7 +20,7 @@ from kickframe.plans import backtest as bt
 from kickframe.plans import training as tr
 from kickframe.plans.dixoncoles import dc_fit as fit_dixon_coles
 from kickframe.session import stage
-from kickframe.sources.synthetic import domestic, matches
+from kickframe.sources.synthetic import domestic, laid_out, matches
 from kickframe.workload import goals as wg
 from kickframe.workload import ratings as wr
 from kickframe.workload.common import big, r, sql, text, tidy
@@ -31,12 +31,14 @@ ITERATIONS = 6
 
 
 def training_rows(spark, sf):
-    """Feature matrix with its chronological index; both are written once.
+    """Feature matrix with its chronological index, written once per session.
 
     The index reads its input twice, so the features are staged before it.
     """
-    rows = stage(feat.feature_matrix(feat.all_features(matches(spark, sf))), "matrix")
-    return stage(chronological_index(rows), "indexed")
+    def build():
+        return chronological_index(stage(feat.feature_matrix(feat.all_features(matches(spark, sf))), "matrix"))
+
+    return laid_out(spark, sf, "training", "orders", build)
 
 
 def model_columns(rows):
