@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -33,14 +34,18 @@ def build_session(master: str | None = None, app: str = "kickframe", **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints.
 
-    Only where none is configured (tests, a laptop) is a temporary one made,
-    once per session.
+    A session on a local master (tests, a laptop) may go without one; a
+    temporary folder is then made once. Elsewhere executors would each write to
+    their own disk, so a missing setting is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     made = spark.sparkContext.getCheckpointDir()
     if made is None:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
         made = tempfile.mkdtemp(prefix="kickframe-")
         spark.sparkContext.setCheckpointDir(made)
         made = spark.sparkContext.getCheckpointDir()
