@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from kickframe.session import stage
@@ -49,4 +50,4 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 
 
 def utf8_lengths(column: pa.Array) -> np.ndarray:
-    return np.array(pa.compute.binary_length(column.cast(pa.binary())).fill_null(0), dtype=np.int64)
+    return np.array(pc.binary_length(column.cast(pa.binary())).fill_null(0), dtype=np.int64)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kickframe.llm import exact_dedup, minhash
+from kickframe.llm import exact_dedup, minhash, packing, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +17,18 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    store = token_store.write_store(docs, public_tokenizers.path("byte_bpe_50k.json"), words="byte", end=0)
+    return store.read(docs, digest=True).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    packed = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), words="blank", end=1)
+    return packing.checksum(packed).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two deltas in ascending order of ids, so that the first to come is the smallest."""
     rows = exact_dedup.digest_rows(table(spark, sf_dir, "documents"))
@@ -30,6 +43,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_token_store": op7_token_store,
+    "op10_best_fit_packing": op10_best_fit_packing,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
