@@ -6,13 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kickframe.llm import chat, exact_dedup, minhash, packing, token_store, vectors, warc
+from kickframe.llm import chat, exact_dedup, minhash, packing, quality, token_store, toxicity, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.score(docs, quality.train(docs, labels))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.train(docs, labels))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.Archive.write(table(spark, sf_dir, "pages"), least=0, roll=16 << 20)
     return archive.read(payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -60,6 +70,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op3_toxicity": op3_toxicity,
     "op2_warc": op2_warc,
     "op4_chat_format": op4_chat_format,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
