@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from kickframe.llm.batches import by_weight, small_batches, utf8_lengths
 from kickframe.llm.labelled import held_out, sample
 
-BITS, FACTORS = 18, 8
+BITS, FACTORS, STEM = 18, 8, 5
 #: The most labelled rows that a model is fitted on, and the longest text among them.
 SAMPLE, LONGEST = 20_000, 100_000
 MODULUS, HELD = 5, 0
@@ -29,10 +30,11 @@ _KNOWN_MAX = 500_000
 
 
 class _Terms(dict):
-    """Bucket of each word as written, kept per worker and emptied when it grows too large."""
+    """Buckets of each word as written, its whole and its stem, kept per worker and emptied when they grow too many."""
 
-    def __missing__(self, word: str) -> int:
-        value = xxhash.xxh3_64_intdigest(word.lower().strip(_MARKS)) >> (64 - BITS)
+    def __missing__(self, word: str) -> tuple[int, int]:
+        plain = word.lower().strip(_MARKS)
+        value = (xxhash.xxh3_64_intdigest(plain) >> (64 - BITS), xxhash.xxh3_64_intdigest(plain[:STEM], seed=1) >> (64 - BITS))
         if len(word) <= 64:
             self[word] = value
         return value
@@ -42,13 +44,13 @@ _terms = _Terms()
 
 
 def terms(texts: list[str]) -> list[np.ndarray]:
-    """Distinct buckets of each text's words; letter case and outer punctuation don't count."""
+    """Distinct buckets of each text's words and of their first letters; case and outer punctuation don't count."""
     if len(_terms) > _KNOWN_MAX:
         _terms.clear()
     out = []
     for t in texts:
-        words = t.split()
-        out.append(np.unique(np.fromiter(map(_terms.__getitem__, words), np.int32, len(words))))
+        words = set(t.split())
+        out.append(np.unique(np.fromiter(chain.from_iterable(map(_terms.__getitem__, words)), np.int32, 2 * len(words))))
     return out
 
 
@@ -79,8 +81,8 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margins(rows), -30, 30)))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float = 1.0, sparse: float = 4.0, factor_rate: float = 0.03,
-        decay: float = 0.1, batch: int = 128, least: int = 3, paired: tuple[float, float] = (1 / 100, 1 / 2), alone: int = 4,
+def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float = 1.0, sparse: float = 4.0, factor_rate: float = 0.01,
+        decay: float = 0.1, batch: int = 16, least: int = 3, paired: tuple[float, float] = (1 / 100, 1 / 2), alone: int = 4,
         seed: int = 7) -> Machine:
     """Logistic loss in seeded order, steps adapted to each term.
 
