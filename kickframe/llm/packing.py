@@ -198,7 +198,7 @@ def _cut(path: str, words: str, end: int, capacity: int):
         tail = np.array([end], code.dtype).tobytes()
         width = code.dtype.itemsize
         for batch in batches:
-            for part in by_weight(utf8_lengths(batch.column(1)), 1 << 22):
+            for part in by_weight(utf8_lengths(batch.column(1)), 1 << 20):
                 texts = [t or "" for t in batch.column(1)[part].to_pylist()]
                 ids = batch.column(0)[part].to_pylist()
                 rows = []
@@ -216,24 +216,28 @@ def _cut(path: str, words: str, end: int, capacity: int):
     return run
 
 
-def _placed(plan_):
+def _placed(plan_, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rank = batch.column("nth").to_numpy() + batch.column("base").to_numpy()
             sequence, offset = plan_.value.places(batch.column("length").to_numpy(), rank)
+            ids = batch.column("ids")
+            if digest:
+                ids = pa.array([zlib.crc32(np.frombuffer(x.as_buffer(), "<u2").astype("<u4")) for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids")], pa.array(sequence), pa.array(offset)],
-                names=["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
+                [*[batch.column(c) for c in ("doc_id", "piece", "start", "length")], ids, pa.array(sequence), pa.array(offset)],
+                names=["doc_id", "piece", "start", "length", "ids_crc32" if digest else "ids", "sequence_id", "offset"])
     return run
 
 
-def pack(docs: DataFrame, path: str, words: str = "none", end: int = 1, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, path: str, words: str = "none", end: int = 1, capacity: int = CAPACITY, digest: bool = False) -> DataFrame:
     """A row per piece: `doc_id`, `piece`, `start`, `length`, `ids`, `sequence_id`, `offset`.
 
     Texts are encoded by the tokenizers file `path` and end with `end`; null counts as
     empty. Documents longer than `capacity` are cut into full pieces and a rest. `ids`
     are little-endian, 16 bits wide where the vocabulary allows. Repeated rows are packed
-    as often as they occur. An empty table gives no rows.
+    as often as they occur. An empty table gives no rows. With `digest` the ids stay in the task and
+    `ids_crc32`, the checksum of their 32-bit form, takes their place.
     """
     spark = docs.sparkSession
     pieces = stage_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -244,17 +248,5 @@ def pack(docs: DataFrame, path: str, words: str = "none", end: int = 1, capacity
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     rows = pieces.join(bases, ["length", "task"])
-    return rows.mapInArrow(_placed(plan_), "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
-
-
-def checksum(ids: DataFrame) -> DataFrame:
-    """Replace `ids` by the unsigned crc32 of its 32-bit form; other columns stay."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ids.schema if f.name != "ids") + ", ids_crc32 long"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crc = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in batch.column("ids").to_pylist()]
-            rest = [i for i, n in enumerate(batch.schema.names) if n != "ids"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in rest], pa.array(crc, pa.int64())],
-                                             names=[*[batch.schema.names[i] for i in rest], "ids_crc32"])
-    return ids.mapInArrow(run, schema)
+    last = "ids_crc32 long" if digest else "ids binary"
+    return rows.mapInArrow(_placed(plan_, digest), f"doc_id long, piece int, start long, length long, {last}, sequence_id long, offset long")

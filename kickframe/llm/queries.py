@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kickframe.llm import chat, exact_dedup, minhash, packing, quality, token_store, toxicity, vectors, warc
+from kickframe.llm import chat, exact_dedup, minhash, mixing, packing, quality, token_store, toxicity, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,17 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_digests(chat.format_conversations(rows.unionByName(own)))
 
 
+#: Four epochs at most of small families; the crawl is held back.
+MIX = mixing.Recipe(
+    budget=1.0, epochs=4, seed=17,
+    domains={"src0": "crawl", "src1": "books", "src2": "books", "src3": "reference", "src4": "reference", "src5": "reference"},
+    weights={"domain": {"crawl": 2, "web": 4, "books": 3, "reference": 3}, "lang": {"en": 6, "de": 2, "fr": 2, "es": 1}})
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.select(table(spark, sf_dir, "documents"), MIX)
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
@@ -49,8 +60,8 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    packed = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), words="blank", end=1)
-    return packing.checksum(packed).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    packed = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), words="blank", end=1, digest=True)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +85,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op2_warc": op2_warc,
     "op4_chat_format": op4_chat_format,
+    "op5_mixing": op5_mixing,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_token_store": op7_token_store,
     "op10_best_fit_packing": op10_best_fit_packing,
@@ -81,7 +93,35 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
 }
 
+def _shared_out(name: str, rows: str, parent: str, level: str) -> str:
+    """CTEs that share `budget` among siblings by water-filling."""
+    return f"""
+{name}_1 AS (SELECT *, budget - coalesce(sum(cap) OVER (PARTITION BY {parent} ORDER BY cap / weight, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rem,
+  sum(weight) OVER (PARTITION BY {parent} ORDER BY cap / weight, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS heavy FROM ({rows})),
+{name}_2 AS (SELECT *, cap * heavy <= rem * weight AS filled FROM {name}_1),
+{name}_3 AS (SELECT *, max(CASE WHEN NOT filled THEN rem END) OVER (PARTITION BY {parent}) AS rl, max(CASE WHEN NOT filled THEN heavy END) OVER (PARTITION BY {parent}) AS rh FROM {name}_2),
+{name}_4 AS (SELECT *, CASE WHEN filled THEN cap ELSE rl * weight // rh END AS fair FROM {name}_3),
+{name} AS (SELECT *, fair + CASE WHEN NOT filled AND sum(CASE WHEN filled THEN 0 ELSE 1 END) OVER (PARTITION BY {parent} ORDER BY cap / weight, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  <= rl - sum(CASE WHEN NOT filled THEN fair END) OVER (PARTITION BY {parent}) THEN 1 ELSE 0 END AS given FROM {name}_4)"""
+
+
+MIX_ORACLE = r"""
+WITH d AS (SELECT doc_id, CASE source WHEN 'src0' THEN 'crawl' WHEN 'src1' THEN 'books' WHEN 'src2' THEN 'books' WHEN 'src3' THEN 'reference'
+    WHEN 'src4' THEN 'reference' WHEN 'src5' THEN 'reference' ELSE 'web' END AS domain, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents),
+leaf AS (SELECT domain, lang, source, sum(n_tokens) AS tokens, 4 * sum(n_tokens) AS cap FROM d GROUP BY ALL),""" + _shared_out(
+    "a", """SELECT 0 AS alls, domain, sum(cap) AS cap, CASE domain WHEN 'crawl' THEN 2 WHEN 'web' THEN 4 ELSE 3 END AS weight,
+  (SELECT sum(tokens) FROM leaf) AS budget FROM leaf GROUP BY domain""", "alls", "domain") + "," + _shared_out(
+    "b", """SELECT leaf.domain, lang, sum(leaf.cap) AS cap, CASE lang WHEN 'en' THEN 6 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS weight,
+  min(a.given) AS budget FROM leaf JOIN a USING (domain) GROUP BY leaf.domain, lang""", "domain", "lang") + "," + _shared_out(
+    "c", "SELECT leaf.*, 1 AS weight, b.given AS budget FROM leaf JOIN b USING (domain, lang)", "domain, lang", "source") + """,
+e AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN given // tokens ELSE 0 END AS passes, given - tokens * CASE WHEN tokens > 0 THEN given // tokens ELSE 0 END AS rest, tokens FROM c),
+k AS (SELECT d.*, passes, rest, tokens, md5('17:' || CAST(CAST(passes AS BIGINT) AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key FROM d JOIN e USING (domain, lang, source)),
+r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM k)
+SELECT doc_id, domain, lang, source, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(passes + CASE WHEN tokens > 0 AND upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM r"""
+
 ORACLES = {
+    "op5_mixing": MIX_ORACLE,
     "op4_chat_format": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, k, CASE WHEN k = 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) r(k)),
