@@ -2,10 +2,14 @@
 
 Two permutations of the 32-bit hash space make all coordinates of a signature:
 the first scatters the shingles, the second, shifted circularly by k, ranks them
-for coordinate k. Documents that agree on a band are candidates. Candidates are
-confirmed on full shingle sets, first against the most central document of each
-bucket, then between whatever is still unconnected. Documents with equal sets are
-one class from the start, so copies never become pairs.
+for coordinate k. Documents that agree on a band are candidates and share a bucket.
+
+The most central document of a bucket is its hub. Every member is confirmed against
+its hubs on full shingle sets. What is then unconnected within the stars of a hub
+is compared with all of them, in blocks, and each block gives back only the
+links that join components. So connections are complete, while a large group of
+near copies never becomes a list of pairs. Documents with equal sets are one class
+from the start.
 """
 
 from __future__ import annotations
@@ -24,9 +28,7 @@ from kickframe.session import stage
 
 #: 28 bands of four: a pair at exactly 0.8 is missed with probability (1 - 0.8^4)^28 < 4e-7.
 BANDS, ROWS = 28, 4
-#: Candidates whose signatures agree on fewer coordinates than six standard deviations below 0.8 are not read in full.
-SLACK = 6.0
-#: Members of a bucket that are compared with each other at once.
+#: Documents on either side of one comparison.
 BLOCK = 512
 _KNOWN_MAX = 500_000
 
@@ -131,34 +133,62 @@ def _sketched(words: int, bands: int, rows: int):
     return run
 
 
-def _set_rows(words: int):
+def _shared(x: np.ndarray, shingles: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Size of the intersection of `x` with each of n sets, given as sorted shingles and their owners."""
+    lo, hi = np.searchsorted(shingles, x, "left"), np.searchsorted(shingles, x, "right")
+    length = hi - lo
+    inner = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    return np.bincount(owner[np.repeat(lo, length) + inner], minlength=n)
+
+
+def _similar(shared, n, m, percent: int):
+    return 100 * shared >= percent * (n + m - shared)
+
+
+def _stars(words: int, percent: int):
+    """Confirm members against their hub; rows of a hub (and part) begin with the hub itself."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, None
         for batch in batches:
-            texts = text_bytes(batch.column(1))
+            hubs, docs = batch.column("hub").to_pylist(), batch.column("doc_id").to_pylist()
+            texts = text_bytes(batch.column("text"))
+            a, b = [], []
             for part in by_weight(np.array([len(t) for t in texts]), 1 << 21):
-                sets = shingle_sets(texts[part], words)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[part], pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                    names=["id", "shingles"])
+                for h, d, s in zip(hubs[part], docs[part], shingle_sets(texts[part], words), strict=True):
+                    if d == h:
+                        hub, own = h, s
+                    elif _similar(len(np.intersect1d(own, s, assume_unique=True)), len(own), len(s), percent):
+                        a.append(hub)
+                        b.append(d)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
     return run
 
 
-def _alike(coordinates: int, least: float):
-    """Pairs within two blocks of a bucket, in different components, whose signatures are close enough."""
+def _joining(words: int, percent: int):
+    """Links between the left and the right block of a hub that join components."""
     def run(table: pa.Table) -> pa.Table:
-        first = table.column("first").to_numpy(zero_copy_only=False).astype(bool)
-        ids, comp, size = (table.column(c).to_numpy() for c in ("doc_id", "component", "n"))
-        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, coordinates)
-        same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        left = np.arange(len(ids)) if same else np.flatnonzero(first)
-        right = left if same else np.flatnonzero(~first)
-        found = []
-        for x in left.tolist():
-            y = right[(comp[right] != comp[x]) & (ids[right] != ids[x])]
-            y = y[ids[y] > ids[x]] if same else y
-            y = y[(sig[y] == sig[x]).sum(axis=1) >= least]
-            found += [(min(ids[x], v), max(ids[x], v)) for v in ids[y].tolist()]
-        a, b = zip(*found, strict=True) if found else ((), ())
+        left_side = table.column("left").to_numpy(zero_copy_only=False).astype(bool)
+        docs = table.column("doc_id").to_numpy()
+        names, root = np.unique(table.column("component").to_numpy(), return_inverse=True)
+        texts, sets = text_bytes(table.column("text").combine_chunks()), []
+        for part in by_weight(np.array([len(t) for t in texts]), 1 << 21):
+            sets += shingle_sets(texts[part], words)
+        size = np.array([len(s) for s in sets])
+        right = np.flatnonzero(~left_side)
+        owner = np.repeat(np.arange(len(right)), size[right])
+        shingles = np.concatenate([sets[i] for i in right]) if len(right) else np.empty(0, np.uint64)
+        order = np.argsort(shingles, kind="stable")
+        shingles, owner = shingles[order], owner[order]
+        a, b = [], []
+        for i in np.flatnonzero(left_side).tolist():
+            if (root[right] == root[i]).all():
+                continue
+            good = _similar(_shared(sets[i], shingles, owner, len(right)), size[i], size[right], percent)
+            for j in right[good & (root[right] != root[i])].tolist():
+                if root[j] != root[i]:
+                    a.append(docs[i])
+                    b.append(docs[j])
+                    root[root == root[j]] = root[i]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return run
 
@@ -185,63 +215,50 @@ class _Search:
         degree = shared.groupBy("doc_id").agg(F.sum(F.col("size") - 1).alias("rank"))
         return stage(shared.join(degree, "doc_id"), "members")
 
-    def close(self, a: str, b: str):
-        """Sizes that allow the similarity at all."""
-        return (F.least(a, b) * 100 >= F.greatest(a, b) * self.percent)
-
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Those pairs (`a`, `b`) whose full sets are similar enough."""
-        ids = stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-        texts = self.texts.join(ids, F.col("doc_id") == F.col("id"), "left_semi")
-        sets = stage_arrow(texts.mapInArrow(_set_rows(self.words), "id long, shingles array<long>"), "sets")
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-        both = both.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-        both = both.withColumn("shared", F.size(F.array_intersect("x", "y")))
-        return both.where(F.col("shared") * 100 >= (F.size("x") + F.size("y") - F.col("shared")) * self.percent).select("a", "b")
-
-    def likely(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose signatures do not rule the similarity out."""
-        sig = self.classes.select("doc_id", "signature")
-        same = F.lit(0)
-        both = pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("signature").alias("x")), "a")
-        both = both.join(sig.select(F.col("doc_id").alias("b"), F.col("signature").alias("y")), "b")
-        for k in range(self.bands * self.rows):
-            same = same + (F.substring("x", 4 * k + 1, 4) == F.substring("y", 4 * k + 1, 4)).cast("int")
-        return both.where(same >= self.least()).select("a", "b")
-
-    def least(self) -> float:
-        k, t = self.bands * self.rows, self.percent / 100
-        return k * t - SLACK * (k * t * (1 - t)) ** 0.5
+    def stars(self) -> DataFrame:
+        """Hubs with the documents that share a bucket of theirs: (`hub`, `doc_id`, `fit`); the hub is one of them.
+
+        `fit`: the sizes of both sets allow the similarity.
+        """
+        members = self.members()
+        top = members.groupBy("bucket").agg(F.max(F.struct("rank", (-F.col("doc_id")).alias("neg"), "n")).alias("top"))
+        hubs = top.select("bucket", (-F.col("top.neg")).alias("hub"), F.col("top.n").alias("hub_n"))
+        fit = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * self.percent
+        return stage(members.join(hubs, "bucket").select("hub", "doc_id", fit.alias("fit")).distinct(), "stars")
 
     def links(self) -> DataFrame:
         """Enough confirmed links to connect what is connected."""
-        members = self.members()
-        centre = members.groupBy("bucket").agg(
-            F.max(F.struct("rank", (-F.col("doc_id")).alias("neg"), "n")).alias("top"))
-        pairs = members.join(centre.select("bucket", (-F.col("top.neg")).alias("hub"), F.col("top.n").alias("hub_n")), "bucket")
-        pairs = pairs.where("doc_id <> hub").where(self.close("n", "hub_n"))
-        tested = stage(pairs.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct(), "pairs")
-        links = stage(self.confirmed(tested), "links")
-        labels = components(links)
-        rest = self.unconnected(members, labels)
-        more = rest.join(tested, ["a", "b"], "left_anti")
-        return links.unionByName(self.confirmed(stage(more, "pairs")))
-
-    def unconnected(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """Candidate pairs of one bucket that lie in different components, compared in blocks."""
-        where = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        where = where.withColumn("component", F.coalesce("component", "doc_id"))
-        mixed = where.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        # A bucket of two has had its only pair tested.
-        rest = stage(where.where("size > 2").join(mixed.select("bucket"), "bucket").select("bucket", "doc_id", "n", "size", "component"), "rest")
-        sig = self.classes.select("doc_id", "signature")
-        blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-        rows = rest.join(sig, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                           (F.col("own") <= F.col("other")).alias("first"), "doc_id", "n", "component", "signature")
-        found = rows.groupBy("bucket", "i", "j").applyInArrow(_alike(self.bands * self.rows, self.least()), "a long, b long")
-        return found.distinct()
+        stars = self.stars()
+        ids = stars.select(F.col("doc_id").alias("id")).distinct()
+        texts = stage(self.texts.join(ids, F.col("doc_id") == F.col("id"), "left_semi"), "candidates")
+        # A star is cut into parts, each with its hub, so that a large one is shared out.
+        counts = stars.groupBy("hub").agg(F.count("*").alias("n"))
+        parts = F.ceil(F.col("n") / F.lit(4 * BLOCK)).cast("int")
+        own = F.pmod(F.xxhash64("doc_id"), parts).cast("int")
+        rows = stars.where("fit").join(counts, "hub").withColumn("part", F.explode(
+            F.when(F.col("hub") == F.col("doc_id"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own))))
+        rows = rows.select("hub", "part", "doc_id").join(texts, "doc_id").repartition("hub", "part").sortWithinPartitions(
+            "hub", "part", F.col("doc_id") != F.col("hub"))
+        links = stage_arrow(rows.mapInArrow(_stars(self.words, self.percent), "a long, b long"), "links")
+        more = self.joining(stars, texts, components(links))
+        return links.unionByName(more)
+
+    def joining(self, stars: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links that stars have left out: in each, whatever lies outside its largest component against all its members."""
+        known = stars.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        known = stage(known.select("hub", "doc_id", F.coalesce("component", "doc_id").alias("component")), "labelled")
+        sizes = known.groupBy("hub", "component").agg(F.count("*").alias("c"))
+        core = sizes.groupBy("hub").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("n"))
+        # Two members have met already.
+        core = core.where("n > 2 AND top.c < n").select("hub", F.col("top.component").alias("core"), "n", (F.col("n") - F.col("top.c")).alias("outside"))
+        rows = known.join(core, "hub")
+        across, down = (F.ceil(F.col(c) / F.lit(BLOCK)).cast("int") for c in ("n", "outside"))
+        at = F.xxhash64("doc_id")
+        outer = F.transform(F.sequence(F.lit(0), across - 1), lambda j: F.struct(F.lit(True).alias("left"), F.pmod(at, down).cast("int").alias("i"), j.alias("j")))
+        inner = F.transform(F.sequence(F.lit(0), down - 1), lambda i: F.struct(F.lit(False).alias("left"), i.alias("i"), F.pmod(at, across).cast("int").alias("j")))
+        rows = rows.withColumn("item", F.explode(F.when(F.col("component") != F.col("core"), F.concat(outer, inner)).otherwise(inner)))
+        rows = rows.select("hub", "item.*", "doc_id", "component").join(texts, "doc_id")
+        return rows.groupBy("hub", "i", "j").applyInArrow(_joining(self.words, self.percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
