@@ -126,21 +126,20 @@ def retrain_decision(models: DataFrame, matches: DataFrame, threshold: int = MIN
         .drop("_d", "n").withColumn("latest", latest)
     )
     has_new = F.col("latest").isNotNull() & (F.col("last_trained").isNull() | (F.col("latest") > F.col("last_trained")))
-    n = F.col("new_matches").cast("string")
+    # The numbers behind a code are columns of their own.
     rules = [
-        (F.lit(not enabled), False, F.lit("automatic retraining is disabled")),
-        (~F.col("model_exists"), True, F.lit("no trained model exists yet")),
-        (F.col("last_trained").isNull(), True, F.lit("model has no recorded training date")),
-        (F.col("latest").isNull(), True, F.lit("latest data date could not be determined")),
-        (~has_new, False, F.concat(F.lit("no matches newer than "), F.col("last_trained").cast("string"))),
-        (F.col("new_matches") < threshold, False,
-         F.concat(F.lit("only "), n, F.lit(f" new matches, below the {threshold} needed to refit"))),
-        (F.lit(True), True, F.concat(n, F.lit(f" new matches (threshold {threshold})"))),
+        (F.lit(not enabled), False, "off"),
+        (~F.col("model_exists"), True, "no_model"),
+        (F.col("last_trained").isNull(), True, "undated_model"),
+        (F.col("latest").isNull(), True, "undated_data"),
+        (~has_new, False, "nothing_newer"),
+        (F.col("new_matches") < threshold, False, "too_few"),
+        (F.lit(True), True, "enough"),
     ]
     refit, reason = F.when(F.lit(False), False), F.when(F.lit(False), "")
-    for condition, verdict, text in rules:
-        refit, reason = refit.when(condition, F.lit(verdict)), reason.when(condition, text)
-    return newer.withColumns({"has_new_data": has_new, "should_retrain": refit, "reason": reason})
+    for condition, verdict, code in rules:
+        refit, reason = refit.when(condition, F.lit(verdict)), reason.when(condition, F.lit(code))
+    return newer.withColumns({"has_new_data": has_new, "should_retrain": refit, "reason": reason, "threshold": F.lit(threshold)})
 
 
 def served_dates(predictions: DataFrame, served: DataFrame) -> DataFrame:

@@ -220,6 +220,7 @@ def refusal_reason(fixtures: DataFrame, known: DataFrame, counts: DataFrame,
                    p: CrossLeagueParams = CROSS) -> DataFrame:
     """Adds `refusal`: why a fixture cannot be predicted, else null.
 
+    The code names the side and whether it is unknown or has too few matches.
     The home side is asked first. A team without a count passes the minimum; the
     known-team test is what stops it.
     """
@@ -230,19 +231,10 @@ def refusal_reason(fixtures: DataFrame, known: DataFrame, counts: DataFrame,
 
     joined = fixtures.join(side("home"), "home_team", "left").join(side("away"), "away_team", "left")
 
-    def reason(prefix: str) -> tuple[Column, Column, Column, Column]:
-        team, n = F.col(f"{prefix}_team"), F.col(f"_{prefix}_n")
-        unknown = F.col(f"_{prefix}_known").isNull()
-        no_history = F.concat(F.lit("no history for '"), team, F.lit("'"))
-        thin = F.concat(
-            F.lit("'"), team, F.lit("' has only "), n.cast("string"),
-            F.lit(f" recorded matches, below the {p.min_matches_per_team} needed"),
-        )
-        return unknown, no_history, n < p.min_matches_per_team, thin
-
-    hu, hn, hs, ht = reason("home")
-    au, an, as_, at = reason("away")
-    out = F.when(hu, hn).when(hs, ht).when(au, an).when(as_, at)
+    out = F.lit(None).cast("string")
+    for prefix in ("away", "home"):
+        unknown, n = F.col(f"_{prefix}_known").isNull(), F.col(f"_{prefix}_n")
+        out = F.when(unknown, f"{prefix}_unknown").when(n < p.min_matches_per_team, f"{prefix}_thin").otherwise(out)
     return joined.withColumn("refusal", out).select(*fixtures.columns, "refusal")
 
 

@@ -21,9 +21,9 @@ from kickframe.functions.probability import elo_expectation, from_expected_score
 from kickframe.params import CROSS, ELO, EloParams
 from kickframe.session import cut, stage
 
-INPUT = ["pool", "match_id", "match_date", "home_team", "away_team", "fthg", "ftag", "home_adv"]
+INPUT = ["pool", "source", "match_id", "match_date", "home_team", "away_team", "fthg", "ftag", "home_adv"]
 MATCH_SCHEMA = (
-    "pool string, match_id bigint, elo_home double, elo_away double, "
+    "pool string, source string, match_id bigint, elo_home double, elo_away double, "
     "elo_expected_home double, post_home double, post_away double"
 )
 END_SCHEMA = "pool string, era bigint, team string, rating double"
@@ -33,11 +33,11 @@ def _walker(p: EloParams, ends: bool):
     """The per-era walk as a pandas function of (matches, starting ratings)."""
 
     def walk(rows: pd.DataFrame, starts: pd.DataFrame | None) -> pd.DataFrame:
-        rows = rows.sort_values(["match_date", "match_id"], kind="stable")
+        rows = rows.sort_values(["match_date", "source", "match_id"], kind="stable")
         rating = {} if starts is None or starts.empty else dict(zip(starts.team, starts.rating))
         out = []
-        for mid, home, away, hg, ag, adv in zip(
-            rows.match_id, rows.home_team, rows.away_team, rows.fthg, rows.ftag, rows.home_adv
+        for origin, mid, home, away, hg, ag, adv in zip(
+            rows.source, rows.match_id, rows.home_team, rows.away_team, rows.fthg, rows.ftag, rows.home_adv
         ):
             rh = rating.get(home, p.initial_rating)
             ra = rating.get(away, p.initial_rating)
@@ -50,7 +50,7 @@ def _walker(p: EloParams, ends: bool):
                 step = p.k_factor * margin * (scored - expected)
                 nh, na = rh + step, ra - step
             rating[home], rating[away] = nh, na
-            out.append((mid, rh, ra, expected, nh, na))
+            out.append((origin, mid, rh, ra, expected, nh, na))
         pool = rows.pool.iloc[0] if len(rows) else None
         if ends:
             seen = sorted(set(rows.home_team) | set(rows.away_team))
@@ -59,7 +59,7 @@ def _walker(p: EloParams, ends: bool):
                 {"pool": pool, "era": era, "team": seen, "rating": [rating[t] for t in seen]}
             )
         frame = pd.DataFrame(
-            out, columns=["match_id", "elo_home", "elo_away", "elo_expected_home", "post_home", "post_away"]
+            out, columns=["source", "match_id", "elo_home", "elo_away", "elo_expected_home", "post_home", "post_away"]
         )
         frame.insert(0, "pool", pool)
         return frame
@@ -119,6 +119,8 @@ def _era_starts(rows: DataFrame, last_era: int, p: EloParams) -> DataFrame | Non
 def _prepare(matches: DataFrame, p: EloParams) -> DataFrame:
     cols = matches.columns
     out = matches if "pool" in cols else matches.withColumn("pool", F.col("league_code"))
+    if "source" not in cols:
+        out = out.withColumn("source", F.lit(""))
     if "home_adv" not in cols:
         out = out.withColumn("home_adv", F.lit(p.home_advantage))
     return out.select(
@@ -159,16 +161,29 @@ def neutral_advantage(neutral: Column, p: EloParams = ELO) -> Column:
 
 def shared_walk(domestic: DataFrame, supplementary: DataFrame, p: EloParams = ELO,
                 era_rows: int = params.ERA_ROWS) -> DataFrame:
-    """One walk over both corpora; `source` tells the outputs apart afterwards.
+    """One walk over both corpora; `source` tells the outputs apart, as ids may overlap.
 
-    Supplementary rows need both teams and both goals.
+    On one day domestic rows come first. Supplementary rows need both teams and both goals.
+    """
+    return elo_walk(both_corpora(domestic, supplementary), p, era_rows)
+
+
+def both_corpora(domestic: DataFrame, supplementary: DataFrame) -> DataFrame:
+    """The rows of both corpora with their `source` and the pool of linked leagues they belong to.
+
+    Without the leagues of both sides there is one pool.
     """
     cols = ["match_id", "match_date", "home_team", "away_team", "fthg", "ftag"]
-    both = domestic.select(*cols, F.lit("domestic").alias("source")).unionByName(
-        supplementary.na.drop(subset=cols[2:]).select(*cols, F.lit("supplementary").alias("source"))
-    )
-    walked = elo_walk(both.withColumn("pool", F.lit("all")), p, era_rows)
-    return walked.join(both.select("match_id", "source"), "match_id")
+    sides = ["home_league", "away_league"]
+    known = all(c in df.columns for df in (domestic, supplementary) for c in sides)
+    keep = [*cols, *sides] if known else cols
+    both = domestic.select(*keep, F.lit("domestic").alias("source")).unionByName(
+        supplementary.na.drop(subset=cols[2:]).select(*keep, F.lit("supplementary").alias("source")))
+    if not known:
+        return both.withColumn("pool", F.lit("all"))
+    pools = rating_pools(both.select(F.col("home_league").alias("league_a"), F.col("away_league").alias("league_b")))
+    out = both.join(pools.withColumnRenamed("league", "home_league"), "home_league", "left")
+    return out.withColumn("pool", F.coalesce("pool", F.lit("none")))
 
 
 def rating_pools(links: DataFrame) -> DataFrame:

@@ -6,11 +6,7 @@ that fills a third of the table is still one row in the resolution itself.
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kickframe.operators.odds import containing_names
@@ -89,31 +85,29 @@ def resolve_names(names: DataFrame, candidates: DataFrame, aliases: DataFrame) -
     )
 
 
+def _bigrams(name: Column) -> Column:
+    """Distinct pairs of adjacent letters; a single letter stands for itself."""
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1))), lambda i: F.substr(name, i, F.lit(2)))
+    return F.array_distinct(pairs)
+
+
 def suggest_names(unresolved: DataFrame, candidates: DataFrame,
                   count: int = SUGGESTION_COUNT, cutoff: float = SUGGESTION_CUTOFF) -> DataFrame:
     """Close candidate spellings of each unresolved name; advisory only.
 
-    A search scope's candidates are its team list, a dimension; it travels as one
-    array so that no name-by-candidate pairs are formed in the plan.
+    Names of a search scope that share a pair of letters are compared by edit distance, as a share of
+    the longer name; the closest `count` from `cutoff` on are ranked, ties by name.
     """
-    lists = candidates.distinct().groupBy("search").agg(F.sort_array(F.collect_set("team")).alias("teams"))
-    joined = unresolved.select("raw_name", "search").distinct().join(lists, "search")
-
-    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for raw, search, teams in zip(batch.raw_name, batch.search, batch.teams):
-                folded = {t.strip().casefold(): t for t in teams}
-                key = raw.strip().casefold()
-                if not key:
-                    continue
-                hits = difflib.get_close_matches(key, list(folded), n=count, cutoff=cutoff)
-                for rank, hit in enumerate(hits, 1):
-                    score = difflib.SequenceMatcher(None, hit, key).ratio()
-                    rows.append((raw, search, rank, folded[hit], score))
-            yield pd.DataFrame(rows, columns=["raw_name", "search", "rank", "suggestion", "score"])
-
-    return joined.mapInPandas(close, "raw_name string, search string, rank bigint, suggestion string, score double")
+    folded = lambda c: F.lower(F.trim(c))
+    names = unresolved.select("raw_name", "search").distinct().withColumn("key", folded("raw_name")).where("key <> ''")
+    teams = candidates.select("search", "team").distinct().withColumn("hit", folded("team"))
+    left = names.withColumn("pair", F.explode(_bigrams(F.col("key"))))
+    right = teams.withColumn("pair", F.explode(_bigrams(F.col("hit"))))
+    met = left.join(right, ["search", "pair"]).select("raw_name", "search", "key", "team", "hit").distinct()
+    score = F.lit(1.0) - F.levenshtein("key", "hit") / F.greatest(F.length("key"), F.length("hit"))
+    best = Window.partitionBy("raw_name", "search").orderBy(F.col("score").desc(), "team")
+    ranked = met.withColumn("score", score).where(F.col("score") >= cutoff).withColumn("rank", F.row_number().over(best))
+    return ranked.where(F.col("rank") <= count).select("raw_name", "search", "rank", F.col("team").alias("suggestion"), "score")
 
 
 def resolve_fixtures(fixtures: DataFrame, candidates: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:

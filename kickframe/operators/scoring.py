@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -163,7 +164,7 @@ def _multiplicities(ids: np.ndarray, samples: int, seed: int) -> np.ndarray:
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(mult)
         x = x ^ (x >> np.uint64(31))
     u = (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-    cdf = np.cumsum(np.exp(-1.0) / np.array([1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880], dtype=float))
+    cdf = np.cumsum(np.exp(-1.0) / np.array([math.factorial(k) for k in range(19)], dtype=float))  # beyond, under 2^-53
     return np.searchsorted(cdf, u)
 
 

@@ -15,21 +15,13 @@ from pyspark.sql import functions as F
 from kickframe import params
 
 
-def hot_keys(
-    df: DataFrame,
-    keys: Sequence[str],
-    min_rows: int = params.HOT_KEY_ROWS,
-    share: int = params.HOT_KEY_SHARE,
-) -> DataFrame | None:
+def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = params.HOT_KEY_ROWS) -> DataFrame | None:
     """Keys with too many rows for one task, or None when there is none.
 
-    A hot key owns more than 1/`share` of all rows, so there are fewer than
-    `share` of them: that bounds the broadcast below whatever the table size.
     The count reads only the key columns and combines map-side.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n") / F.lit(share)).scalar()
-    hot = counts.where((F.col("_n") > min_rows) & (F.col("_n") > total)).select(*keys)
+    hot = counts.where(F.col("_n") > min_rows).select(*keys)
     return None if hot.isEmpty() else hot
 
 
@@ -51,7 +43,7 @@ def over_recent(
         spec = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns({name: make(spec) for name, make in exprs.items()})
 
-    marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), list(keys), "left")
+    marked = df.join(hot.withColumn("_hot", F.lit(True)), list(keys), "left")
     chunked = marked.withColumn(
         "_chunk", F.when(F.col("_hot"), F.unix_date("match_date") if piece is None else piece)
     ).drop("_hot")

@@ -115,15 +115,15 @@ TRAINING = TrainingParams()
 VALUE = ValueParams()
 INSIGHTS = InsightParams()
 
+# Fixed value: the draw share of the calibration study.
+CALIBRATION_DRAW_RATE = 0.26
 MIN_NEW_MATCHES = 800
 STALE_AFTER_SECONDS = 300
 SETTLEMENT_WINDOW_DAYS = 4
 SUGGESTION_COUNT = 5
 SUGGESTION_CUTOFF = 0.4
 
-# A key with more rows than this (and more than a 100,000th of the table) is
-# split by day instead of being given to one task.
+# A key with more rows than this is split by day instead of being given to one task.
 HOT_KEY_ROWS = 1_000_000
-HOT_KEY_SHARE = 100_000
 # Rows of one rating pool walked by a single task before it is cut into eras.
 ERA_ROWS = 500_000

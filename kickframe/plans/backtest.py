@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from kickframe.operators import goals as gl
 from kickframe.operators import ratings as rt
 from kickframe.operators import scoring as sc
 from kickframe.operators.features import encoded_result
-from kickframe.params import CROSS, SCORES, CrossLeagueParams, ScoreParams
+from kickframe.params import CALIBRATION_DRAW_RATE, CROSS, SCORES, CrossLeagueParams, ScoreParams
 from kickframe.plans.dixoncoles import dc_fit
 from kickframe.session import stage
 
@@ -65,15 +67,14 @@ def rolling_origin(domestic: DataFrame, supplementary: DataFrame, p: CrossLeague
     return rows, folds
 
 
-def calibration_effect(domestic: DataFrame, supplementary: DataFrame, draw_rate: float = CROSS.draw_rate) -> DataFrame:
+def calibration_effect(domestic: DataFrame, supplementary: DataFrame, draw_rate: float = CALIBRATION_DRAW_RATE) -> DataFrame:
     """The same cross-league matches scored under linked and isolated ratings."""
     cols = ["match_id", "match_date", "home_team", "away_team", "fthg", "ftag"]
-    both = domestic.select(*cols).unionByName(supplementary.select(*cols))
-    linked = rt.elo_final(both.withColumn("pool", F.lit("all")))
+    linked = rt.elo_final(rt.both_corpora(domestic, supplementary))
     isolated = rt.elo_final(domestic)
     out = None
     for name, ratings in (("linked", linked), ("isolated", isolated)):
-        predicted = gl.cross_league_predict(supplementary.select(*cols), ratings)
+        predicted = gl.cross_league_predict(supplementary.select(*cols), ratings, p=replace(CROSS, draw_rate=draw_rate))
         scored = predicted.select(
             encoded_result().alias("label"), F.col("away_win").alias("p_away"), F.col("draw").alias("p_draw"),
             F.col("home_win").alias("p_home"))

@@ -44,14 +44,24 @@ def parse_odds_events(raw: DataFrame, column: str = "payload") -> tuple[DataFram
                 .when(F.col("o.name") == "Draw", "draw").alias("outcome"))
         .where(F.col("outcome").isNotNull())
     )
-    aggs = []
-    for side in ("home", "draw", "away"):
-        price = F.when(F.col("outcome") == side, F.coalesce("price", F.lit(0.0)))
-        aggs += [F.avg(price).alias(f"avg_{side}"), F.max(price).alias(f"best_{side}")]
-    summary = prices.groupBy("id").agg(*aggs)
-    # The nested column is dropped before the join: only identities travel.
-    timed = events.select("id", "home_team", "away_team", iso_utc(F.col("commence_time")).alias("kickoff"))
-    fixtures = timed.where(F.col("kickoff").isNotNull()).join(summary, "id", "left").na.fill(0.0)
+    # An event is one row, so its means and maxima need no shuffle.
+    h2h = F.transform("bookmakers", lambda b: F.flatten(F.transform(
+        F.filter(b["markets"], lambda m: m["key"] == "h2h"), lambda m: F.filter(m["outcomes"], lambda o: o.isNotNull()))))
+    seen = F.flatten(F.filter(h2h, lambda x: x.isNotNull()))
+    timed = events.select("id", "home_team", "away_team", iso_utc(F.col("commence_time")).alias("kickoff"), seen.alias("_o"))
+    home, away = F.col("home_team"), F.col("away_team")
+    sides = {
+        "home": lambda o: o["name"] == home,
+        "draw": lambda o: (o["name"] == "Draw") & ~F.coalesce(o["name"].isin(home, away), F.lit(False)),
+        "away": lambda o: (o["name"] == away) & ~F.coalesce(o["name"] == home, F.lit(False)),
+    }
+    summary = []
+    for side, which in sides.items():
+        found = F.transform(F.filter("_o", which), lambda o: F.coalesce(o["price"], F.lit(0.0)))
+        total = F.aggregate(found, F.lit(0.0), lambda x, y: x + y)
+        summary += [F.when(F.size(found) > 0, total / F.size(found)).otherwise(0.0).alias(f"avg_{side}"),
+                    F.coalesce(F.array_max(found), F.lit(0.0)).alias(f"best_{side}")]
+    fixtures = timed.where(F.col("kickoff").isNotNull()).select("id", "home_team", "away_team", "kickoff", *summary)
     return prices, fixtures
 
 

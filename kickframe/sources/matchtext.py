@@ -7,32 +7,45 @@ from pyspark.sql import functions as F
 
 from kickframe.functions.seasons import START_MONTH
 
-# The line formats of the text and the marks of unplayed matches.
-DATE_LINE = r"^\s*[A-Z][a-z]{2}\s+([A-Z][a-z]{2})\s+(\d{1,2})(?:\s+(\d{4}))?\s*$"
-MATCH_LINE = r"^\s*(?:(\d{1,2}:\d{2})\s+)?(\S.*?)\s+v\s+(\S.*?)(?:\s{2,}(.*))?$"
-TEAM_COUNTRY = r"^(.*?)\s*\(([A-Z]{3})\)$"
-PAIR = r"(\d+)\s*-\s*(\d+)"
-BRACKET = r"\(([^)]*)\)"
+# Marks of the text and names of months.
 EXTRA_TIME = "a.e.t."
 NOT_PLAYED = ("awarded", "cancelled", "abandoned")
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
 
-def _pair(text: Column, index: int) -> tuple[Column, Column]:
-    """The index-th score of a text, null when there is none."""
-    home = F.get(F.regexp_extract_all(text, F.lit(PAIR), F.lit(1)), F.lit(index)).cast("int")
-    away = F.get(F.regexp_extract_all(text, F.lit(PAIR), F.lit(2)), F.lit(index)).cast("int")
-    return home, away
-
-
 def _line_date(line: Column) -> Column:
-    """Date of a date line; a bare day takes its year from the season."""
-    part = lambda i: F.regexp_extract(line, DATE_LINE, i)
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), part(1)).cast("int")
+    """Date of a line of weekday, month, day and perhaps year; a bare day takes its year from the season."""
+    words = F.split(F.trim(line), " +")
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.get(words, F.lit(1))).cast("int")
+    day, named = F.get(words, F.lit(2)).try_cast("int"), F.get(words, F.lit(3))
     by_season = F.when(month >= START_MONTH, F.col("start_year")).otherwise(F.col("end_year"))
-    year = F.when(part(3) != "", part(3).try_cast("int")).otherwise(by_season)
-    text = F.concat_ws("-", year.cast("string"), F.lpad(month.cast("string"), 2, "0"), F.lpad(part(2), 2, "0"))
-    return F.when(line.rlike(DATE_LINE) & (month > 0), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date"))
+    year = F.when(named.isNull(), by_season).otherwise(named.try_cast("int"))
+    text = F.concat_ws("-", year.cast("string"), month.cast("string"), day.cast("string"))
+    fits = (F.length(F.get(words, F.lit(0))) == 3) & (month > 0) & day.isNotNull() & year.isNotNull() & (F.size(words) <= 4)
+    return F.when(fits, F.try_to_timestamp(text, F.lit("y-M-d")).cast("date"))
+
+
+def _sides(line: Column) -> tuple[Column, Column, Column]:
+    """Home text, away text and score text of a line `[time] home v away  score`."""
+    text = F.trim(line)
+    first = F.substring_index(text, " ", 1)
+    timed = first.contains(":") & F.try_to_timestamp(first, F.lit("H:mm")).isNotNull()
+    halves = F.split(F.when(timed, F.ltrim(F.substr(text, F.length(first) + 1))).otherwise(text), " +v +", 2)
+    right = F.split(F.get(halves, F.lit(1)), " {2,}", 2)
+    return F.get(halves, F.lit(0)), F.get(right, F.lit(0)), F.coalesce(F.trim(F.get(right, F.lit(1))), F.lit(""))
+
+
+def _numbers(text: Column) -> Column:
+    """The whole numbers of a text in order."""
+    return F.transform(F.split(F.trim(F.regexp_replace(text, "[^0-9]+", " ")), " "), lambda x: x.try_cast("int"))
+
+
+def _team(text: Column) -> tuple[Column, Column]:
+    """Name and country code of a side; the code stands last, in brackets."""
+    text = F.trim(text)
+    code = F.substring(text, -4, 3)
+    tagged = (F.substring(text, -5, 1) == "(") & text.endswith(")") & code.rlike("^[A-Z]{3}$")
+    return F.when(tagged, F.trim(F.substr(text, F.lit(1), F.length(text) - 5))).otherwise(text), F.when(tagged, code)
 
 
 def parse_match_text(docs: DataFrame) -> DataFrame:
@@ -49,30 +62,26 @@ def parse_match_text(docs: DataFrame) -> DataFrame:
     in_order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     dated = lines.withColumn("_own", _line_date(F.col("line"))).withColumn(
         "match_date", F.last("_own", ignorenulls=True).over(in_order))
-    part = lambda i: F.regexp_extract("line", MATCH_LINE, i)
-    rows = dated.where(F.col("_own").isNull() & F.col("match_date").isNotNull() & F.col("line").rlike(MATCH_LINE))
-    rows = rows.select("*", part(2).alias("_home"), part(3).alias("_away"), F.trim(part(4)).alias("_score"))
+    home_text, away_text, score_text = _sides(F.col("line"))
+    rows = dated.where(F.col("_own").isNull() & F.col("match_date").isNotNull())
+    rows = rows.select("*", home_text.alias("_home"), away_text.alias("_away"), score_text.alias("_score"))
     unplayed = F.lit(False)
     for mark in NOT_PLAYED:
         unplayed = unplayed | F.lower("_score").contains(mark)
-    rows = rows.where((F.col("_score") != "") & ~unplayed).select(
-        "*", F.regexp_extract("_score", BRACKET, 1).alias("_in"),
-        F.element_at(F.split("_score", r"\("), 1).alias("_out"))
+    rows = rows.where(F.col("_away").isNotNull() & (F.col("_score") != "") & ~unplayed).select(
+        "*", _numbers(F.substring_index("_score", "(", 1)).alias("_out"),
+        _numbers(F.when(F.col("_score").contains("("), F.substring_index(F.substring_index("_score", "(", -1), ")", 1)).otherwise("")).alias("_in"))
+    # After extra time the brackets hold the score at 90 minutes, then at half time.
     extra = F.col("_score").contains(EXTRA_TIME)
-    first_in, second_in, outside = _pair(F.col("_in"), 0), _pair(F.col("_in"), 1), _pair(F.col("_out"), 0)
+    at = lambda c, i: F.get(c, F.lit(i))
     goals = {
-        name: F.when(extra, first_in[i]).otherwise(outside[i]) for i, name in enumerate(("fthg", "ftag"))
+        name: F.when(extra, at("_in", i)).otherwise(at("_out", i)) for i, name in enumerate(("fthg", "ftag"))
     } | {
-        name: F.when(extra, second_in[i]).otherwise(first_in[i]) for i, name in enumerate(("hthg", "htag"))
+        name: F.when(extra, at("_in", 2 + i)).otherwise(at("_in", i)) for i, name in enumerate(("hthg", "htag"))
     }
-    def side(col: str) -> tuple[Column, Column]:
-        text = F.trim(col)
-        tagged = text.rlike(TEAM_COUNTRY)
-        return (F.when(tagged, F.trim(F.regexp_extract(text, TEAM_COUNTRY, 1))).otherwise(text),
-                F.when(tagged, F.regexp_extract(text, TEAM_COUNTRY, 2)))
-    (home, hc), (away, ac) = side("_home"), side("_away")
+    (home, hc), (away, ac) = _team(F.col("_home")), _team(F.col("_away"))
     return rows.select(
         "doc_id", F.col("competition").alias("div"), "season", "match_date",
         home.alias("home_team"), away.alias("away_team"), hc.alias("home_country"), ac.alias("away_country"),
         *[c.alias(n) for n, c in goals.items()],
-    ).where(F.col("fthg").isNotNull() & (F.col("home_team") != "") & (F.col("away_team") != ""))
+    ).where(F.col("ftag").isNotNull() & (F.col("home_team") != "") & (F.col("away_team") != ""))

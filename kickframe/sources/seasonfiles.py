@@ -26,13 +26,16 @@ def read_season_csv(spark: SparkSession, path: str) -> DataFrame:
     """Every season file under `path` as strings, tagged with league and season.
 
     Files are grouped by header line and encoding (UTF-8, else Latin-1) so that
-    no file is read under another's header; lines with too many fields drop. The
-    driver sees one header per file, never rows.
+    no file is read under another's header. The header is the first line that names
+    the home team; lines with more fields than it drop, where a quoted comma ends
+    no field. The driver sees one header per file, never rows.
     """
     lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"))
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"))
     files = lines.groupBy("file").agg(
-        F.max(F.when(F.col("value").contains(HEADER_MARK), F.col("value"))).alias("header"),
+        F.min_by(F.when(F.col("value").contains(HEADER_MARK), F.col("value")),
+                 F.when(F.col("value").contains(HEADER_MARK), F.col("place"))).alias("header"),
         F.max(~F.is_valid_utf8("value")).alias("latin"),
     ).where(F.col("header").isNotNull())
     groups: dict[tuple[str, bool], list[str]] = defaultdict(list)
@@ -47,7 +50,7 @@ def read_season_csv(spark: SparkSession, path: str) -> DataFrame:
             .option("columnNameOfCorruptRecord", "_corrupt").option("enforceSchema", "true")
             .option("encoding", "ISO-8859-1" if latin else "UTF-8").csv(sorted(members))
         )
-        too_long = F.size(F.split("_corrupt", ",")) > len(names)
+        too_long = F.size(F.split(F.regexp_replace("_corrupt", '"[^"]*"', ""), ",")) > len(names)
         part = part.withColumn("file", F.col("_metadata.file_path")).where(
             F.col("_corrupt").isNull() | ~too_long).drop("_corrupt")
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)

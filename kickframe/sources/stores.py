@@ -8,23 +8,14 @@ from pyspark.sql import functions as F
 
 from kickframe.session import stage
 
-PART_ROWS = 500
+def payloads(rows: DataFrame) -> DataFrame:
+    """A JSON payload per match, keyed by (league, date, match).
 
-
-def payloads(rows: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """Nested JSON payload per (league, date), in parts of about `part_rows`.
-
-    A league-day normally is one part. A hot one is split by id hash into as many
-    parts as its row count asks for, so no task gathers an unbounded list; the
-    parts of a key together are the whole payload.
+    A league-day is the set of its rows, at any size; nothing is gathered.
     """
-    key = ["league_code", "match_date"]
-    sizes = rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts"))
-    split = rows.join(sizes, key).withColumn(
-        "part", F.pmod(F.xxhash64("match_id"), F.col("parts").cast("bigint")).cast("int"))
-    item = F.struct("match_id", *[c for c in rows.columns if c not in (*key, "match_id")])
-    return split.groupBy(*key, "part").agg(
-        F.count(F.lit(1)).alias("matches"), F.to_json(F.sort_array(F.collect_list(item))).alias("payload"))
+    key = ["league_code", "match_date", "match_id"]
+    item = F.struct("match_id", *[c for c in rows.columns if c not in key])
+    return rows.select(*key, F.to_json(item).alias("payload"))
 
 
 def _by_month(rows: DataFrame) -> DataFrame:
@@ -41,9 +32,10 @@ def write_predictions(rows: DataFrame, path: str) -> None:
     """Upsert payloads on (league, date).
 
     Only the months touched are rewritten: what they hold under other keys is
-    merged with the new rows, staged in the shared folder, then swapped in.
+    merged with the new rows, staged in the shared folder, then swapped in. The
+    payloads are made once.
     """
-    fresh = _by_month(payloads(rows))
+    fresh = stage(_by_month(payloads(rows)), "payloads")
     spark = rows.sparkSession
     try:
         old = spark.read.parquet(path)
@@ -63,7 +55,7 @@ def write_predictions(rows: DataFrame, path: str) -> None:
 def read_predictions(spark: SparkSession, path: str, item_schema: str) -> DataFrame:
     """Payloads back as one row per match."""
     stored = spark.read.parquet(path)
-    item = F.explode(F.from_json("payload", f"array<struct<{item_schema}>>")).alias("m")
+    item = F.from_json("payload", f"struct<{item_schema}>").alias("m")
     return stored.select("league_code", "match_date", item).select("league_code", "match_date", "m.*")
 
 

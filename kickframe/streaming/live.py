@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -16,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from kickframe.functions import scoregrid as sg
 from kickframe.operators.goals import add
 from kickframe.params import ELO, STALE_AFTER_SECONDS, EloParams
+from kickframe.session import stage
 
 # Provider status codes and their canonical state.
 PROVIDER_STATUS = {
@@ -158,11 +160,17 @@ def live_board(polls: DataFrame, now: Column, stale_after: int = STALE_AFTER_SEC
 def board_upsert(path: str):
     """foreachBatch writer keeping the newest poll of each league under `path`.
 
-    A league's partition is replaced only when the batch has rows for it, so an
-    empty poll keeps the previous board. Rewriting it twice gives the same files.
+    A league's partition is replaced only when the batch has a later poll for it, so
+    neither an empty poll nor a late batch moves a board back. Rewriting it twice gives
+    the same files.
     """
     def write(batch: DataFrame, _epoch: int) -> None:
         latest = batch.groupBy("league_code").agg(F.max("poll_seq").alias("poll_seq"))
+        try:
+            stored = batch.sparkSession.read.parquet(path).groupBy("league_code").agg(F.max("poll_seq").alias("_stored"))
+            latest = stage(latest.join(stored, "league_code", "left").where("_stored IS NULL OR poll_seq >= _stored").drop("_stored"), "boards")
+        except AnalysisException:  # nothing stored yet
+            pass
         rows = batch.join(latest, ["league_code", "poll_seq"])
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("league_code").parquet(path)
 

@@ -217,8 +217,7 @@ UNION ALL SELECT match_date, '_ALL_', count(*), sum(hit), sum(b), sum(l) FROM sc
     "retrain_decision": sql(
         """SELECT model, CAST(n AS BIGINT) AS new_matches, CAST(lt IS NULL OR mx > lt AS BIGINT) AS has_new_data,
 CAST(CASE WHEN model = 'missing' OR lt IS NULL THEN true WHEN mx <= lt THEN false ELSE n >= 800 END AS BIGINT) AS should_retrain,
-CASE WHEN model = 'missing' THEN 'no trained model exists yet' WHEN lt IS NULL THEN 'model has no recorded training date' WHEN mx <= lt THEN 'no matches newer than ' || CAST(lt AS VARCHAR)
-WHEN n < 800 THEN 'only ' || n || ' new matches, below the 800 needed to refit' ELSE n || ' new matches (threshold 800)' END AS reason
+CASE WHEN model = 'missing' THEN 'no_model' WHEN lt IS NULL THEN 'undated_model' WHEN mx <= lt THEN 'nothing_newer' WHEN n < 800 THEN 'too_few' ELSE 'enough' END AS reason
 FROM (SELECT model, lt, mx, (SELECT count(*) FROM matches WHERE match_date > lt) AS n FROM (SELECT model, mx - CAST(age AS INT) AS lt, mx FROM (SELECT max(match_date) AS mx FROM matches) x,
 (VALUES ('fresh', 0), ('month', 30), ('old', 900), ('missing', 10), ('undated', NULL)) v(model, age)) y) z""", "matches"),
     "served_dates": sql(

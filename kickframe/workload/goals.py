@@ -231,8 +231,7 @@ FROM odds3 JOIN (SELECT match_id, """ + MARKET_AGG + " FROM grid GROUP BY match_
     "route_fixture": sql(
         "SELECT match_id, CASE WHEN hy <> 4 AND ay <> 4 AND home_league <> away_league THEN 'cross' ELSE 'domestic' END AS route FROM matches", "matches"),
     "refusal_reason": sql(
-        """SELECT match_id, CASE WHEN h.n IS NULL THEN 'no history for ''' || home_team || '''' WHEN h.n < 10 THEN '''' || home_team || ''' has only ' || h.n || ' recorded matches, below the 10 needed'
-WHEN a.n IS NULL THEN 'no history for ''' || away_team || '''' WHEN a.n < 10 THEN '''' || away_team || ''' has only ' || a.n || ' recorded matches, below the 10 needed' ELSE '-' END AS refusal
+        """SELECT match_id, CASE WHEN h.n IS NULL THEN 'home_unknown' WHEN h.n < 10 THEN 'home_thin' WHEN a.n IS NULL THEN 'away_unknown' WHEN a.n < 10 THEN 'away_thin' ELSE '-' END AS refusal
 FROM matches m LEFT JOIN counts h ON h.team = m.home_team LEFT JOIN counts a ON a.team = m.away_team""", "matches",
         ctes=f"hist_m AS (SELECT * FROM matches WHERE {HIST_CUT}), counts AS ({COUNTS.format(src='hist_m')})"),
     "cross_league_predict": sql(

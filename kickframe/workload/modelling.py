@@ -1,7 +1,8 @@
 """Training, scoring and backtest queries.
 
-Fits use few trees, rounds and iterations so that a check stays short; data is
-never reduced.
+Score-model fits run to convergence. The ensemble's learners use few trees and
+rounds in these queries, as one full search takes hours on one machine; their
+defaults in `params` are the full settings. Data is never reduced.
 """
 
 from __future__ import annotations
@@ -20,25 +21,22 @@ from kickframe.plans import backtest as bt
 from kickframe.plans import training as tr
 from kickframe.plans.dixoncoles import dc_fit as fit_dixon_coles
 from kickframe.session import stage
-from kickframe.sources.synthetic import domestic, laid_out, matches
+from kickframe.sources.synthetic import domestic, matches
 from kickframe.workload import goals as wg
 from kickframe.workload import ratings as wr
 from kickframe.workload.common import big, r, sql, text, tidy
 
 QUICK = replace(TRAINING, lr_max_iter=20, rf_trees=5, rf_depth=5, gbt_rounds=2, gbt_rate=0.1, folds=2, search_draws=2,
                 search_grid={"n_estimators": [1, 2], "max_depth": [2, 3], "learning_rate": [0.1], "subsample": [0.8], "colsample_bytree": [0.9]})
-ITERATIONS = 6
 
 
 def training_rows(spark, sf):
-    """Feature matrix with its chronological index, written once per session.
+    """Feature matrix with its chronological index.
 
-    The index reads its input twice, so the features are staged before it.
+    The index reads its input twice, and fits read the result many times.
     """
-    def build():
-        return chronological_index(stage(feat.feature_matrix(feat.all_features(matches(spark, sf))), "matrix"))
-
-    return laid_out(spark, sf, "training", "orders", build)
+    matrix = stage(feat.feature_matrix(feat.all_features(matches(spark, sf))), "matrix")
+    return stage(chronological_index(matrix), "training")
 
 
 def model_columns(rows):
@@ -48,7 +46,8 @@ def model_columns(rows):
 def impute_scale(spark, sf):
     rows = training_rows(spark, sf)
     cols = model_columns(rows)
-    pre = tr.fit_preprocessor(tr.as_double(rows, cols), cols)
+    train = tr.chrono_split(rows).where("part = 'base'")
+    pre = tr.fit_preprocessor(tr.as_double(train, cols), cols)
     scaler = pre.stages[2]
     filled = pre.stages[0].surrogateDF.first()
     out = [(c, float(filled[c]), float(m), float(s)) for c, m, s in zip(cols, scaler.mean, scaler.std)]
@@ -108,8 +107,9 @@ def predict_fixtures(spark, sf):
 
 
 def dc_fit(spark, sf):
-    model = fit_dixon_coles(matches(spark, sf), max_iter=2 * ITERATIONS)
+    model = fit_dixon_coles(matches(spark, sf))
     out = model.strengths(spark).withColumns({
+        "converged": F.lit(model.converged),
         "home_advantage": F.lit(model.home_advantage), "rho": F.lit(model.rho), "loss": F.lit(model.loss)})
     return tidy(out)
 
@@ -173,8 +173,7 @@ def season_folds(spark, sf):
 
 
 def rolling_origin(spark, sf):
-    quick = replace(CROSS, holdout_seasons=2)
-    rows, folds = bt.rolling_origin(domestic(spark, sf), wr.supplementary(spark, sf), quick, max_iter=ITERATIONS)
+    rows, folds = bt.rolling_origin(domestic(spark, sf), wr.supplementary(spark, sf))
     if rows is None:
         return tidy(folds)
     return tidy(rows)
@@ -191,7 +190,7 @@ def domestic_blend_tune(spark, sf):
     ensemble = tr.fit_ensemble(head, model_columns(rows.drop("part")), QUICK)
     boundary = tail.agg(F.min("match_date")).first()[0]
     m = matches(spark, sf)
-    model = fit_dixon_coles(m.where(F.col("match_date") < F.lit(boundary)), max_iter=ITERATIONS)
+    model = fit_dixon_coles(m.where(F.col("match_date") < F.lit(boundary)))
     rates = gl.dc_rates(m.select("match_id", "home_team", "away_team"), model.strengths(spark), F.lit(model.home_advantage))
     goals = gl.goal_markets(rates, model.rho).select(
         "match_id", F.col("away_win").alias("q_away"), F.col("draw").alias("q_draw"), F.col("home_win").alias("q_home"))
@@ -265,6 +264,6 @@ SELECT DISTINCT year(match_date) - CASE WHEN month(match_date) < 7 THEN 1 ELSE 0
     "calibration_effect": sql(
         "SELECT ratings, " + metric_sql() + """ FROM (SELECT ratings, label, (1.0-e)*(1.0-{d}) AS p_away, CAST({d} AS DOUBLE) AS p_draw, e*(1.0-{d}) AS p_home FROM (
 SELECT 'linked' AS ratings, {l} AS label, 1.0/(1.0+pow(10.0,(a.rating-(h.rating+65.0))/400.0)) AS e FROM matches m JOIN final h ON h.team = home_team JOIN final a ON a.team = away_team WHERE is_cross
-UNION ALL SELECT 'isolated', {l}, 1.0/(1.0+pow(10.0,(coalesce(a.rating, 1500.0)-(coalesce(h.rating, 1500.0)+65.0))/400.0)) FROM matches m LEFT JOIN dfinal h ON h.team = home_team LEFT JOIN dfinal a ON a.team = away_team WHERE is_cross) x) y GROUP BY ratings""".format(d=DR, l=LABEL),
+UNION ALL SELECT 'isolated', {l}, 1.0/(1.0+pow(10.0,(coalesce(a.rating, 1500.0)-(coalesce(h.rating, 1500.0)+65.0))/400.0)) FROM matches m LEFT JOIN dfinal h ON h.team = home_team LEFT JOIN dfinal a ON a.team = away_team WHERE is_cross) x) y GROUP BY ratings""".format(d=0.26, l=LABEL),
         "matches", recursive=True, ctes=f"{wr.DOM}, {wr.LINKED}, {wr.final_cte('matches')}, " + wr.walk_ctes("dom", "league_code", 20, name="dwalk") + ", " + wr.final_cte("dom", "dwalk", "dfinal")),
 }

@@ -18,7 +18,7 @@ def supplementary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def linked_ratings(spark: SparkSession, sf: str) -> DataFrame:
-    return rt.elo_final(matches(spark, sf).withColumn("pool", F.lit("all")))
+    return rt.elo_final(rt.both_corpora(domestic(spark, sf), supplementary(spark, sf)))
 
 
 def elo_walk(spark, sf):
@@ -85,7 +85,7 @@ def walk_ctes(src: str, pool: str, size: int, adv: str = "65.0", index: str = SE
     """
     hi, ai = index.format(c="home_team"), index.format(c="away_team")
     return f"""{name}_m AS MATERIALIZED (SELECT match_id, match_date, fthg, ftag, {pool} AS pool, CAST({adv} AS DOUBLE) AS adv, {hi} AS hi, {ai} AS ai,
- row_number() OVER (PARTITION BY {pool} ORDER BY match_date, match_id) AS k FROM {src}),
+ row_number() OVER (PARTITION BY {pool} ORDER BY match_date, is_cross, match_id) AS k FROM {src}),
 {name}_w(pool,k,match_id,rh,ra,exph,d,hi,ai,st) AS (
  SELECT DISTINCT pool, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE),
   CAST(NULL AS INT), CAST(NULL AS INT), list_transform(range({size}), lambda x: CAST(1500.0 AS DOUBLE)) FROM {name}_m
@@ -101,9 +101,9 @@ def walk_ctes(src: str, pool: str, size: int, adv: str = "65.0", index: str = SE
 
 def final_cte(src: str, walk: str = "walk", name: str = "final") -> str:
     """Final rating per team: pre-match rating plus the step of its last match."""
-    return f"""{name} AS (SELECT team, arg_max(post, ROW(match_date, match_id)) AS rating FROM (
-SELECT m.match_date, m.match_id, m.home_team AS team, w.elo_home + w.d AS post FROM {walk} w JOIN {src} m USING (match_id)
-UNION ALL SELECT m.match_date, m.match_id, m.away_team, w.elo_away - w.d FROM {walk} w JOIN {src} m USING (match_id)) t GROUP BY team)"""
+    return f"""{name} AS (SELECT team, arg_max(post, ROW(match_date, is_cross, match_id)) AS rating FROM (
+SELECT m.match_date, m.is_cross, m.match_id, m.home_team AS team, w.elo_home + w.d AS post FROM {walk} w JOIN {src} m USING (match_id)
+UNION ALL SELECT m.match_date, m.is_cross, m.match_id, m.away_team, w.elo_away - w.d FROM {walk} w JOIN {src} m USING (match_id)) t GROUP BY team)"""
 
 
 DOM = "dom AS (SELECT * FROM matches WHERE NOT is_cross)"

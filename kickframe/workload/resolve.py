@@ -202,6 +202,14 @@ ORACLES = {
         "SELECT n.league_code, n.raw_name, coalesce(r.team, '-') AS canonical FROM names n LEFT JOIN reg r ON r.league_code = n.league_code AND lower(trim(r.team)) = lower(trim(n.raw_name))",
         "matches", ctes=f"{REG}, {RAW}"),
     "resolve_alias": sql("SELECT league_code, raw_name, coalesce(canonical, '-') AS canonical, status FROM found", "matches", ctes=RESOLVE),
+    "suggest_names": sql(
+        """SELECT raw_name, search, CAST(rank AS BIGINT) AS rank, suggestion, round(score, 6) AS score FROM (
+SELECT raw_name, search, team AS suggestion, score, row_number() OVER (PARTITION BY raw_name, search ORDER BY score DESC, team) AS rank FROM (
+SELECT raw_name, f.league_code AS search, team, 1.0 - CAST(levenshtein(lower(trim(raw_name)), lower(trim(team))) AS DOUBLE) / greatest(length(trim(raw_name)), length(trim(team))) AS score
+FROM found f JOIN reg r ON r.league_code = f.league_code WHERE f.status = 'unresolved' AND len(list_intersect(
+  list_transform(range(1, greatest(length(trim(raw_name)), 2)), lambda i: substr(lower(trim(raw_name)), i, 2)),
+  list_transform(range(1, greatest(length(trim(team)), 2)), lambda i: substr(lower(trim(team)), i, 2)))) > 0) a WHERE score >= 0.4) b WHERE rank <= 5""",
+        "matches", ctes=RESOLVE),
     "resolve_fixtures": sql(
         """SELECT 'fixture' AS kind, CAST(match_id AS VARCHAR) AS id, h.canonical AS home_team, a.canonical AS away_team FROM raw r JOIN found h ON h.league_code = r.league_code AND h.raw_name = r.raw_home
 JOIN found a ON a.league_code = r.league_code AND a.raw_name = r.raw_away WHERE h.canonical IS NOT NULL AND a.canonical IS NOT NULL

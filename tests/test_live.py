@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from conftest import rows
+from kickframe.session import scratch_path
 from kickframe.sources import synthetic
 from kickframe.streaming import live as lv
 
@@ -63,3 +64,15 @@ def test_empty_poll_keeps_the_board(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
     write(polls(spark, [(1, 2, "live", 1, 0)]), 2)
     assert [r.poll_seq for r in spark.read.parquet(path).collect()] == [2]
+
+
+def test_late_batches_do_not_move_a_board_back(spark):
+    path = scratch_path(spark, "board-test")
+    write = lv.board_upsert(path)
+
+    def batch(rows):
+        return spark.createDataFrame(rows, "league_code string, poll_seq long, match_slot long, home_goals int")
+    write(batch([("A", 5, 1, 2), ("B", 3, 7, 0)]), 0)
+    write(batch([("A", 4, 1, 1), ("B", 4, 7, 1)]), 1)
+    write(batch([("A", 5, 1, 2)]), 2)
+    assert {(r.league_code, r.poll_seq, r.home_goals) for r in spark.read.parquet(path).collect()} == {("A", 5, 2), ("B", 4, 1)}

@@ -42,3 +42,15 @@ def test_pools_follow_links(spark):
     links = spark.createDataFrame([("a", "b"), ("c", "b"), ("d", "d"), ("e", "f"), ("f", "g"), ("g", "h"), ("h", "i")], "league_a string, league_b string")
     pools = {r.league: r.pool for r in rt.rating_pools(links).collect()}
     assert pools == {"a": "a", "b": "a", "c": "a", "d": "d", **{x: "e" for x in "efghi"}}
+
+
+def test_corpora_whose_ids_overlap(spark):
+    schema = "match_id long, match_date string, home_team string, away_team string, fthg long, ftag long, home_league string, away_league string"
+    domestic = spark.createDataFrame([(i, "2020-01-01", "a", "b", 1, 0, "A", "A") for i in range(1, 6)] + [(9, "2020-01-01", "x", "y", 1, 1, "X", "X")], schema)
+    other = spark.createDataFrame([(i, "2020-01-01", "a", "c", 0, 2, "A", "C") for i in range(1, 4)] + [(4, "2020-01-01", "a", "c", None, None, "A", "C")], schema)
+    out = rt.shared_walk(domestic, other)
+    assert {(r.source, r["count"]) for r in out.groupBy("source").count().collect()} == {("domestic", 6), ("supplementary", 3)}
+    rows_ = {(r.source, r.match_id): r for r in out.collect()}
+    # Domestic rows of the day come first, so the other corpus starts from where they ended.
+    assert rows_["supplementary", 1].elo_home == rows_["domestic", 5].post_home
+    assert rows_["domestic", 9].pool == "X" and rows_["domestic", 1].pool == rows_["supplementary", 1].pool == "A"

@@ -22,11 +22,11 @@ def test_exact_beats_alias_and_stale_alias_resolves_nothing(spark):
                    "new": (None, "unresolved"), "wide": ("Porto", "alias")}
 
 
-def test_suggestions_use_the_sequence_ratio(spark):
-    cands = spark.createDataFrame([("L", "Sp Lisbon"), ("L", "Porto"), ("L", "Zzz")], "search string, team string")
-    names = spark.createDataFrame([("Sporting CP", "L")], "raw_name string, search string")
-    out = rs.suggest_names(names, cands).collect()
-    assert [r.suggestion for r in out] == ["Porto", "Sp Lisbon"] or out[0].score >= 0.4
+def test_suggestions_rank_by_edit_distance(spark):
+    cands = spark.createDataFrame([("L", t) for t in ("Benfika", "Benfica B", "Porto", "Zzz")] + [("M", "Benfica")], "search string, team string")
+    names = spark.createDataFrame([(" BENFICA", "L"), ("", "L")], "raw_name string, search string")
+    out = [(r.rank, r.suggestion, round(r.score, 4)) for r in rs.suggest_names(names, cands).orderBy("rank").collect()]
+    assert out == [(1, "Benfika", round(6 / 7, 4)), (2, "Benfica B", round(7 / 9, 4))]
 
 
 def test_containment_equals_brute_force(spark):

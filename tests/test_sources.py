@@ -2,11 +2,12 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
 from kickframe.operators import cleaning as cl
-from kickframe.session import scratch_path
+from kickframe.session import scratch_path, shared_dir
 from kickframe.sources import feeds as fd
 from kickframe.sources import matchtext as mt
 from kickframe.sources import seasonfiles as sf
@@ -58,11 +59,11 @@ def test_league_tables_replace_only_their_leagues(spark, tmp_path):
     assert {(r.league_code, r.match_id) for r in spark.read.parquet(path).collect()} == {("A", 9), ("B", 2)}
 
 
-def test_payloads_split_hot_days_and_keep_every_row(spark):
+def test_payloads_are_rows_however_large_a_day(spark):
     df = spark.range(1000).select(F.col("id").alias("match_id"), F.lit("L").alias("league_code"), F.lit("2020-01-01").cast("date").alias("match_date"))
-    parts = st.payloads(df, part_rows=100)
-    assert parts.count() == 10 and parts.agg(F.sum("matches")).first()[0] == 1000
-    assert parts.agg(F.max("matches")).first()[0] < 200
+    out = st.payloads(df)
+    assert out.count() == 1000 and out.where("match_id = 7").first().payload == '{"match_id":7}'
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_prediction_upsert_keeps_other_keys(spark):
@@ -91,3 +92,29 @@ def test_malformed_odds_events_do_not_fail(spark):
     df = spark.createDataFrame([("{bad",), ('{"id":"1","commence_time":"soon","home_team":"a","away_team":"b"}',)], "payload string")
     _, fixtures = fd.parse_odds_events(df)
     assert fixtures.count() == 0
+
+
+def test_first_header_counts_and_quoted_commas_end_no_field(spark, tmp_path):
+    folder = tmp_path / "season=9596"
+    folder.mkdir()
+    (folder / "9596_E0.csv").write_text('Div,HomeTeam,AwayTeam\nE0,"a, b",c\nE0,zz HomeTeam FC,d\nE0,too,many,fields\n')
+    got = {(r.home_team, r.away_team) for r in sf.read_season_csv(spark, str(tmp_path)).collect()}
+    assert got == {("a, b", "c"), ("zz HomeTeam FC", "d")}
+
+
+def test_missing_shared_folder_is_an_error_off_local_masters():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="shared folder"):
+        shared_dir(Session())

@@ -9,7 +9,7 @@ from kickframe.workload.features import AVGS
 
 
 def _hot(matches):
-    hot = hot_keys(feat.team_matches(matches, stats=()), ["team"], min_rows=9, share=1000)
+    hot = hot_keys(feat.team_matches(matches, stats=()), ["team"], min_rows=9)
     assert hot is not None
     return hot
 
@@ -20,7 +20,7 @@ def test_no_hot_key_at_default_size(matches):
 
 def test_one_team_owning_most_rows_is_hot(spark):
     df = spark.range(1000).select(F.when(F.col("id") % 3 > 0, "big").otherwise(F.col("id").cast("string")).alias("team"))
-    assert [r.team for r in hot_keys(df, ["team"], min_rows=10, share=10).collect()] == ["big"]
+    assert [r.team for r in hot_keys(df, ["team"], min_rows=10).collect()] == ["big"]
 
 
 def test_rolling_stats_equal_on_the_split_path(matches):
@@ -85,7 +85,7 @@ def test_split_path_across_the_epoch(spark):
     data = [(i, d, "a", f"o{i}", i, 0) for i, d in enumerate(days)]
     df = spark.createDataFrame(data, "match_id long, match_date string, home_team string, away_team string, fthg long, ftag long")
     records = feat.team_matches(df.withColumn("match_date", F.to_date("match_date")), stats=("gf", "ga"))
-    hot = hot_keys(records, ["team"], min_rows=3, share=10)
+    hot = hot_keys(records, ["team"], min_rows=3)
     cols = ["team", "match_id", "avg_gf", "form"]
     plain = feat.rolling_team_stats(records, ("gf", "ga")).select(cols)
     assert rows(plain) == rows(feat.rolling_team_stats(records, ("gf", "ga"), hot=hot).select(cols))
