@@ -1,3 +1,5 @@
+"""Documents with what is odd about documents."""
+
 import random
 
 import pytest

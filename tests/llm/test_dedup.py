@@ -4,6 +4,7 @@ import hashlib
 from collections import defaultdict
 
 from brute import brute, normal, shingles
+from corpora import corpus, nothing  # noqa: F401
 
 from kickframe.llm import components, exact_dedup, minhash
 

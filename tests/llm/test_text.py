@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from corpora import corpus, nothing  # noqa: F401
 from pyspark.sql import functions as F
 
 from kickframe.llm import chat, mixing, queries, quality, toxicity, vectors, warc

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from corpora import corpus, nothing  # noqa: F401
 from tokenizers import Tokenizer
 
 from kickframe.llm import packing, token_store
