@@ -153,6 +153,21 @@ def indep_poisson_stats(fixtures: DataFrame, stats: DataFrame, league_goals: Dat
     return _plain_markets(xg.select(*fixtures.columns, "home_xg", "away_xg"), in_grid_over=False)
 
 
+def plain_scorelines(priced: DataFrame, n: int | None = None, goals: int = 5) -> DataFrame:
+    """The n most likely scorelines (all without n) of the uncorrected grid, one row each.
+
+    `priced` carries home_xg and away_xg, as both plain models give them; ties go to the lower cell.
+    """
+    upto = F.sequence(F.lit(0), F.lit(goals))
+    mass = lambda xg: F.transform(upto, lambda k: F.exp(-F.col(xg)) * F.pow(F.col(xg), k) / F.factorial(k))
+    grid = priced.withColumns({"_h": mass("home_xg"), "_a": mass("away_xg")})
+    cells = F.flatten(F.transform(upto, lambda i: F.transform(upto, lambda j: F.struct(
+        F.round(F.get("_h", i) * F.get("_a", j), 12).alias("p"), (-(i * (goals + 1) + j)).alias("order"), i.alias("home_goals"), j.alias("away_goals")))))
+    ranked = F.sort_array(cells, asc=False)
+    rows = grid.select("match_id", F.posexplode(ranked if n is None else F.slice(ranked, 1, n)).alias("pos", "s"))
+    return rows.select("match_id", (F.col("pos") + 1).alias("rank"), "s.home_goals", "s.away_goals", F.col("s.p").alias("prob"))
+
+
 def scoring_rates(matches: DataFrame) -> DataFrame:
     """Goals for and against per team: at home, away and overall."""
     when = lambda home, c: F.avg(F.when(F.col("is_home") == home, F.col(c)))

@@ -63,6 +63,16 @@ def indep_poisson_stats(spark, sf):
     return tidy(out, "match_id", *PLAIN)
 
 
+def indep_scorelines(spark, sf):
+    m = matches(spark, sf)
+    out = gl.indep_poisson_stats(fixtures(m), ins.team_stats(m), ins.league_average_goals(m))
+    return tidy(gl.plain_scorelines(out, 8))
+
+
+def empirical_scorelines(spark, sf):
+    return tidy(gl.plain_scorelines(historical(matches(spark, sf))))
+
+
 def historical(m: DataFrame) -> DataFrame:
     return gl.empirical_markets(fixtures(m), gl.scoring_rates(m), ins.league_average_goals(m))
 
@@ -129,7 +139,7 @@ def predict_from_odds(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (dc_rates, score_grid, goal_markets, top_scorelines, indep_poisson_stats, empirical_markets,
+    for f in (dc_rates, score_grid, goal_markets, top_scorelines, indep_poisson_stats, indep_scorelines, empirical_scorelines, empirical_markets,
               market_choice, normalise_1x2, blend_1x2, match_counts, route_fixture, refusal_reason,
               cross_league_predict, predict_from_odds)
 }
@@ -201,6 +211,15 @@ DR = CROSS.draw_rate
 HIST_CUT = f"match_date <= DATE '{HISTORY_END}'"
 COUNTS = "SELECT team, count(*) AS n FROM (SELECT home_team AS team FROM {src} UNION ALL SELECT away_team FROM {src}) u GROUP BY team"
 
+INDEP_XG = """indep_xg AS (SELECT m.match_id,
+greatest(0.3, least(4.0, CASE WHEN h.avg_goals_scored_home > 0 THEN h.avg_goals_scored_home ELSE league_avg END * CASE WHEN a.avg_goals_conceded_away > 0 THEN a.avg_goals_conceded_away ELSE league_avg END / league_avg)) AS home_xg,
+greatest(0.2, least(3.5, CASE WHEN a.avg_goals_scored_away > 0 THEN a.avg_goals_scored_away ELSE league_avg END * CASE WHEN h.avg_goals_conceded_home > 0 THEN h.avg_goals_conceded_home ELSE league_avg END / league_avg)) AS away_xg
+FROM matches m JOIN stats_ h ON h.team = m.home_team JOIN stats_ a ON a.team = m.away_team JOIN league_avg USING (league_code))"""
+LINES = """SELECT match_id, CAST(rank AS BIGINT) AS rank, CAST(i AS BIGINT) AS home_goals, CAST(j AS BIGINT) AS away_goals, round(p, 6) AS prob FROM (
+SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY p DESC, i * 6 + j) AS rank FROM (
+SELECT match_id, i, j, round(exp(-home_xg) * pow(home_xg, i) / factorial(CAST(i AS INTEGER)) * (exp(-away_xg) * pow(away_xg, j) / factorial(CAST(j AS INTEGER))), 12) AS p
+FROM {src}, range(6) a(i), range(6) b(j)) c) d"""
+
 ORACLES = {
     "dc_rates": sql("SELECT match_id, round(lam, 6) AS lambda_home, round(mu, 6) AS lambda_away FROM rates",
                     "matches", ctes=f"{strengths_cte()}, {rates_cte()}"),
@@ -213,12 +232,12 @@ sum(p) FILTER (i=0 AND j=1) AS p01, sum(p) FILTER (i=1 AND j=0) AS p10, sum(p) F
     "top_scorelines": sql(
         """SELECT match_id, CAST(rk AS BIGINT) AS rank, CAST(i AS BIGINT) AS home_goals, CAST(j AS BIGINT) AS away_goals, round(p, 6) AS prob FROM (
 SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY p DESC, i*11+j DESC) AS rk FROM grid) t WHERE rk <= 5""", "matches", ctes=GRID),
+    "indep_scorelines": sql(
+        LINES.format(src="indep_xg") + " WHERE rank <= 8", "matches", ctes=f"{wi.ROWS}, {wi.TEAM_STATS}, {wi.LEAGUE_AVG}, {INDEP_XG}"),
+    "empirical_scorelines": sql(LINES.format(src="hist_xg"), "matches", ctes=f"{wi.LEAGUE_AVG}, {HIST}"),
     "indep_poisson_stats": sql(
         f"SELECT match_id, {r(*PLAIN)} FROM indep", "matches",
-        ctes=f"""{wi.ROWS}, {wi.TEAM_STATS}, {wi.LEAGUE_AVG}, indep_xg AS (SELECT m.match_id,
-greatest(0.3, least(4.0, CASE WHEN h.avg_goals_scored_home > 0 THEN h.avg_goals_scored_home ELSE league_avg END * CASE WHEN a.avg_goals_conceded_away > 0 THEN a.avg_goals_conceded_away ELSE league_avg END / league_avg)) AS home_xg,
-greatest(0.2, least(3.5, CASE WHEN a.avg_goals_scored_away > 0 THEN a.avg_goals_scored_away ELSE league_avg END * CASE WHEN h.avg_goals_conceded_home > 0 THEN h.avg_goals_conceded_home ELSE league_avg END / league_avg)) AS away_xg
-FROM matches m JOIN stats_ h ON h.team = m.home_team JOIN stats_ a ON a.team = m.away_team JOIN league_avg USING (league_code)), {plain_grid_cte('indep_xg', False, 'indep')}"""),
+        ctes=f"""{wi.ROWS}, {wi.TEAM_STATS}, {wi.LEAGUE_AVG}, {INDEP_XG}, {plain_grid_cte('indep_xg', False, 'indep')}"""),
     "empirical_markets": sql(f"SELECT match_id, CAST(1 AS BIGINT) AS known, {r(*PLAIN)} FROM hist", "matches", ctes=f"{wi.LEAGUE_AVG}, {HIST}"),
     "market_choice": sql(f"SELECT match_id, source, {r(*PLAIN)} FROM choice", "matches", ctes=CHOICE),
     "normalise_1x2": sql(
