@@ -30,10 +30,14 @@ PAIR = ["xg_diff", "rest_advantage", "avg_draw_pct", *wf.SIM]
 FIXTURE = [f"{p}_{s}" for s in SIDE_STATS for p in ("home", "away")] + [f"diff_{s}" for s in wf.AVGS] + PAIR + wf.H2H
 
 
+ELO_COLUMNS = ["elo_home", "elo_away", "elo_diff", "elo_expected_home", "elo_expected_away"]
+
+
 def fixture_features(spark, sf):
     history, fixtures = split(matches(spark, sf))
-    out = fx.fixture_features(fixtures, feat.all_features(history))
-    return tidy(out, "match_id", "is_midweek", *FIXTURE)
+    ratings = rt.elo_final(rt.both_corpora(history.where(~F.col("is_cross")), history.where("is_cross")))
+    out = fx.fixture_features(fixtures, feat.all_features(history), ratings)
+    return tidy(out, "match_id", "is_midweek", *FIXTURE, *ELO_COLUMNS)
 
 
 def fixture_h2h(spark, sf):
@@ -179,8 +183,13 @@ SUMS = ["brier_sum", "logloss_sum", "window_accuracy", "window_brier", "window_l
 
 ORACLES = {
     "fixture_features": sql(
-        f"SELECT match_id, CAST(0 AS BIGINT) AS is_midweek, {r(*FIXTURE)} FROM (SELECT sides.*, {FIX_PAIR}, hfix.* EXCLUDE (match_id) FROM sides JOIN hfix USING (match_id)) t",
-        "matches", ctes=", ".join([HIST, wf.all_features_ctes("hist"), state_cte("feat", SIDE_STATS), sides_cte("feat", SIDE_STATS, True), h2h_fix_cte("feat")])),
+        f"""SELECT match_id, CAST(0 AS BIGINT) AS is_midweek, {r(*FIXTURE, *ELO_COLUMNS)} FROM (SELECT *, 1.0 - elo_expected_home AS elo_expected_away FROM (
+SELECT *, elo_home - elo_away AS elo_diff, 1.0/(1.0+pow(10.0,(elo_away-(elo_home + 65.0))/400.0)) AS elo_expected_home FROM (
+SELECT sides.*, {FIX_PAIR}, hfix.* EXCLUDE (match_id), coalesce(rh.rating, 1500.0) AS elo_home, coalesce(ra.rating, 1500.0) AS elo_away
+FROM sides JOIN hfix USING (match_id) LEFT JOIN final rh ON rh.team = home_team LEFT JOIN final ra ON ra.team = away_team) a) b) t""",
+        "matches", recursive=True, ctes=", ".join([
+            HIST, wf.all_features_ctes("hist"), state_cte("feat", SIDE_STATS), sides_cte("feat", SIDE_STATS, True), h2h_fix_cte("feat"),
+            wr.walk_ctes("hist", "'all'", 400, index=wr.LINKED_INDEX), wr.final_cte("hist")])),
     "fixture_h2h": sql(
         f"SELECT match_id, {r(*wf.H2H)} FROM hfix", "matches",
         ctes=f"{HIST}, {wf.h2h_cte('hist')}, hrows AS (SELECT hist.*, hh.* EXCLUDE (match_id) FROM hist JOIN hh USING (match_id)), {h2h_fix_cte('hrows')}"),
