@@ -31,11 +31,13 @@ QUICK = replace(TRAINING, lr_max_iter=20, rf_trees=5, rf_depth=5, gbt_rounds=2,
 
 
 def training_rows(spark, sf):
-    """Feature matrix with its chronological index.
+    """Feature matrix of domestic matches with the shared walk's ratings and a chronological index.
 
     The index reads its input twice, and fits read the result many times.
     """
-    matrix = stage(feat.feature_matrix(feat.all_features(matches(spark, sf))), "matrix")
+    home = domestic(spark, sf)
+    walked = rt.shared_walk(home, wr.supplementary(spark, sf)).where("source = 'domestic'").select("match_id", *wr.WALK)
+    matrix = stage(feat.feature_matrix(feat.all_features(home)).join(walked, "match_id"), "matrix")
     return stage(chronological_index(matrix), "training")
 
 
