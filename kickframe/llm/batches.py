@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -12,6 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kickframe.session import stage
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, clear: Callable[[], None]) -> None:
+    """Empty what other operators keep in this worker, which Spark uses again and again."""
+    for other in [name for name in _held if name != owner]:
+        _held.pop(other)()
+        pa.default_memory_pool().release_unused()
+    _held[owner] = clear
+
+
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

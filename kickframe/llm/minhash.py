@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kickframe.llm.batches import by_weight, stage_arrow, text_bytes
+from kickframe.llm.batches import by_weight, claim, stage_arrow, text_bytes
 from kickframe.llm.components import components
 from kickframe.session import stage
 
@@ -30,7 +30,7 @@ from kickframe.session import stage
 BANDS, ROWS = 28, 4
 #: Documents on either side of one comparison.
 BLOCK = 512
-_KNOWN_MAX = 500_000
+_KNOWN_MAX = 300_000
 
 
 class _Words(dict):
@@ -59,6 +59,7 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     Letters A-Z count as lower case, words end at ASCII white space. A text with
     fewer words than a shingle has its whole sequence as the only one.
     """
+    claim("minhash", _words.clear)
     if len(_words) > _KNOWN_MAX:
         _words.clear()
     split = [t.lower().split() for t in texts]
@@ -204,14 +205,14 @@ class _Search:
         named = self.sketches.where("doc_id IS NOT NULL AND n_shingles > 0")
         self.copies = stage(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
                             .where("c > 1").select("set_key", "rep"), "copies")
-        #: One document per distinct set.
-        self.classes = named.join(self.copies, "set_key", "left").where("rep IS NULL OR rep = doc_id")
+        #: One document per distinct set. Joins with all documents are shuffled at any size, so that plans grow evenly.
+        self.classes = named.join(self.copies.hint("merge"), "set_key", "left").where("rep IS NULL OR rep = doc_id")
 
     def members(self) -> DataFrame:
         """Buckets with two classes or more: (`bucket`, `doc_id`, `n`, `size`, `rank`)."""
         rows = self.classes.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-        shared = stage(rows.join(sizes, "bucket"), "members")
+        shared = stage(rows.join(sizes.hint("merge"), "bucket"), "members")
         degree = shared.groupBy("doc_id").agg(F.sum(F.col("size") - 1).alias("rank"))
         return stage(shared.join(degree, "doc_id"), "members")
 
@@ -230,14 +231,14 @@ class _Search:
         """Enough confirmed links to connect what is connected."""
         stars = self.stars()
         ids = stars.select(F.col("doc_id").alias("id")).distinct()
-        texts = stage(self.texts.join(ids, F.col("doc_id") == F.col("id"), "left_semi"), "candidates")
+        texts = stage(self.texts.join(ids.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi"), "candidates")
         # A star is cut into parts, each with its hub, so that a large one is shared out.
         counts = stars.groupBy("hub").agg(F.count("*").alias("n"))
         parts = F.ceil(F.col("n") / F.lit(4 * BLOCK)).cast("int")
         own = F.pmod(F.xxhash64("doc_id"), parts).cast("int")
         rows = stars.where("fit").join(counts, "hub").withColumn("part", F.explode(
             F.when(F.col("hub") == F.col("doc_id"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own))))
-        rows = rows.select("hub", "part", "doc_id").join(texts, "doc_id").repartition("hub", "part").sortWithinPartitions(
+        rows = rows.select("hub", "part", "doc_id").join(texts.hint("merge"), "doc_id").repartition("hub", "part").sortWithinPartitions(
             "hub", "part", F.col("doc_id") != F.col("hub"))
         links = stage_arrow(rows.mapInArrow(_stars(self.words, self.percent), "a long, b long"), "links")
         more = self.joining(stars, texts, components(links))
@@ -257,7 +258,7 @@ class _Search:
         outer = F.transform(F.sequence(F.lit(0), across - 1), lambda j: F.struct(F.lit(True).alias("left"), F.pmod(at, down).cast("int").alias("i"), j.alias("j")))
         inner = F.transform(F.sequence(F.lit(0), down - 1), lambda i: F.struct(F.lit(False).alias("left"), i.alias("i"), F.pmod(at, across).cast("int").alias("j")))
         rows = rows.withColumn("item", F.explode(F.when(F.col("component") != F.col("core"), F.concat(outer, inner)).otherwise(inner)))
-        rows = rows.select("hub", "item.*", "doc_id", "component").join(texts, "doc_id")
+        rows = rows.select("hub", "item.*", "doc_id", "component").join(texts.hint("merge"), "doc_id")
         return rows.groupBy("hub", "i", "j").applyInArrow(_joining(self.words, self.percent), "a long, b long")
 
 

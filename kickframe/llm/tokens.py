@@ -15,7 +15,9 @@ from unicodedata import is_normalized
 import numpy as np
 from tokenizers import Tokenizer
 
-_KEPT, _LONG = 600_000, 100
+from kickframe.llm.batches import claim
+
+_KEPT, _LONG = 500_000, 100
 #: Marks that follow a word; with a letter before them they begin a new piece in every supported rule.
 _TAILS = frozenset(".,;:!?")
 #: White space other than blank and line feed.
@@ -118,6 +120,7 @@ class Encoder:
 
 def encoder(path: str, words: str) -> Encoder:
     """One encoder per worker process."""
+    claim("tokens", _loaded.clear)
     key = f"{words}:{path}"
     if key not in _loaded:
         _loaded[key] = Encoder(path, words)

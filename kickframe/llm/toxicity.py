@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kickframe.llm.batches import by_weight, small_batches, utf8_lengths
+from kickframe.llm.batches import by_weight, claim, small_batches, utf8_lengths
 from kickframe.llm.labelled import held_out, sample
 
 BITS, FACTORS, STEM = 18, 8, 5
@@ -26,15 +25,15 @@ BITS, FACTORS, STEM = 18, 8, 5
 SAMPLE, LONGEST = 20_000, 100_000
 MODULUS, HELD = 5, 0
 _MARKS = ".,;:!?\"'()[]{}*&%$#|-_~"
-_KNOWN_MAX = 500_000
+_KNOWN_MAX = 300_000
 
 
 class _Terms(dict):
     """Buckets of each word as written, its whole and its stem, kept per worker and emptied when they grow too many."""
 
-    def __missing__(self, word: str) -> tuple[int, int]:
+    def __missing__(self, word: str) -> int:
         plain = word.lower().strip(_MARKS)
-        value = (xxhash.xxh3_64_intdigest(plain) >> (64 - BITS), xxhash.xxh3_64_intdigest(plain[:STEM], seed=1) >> (64 - BITS))
+        value = xxhash.xxh3_64_intdigest(plain) >> (64 - BITS) << BITS | xxhash.xxh3_64_intdigest(plain[:STEM], seed=1) >> (64 - BITS)
         if len(word) <= 64:
             self[word] = value
         return value
@@ -45,12 +44,14 @@ _terms = _Terms()
 
 def terms(texts: list[str]) -> list[np.ndarray]:
     """Distinct buckets of each text's words and of their first letters; case and outer punctuation don't count."""
+    claim("toxicity", _terms.clear)
     if len(_terms) > _KNOWN_MAX:
         _terms.clear()
     out = []
     for t in texts:
         words = set(t.split())
-        out.append(np.unique(np.fromiter(chain.from_iterable(map(_terms.__getitem__, words)), np.int32, 2 * len(words))))
+        both = np.fromiter(map(_terms.__getitem__, words), np.int64, len(words))
+        out.append(np.unique(np.concatenate((both >> BITS, both & ((1 << BITS) - 1)))).astype(np.int32))
     return out
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kickframe.llm import chat, mixing, queries, quality, toxicity, vectors, warc
 
-SMALL = "/root/testdata/sf0.01"
+SMALL = "/root/testdata/sf0.1"
 
 
 def auc(score, y):
@@ -24,7 +24,7 @@ def auc(score, y):
     return (rank[y == 1].mean() - rank[y == 0].mean()) / len(score) + 0.5
 
 
-@pytest.mark.parametrize(("module", "target", "least"), [(quality, "quality", 0.9), (toxicity, "toxic", 0.85)])
+@pytest.mark.parametrize(("module", "target", "least"), [(quality, "quality", 0.98), (toxicity, "toxic", 0.95)])
 def test_held_out_scores(spark, module, target, least):
     docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     got = module.score(docs, module.train(docs, labels)).join(labels.select("doc_id", target), "doc_id", "left").collect()
