@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kickframe.session import stage
 
+def give_back() -> None:
+    """Return freed memory to the system, for processes that live on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _held: dict[str, Callable[[], None]] = {}
 
 
@@ -19,7 +29,7 @@ def claim(owner: str, clear: Callable[[], None]) -> None:
     """Empty what other operators keep in this worker, which Spark uses again and again."""
     for other in [name for name in _held if name != owner]:
         _held.pop(other)()
-        pa.default_memory_pool().release_unused()
+        give_back()
     _held[owner] = clear
 
 

@@ -17,12 +17,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kickframe.llm.batches import by_weight, claim, small_batches, utf8_lengths
+from kickframe.llm.batches import by_weight, claim, give_back, small_batches, utf8_lengths
 from kickframe.llm.labelled import held_out, sample
 
 BITS, FACTORS, STEM = 18, 8, 5
 #: The most labelled rows that a model is fitted on, and the longest text among them.
-SAMPLE, LONGEST = 20_000, 100_000
+SAMPLE, LONGEST = 10_000, 100_000
 MODULUS, HELD = 5, 0
 _MARKS = ".,;:!?\"'()[]{}*&%$#|-_~"
 _KNOWN_MAX = 300_000
@@ -98,7 +98,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float = 1.
     m = Machine(float(np.log(share / (1 - share))), np.zeros(n, np.float32), np.zeros((n, FACTORS), np.float32))
     if not len(y) or y.min() == y.max():
         return m
-    seen = np.bincount(np.concatenate(rows), minlength=n)
+    seen = np.zeros(n, np.int64)
+    for at in range(0, len(rows), 500):
+        seen += np.bincount(np.concatenate(rows[at:at + 500]), minlength=n)
     pairing = (seen >= max(10, paired[0] * len(rows))) & (seen <= paired[1] * len(rows))
     rows = [r[seen[r] >= least] for r in rows]
     start = rng.normal(0, 0.01, (int(pairing.sum()), FACTORS)).astype(np.float32)
@@ -165,7 +167,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, longest: int =
         # Their order is fixed, so the same rows give the same model.
         table = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").mapInArrow(_terms_of(), "y int, terms array<int>").toArrow()
     y = table.column("y").to_numpy().astype(np.float64)
-    return fit([np.asarray(t.values.to_numpy(), np.int32) for t in table.column("terms")], y)
+    known = [np.array(t.values.to_numpy(), np.int32) for t in table.column("terms")]
+    del table
+    machine = fit(known, y)
+    del known
+    give_back()
+    return machine
 
 
 def _scored(machine):
