@@ -1,14 +1,11 @@
 """Training, scoring and backtest queries.
 
-Score-model fits run to convergence. The ensemble's learners use few trees and
-rounds in these queries, as one full search takes hours on one machine; their
-defaults in `params` are the full settings. Data is never reduced.
+Score-model fits run to convergence, and the ensemble's learners use the
+published settings of `params.TRAINING`. Neither settings nor data are reduced.
 """
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from kickframe.operators import features as feat
@@ -26,9 +23,6 @@ from kickframe.workload import goals as wg
 from kickframe.workload import ratings as wr
 from kickframe.workload.common import big, r, sql, text, tidy
 
-QUICK = replace(TRAINING, lr_max_iter=20, rf_trees=5, rf_depth=5, gbt_rounds=2, gbt_rate=0.1, folds=2, search_draws=2,
-                search_grid={"n_estimators": [1, 2], "max_depth": [2, 3], "learning_rate": [0.1], "subsample": [0.8], "colsample_bytree": [0.9]})
-
 
 def training_rows(spark, sf):
     """Feature matrix of domestic matches with the shared walk's ratings and a chronological index.
@@ -68,42 +62,42 @@ def chrono_split(spark, sf):
 
 def cross_validate(spark, sf):
     rows = training_rows(spark, sf)
-    return tidy(tr.cross_validate(rows, model_columns(rows), QUICK))
+    return tidy(tr.cross_validate(rows, model_columns(rows), TRAINING))
 
 
 def base_models(spark, sf):
-    rows = tr.chrono_split(training_rows(spark, sf), QUICK)
-    ensemble = tr.fit_ensemble(rows.where("part = 'base'"), model_columns(rows.drop("part")), QUICK)
+    rows = tr.chrono_split(training_rows(spark, sf), TRAINING)
+    ensemble = tr.fit_ensemble(rows.where("part = 'base'"), model_columns(rows.drop("part")), TRAINING)
     return tidy(tr.model_probabilities(ensemble, rows.where("part = 'test'"), ["match_id"]))
 
 
 def soft_vote(spark, sf):
-    rows = tr.chrono_split(training_rows(spark, sf), QUICK)
-    ensemble = tr.fit_ensemble(rows.where("part = 'base'"), model_columns(rows.drop("part")), QUICK)
+    rows = tr.chrono_split(training_rows(spark, sf), TRAINING)
+    ensemble = tr.fit_ensemble(rows.where("part = 'base'"), model_columns(rows.drop("part")), TRAINING)
     return tidy(tr.soft_vote(ensemble, rows.where("part = 'test'")), "match_id", "p_away", "p_draw", "p_home")
 
 
 def calibrate(spark, sf):
     rows = training_rows(spark, sf)
-    _, metrics = tr.build_ensemble(rows, model_columns(rows), QUICK)
+    _, metrics = tr.build_ensemble(rows, model_columns(rows), TRAINING)
     return tidy(metrics)
 
 
 def feature_importance(spark, sf):
     rows = training_rows(spark, sf)
-    ensemble = tr.fit_ensemble(rows, model_columns(rows), QUICK, names=("forest",))
+    ensemble = tr.fit_ensemble(rows, model_columns(rows), TRAINING, names=("forest",))
     return tidy(tr.feature_importance(ensemble, spark))
 
 
 def hyper_search(spark, sf):
     rows = training_rows(spark, sf)
-    return tidy(tr.hyper_search(rows, model_columns(rows), QUICK))
+    return tidy(tr.hyper_search(rows, model_columns(rows), TRAINING))
 
 
 def predict_fixtures(spark, sf):
     rows = training_rows(spark, sf)
-    parts = tr.chrono_split(rows, QUICK)
-    ensemble = tr.fit_ensemble(parts.where("part = 'base'"), model_columns(rows), QUICK)
+    parts = tr.chrono_split(rows, TRAINING)
+    ensemble = tr.fit_ensemble(parts.where("part = 'base'"), model_columns(rows), TRAINING)
     goals = gl.goal_markets(wg.rates(matches(spark, sf)), wg.RHO)
     return tidy(tr.predict_fixtures(ensemble, parts.where("part = 'test'"), goals, 0.4))
 
@@ -187,9 +181,9 @@ def calibration_effect(spark, sf):
 
 def domestic_blend_tune(spark, sf):
     """Ensemble on the head, score model before the boundary, sweep on the tail."""
-    rows = tr.chrono_split(training_rows(spark, sf), QUICK)
+    rows = tr.chrono_split(training_rows(spark, sf), TRAINING)
     head, tail = rows.where("part = 'base'"), rows.where("part = 'test'")
-    ensemble = tr.fit_ensemble(head, model_columns(rows.drop("part")), QUICK)
+    ensemble = tr.fit_ensemble(head, model_columns(rows.drop("part")), TRAINING)
     boundary = tail.agg(F.min("match_date")).first()[0]
     m = matches(spark, sf)
     model = fit_dixon_coles(m.where(F.col("match_date") < F.lit(boundary)))
