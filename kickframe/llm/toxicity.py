@@ -22,7 +22,7 @@ from kickframe.llm.labelled import held_out, sample
 
 BITS, FACTORS, STEM = 18, 8, 5
 #: The most labelled rows that a model is fitted on, and the longest text among them.
-SAMPLE, LONGEST = 10_000, 100_000
+SAMPLE, LONGEST = 20_000, 100_000
 MODULUS, HELD = 5, 0
 _MARKS = ".,;:!?\"'()[]{}*&%$#|-_~"
 _KNOWN_MAX = 300_000
@@ -62,6 +62,24 @@ def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([*rows, np.empty(0, np.int32)]), (np.cumsum(size) - size)[some], some
 
 
+@dataclass
+class Rows:
+    """Terms of many texts in one array; `ends` has where each text's stop. Only what is asked for is cut out."""
+
+    ids: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[np.ndarray]) -> Rows:
+        return cls(np.concatenate([*rows, np.empty(0, np.int32)]), np.cumsum([len(r) for r in rows], dtype=np.int64))
+
+    def __len__(self) -> int:
+        return len(self.ends)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.ids[self.ends[i - 1] if i else 0:self.ends[i]]
+
+
 @dataclass
 class Machine:
     bias: float
@@ -82,7 +100,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margins(rows), -30, 30)))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float = 1.0, sparse: float = 4.0, factor_rate: float = 0.01,
+def fit(rows: Rows | list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float = 1.0, sparse: float = 4.0, factor_rate: float = 0.01,
         decay: float = 0.1, batch: int = 16, least: int = 3, paired: tuple[float, float] = (1 / 100, 1 / 2), alone: int = 4,
         seed: int = 7) -> Machine:
     """Logistic loss in seeded order, steps adapted to each term.
@@ -98,11 +116,13 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float = 1.
     m = Machine(float(np.log(share / (1 - share))), np.zeros(n, np.float32), np.zeros((n, FACTORS), np.float32))
     if not len(y) or y.min() == y.max():
         return m
+    if not isinstance(rows, Rows):
+        rows = Rows.of(rows)
     seen = np.zeros(n, np.int64)
-    for at in range(0, len(rows), 500):
-        seen += np.bincount(np.concatenate(rows[at:at + 500]), minlength=n)
+    for at in range(0, len(rows.ids), 1 << 20):
+        seen += np.bincount(rows.ids[at:at + (1 << 20)], minlength=n)
     pairing = (seen >= max(10, paired[0] * len(rows))) & (seen <= paired[1] * len(rows))
-    rows = [r[seen[r] >= least] for r in rows]
+    known = seen >= least
     start = rng.normal(0, 0.01, (int(pairing.sum()), FACTORS)).astype(np.float32)
     lead, sum_w = np.zeros(n, np.float32), np.zeros(n, np.float32)
     sum_v, sum_b = np.full((n, FACTORS), 1e-3, np.float32), 1.0
@@ -111,7 +131,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float = 1.
             m.factor[pairing] = start
         order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
-            own = [rows[i] for i in order[at:at + batch]]
+            own = [r[known[r]] for r in map(rows.__getitem__, order[at:at + batch].tolist())]
             error = m.scores(own) - y[order[at:at + batch]]
             sum_b += float(error.sum()) ** 2
             m.bias -= 0.1 * float(error.sum()) / sum_b ** 0.5
@@ -167,10 +187,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, longest: int =
         # Their order is fixed, so the same rows give the same model.
         table = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").mapInArrow(_terms_of(), "y int, terms array<int>").toArrow()
     y = table.column("y").to_numpy().astype(np.float64)
-    known = [np.array(t.values.to_numpy(), np.int32) for t in table.column("terms")]
-    del table
-    machine = fit(known, y)
-    del known
+    parts = table.column("terms").chunks
+    # Slices keep the buffers of their table, so the terms are copied once and the table goes.
+    ids = np.concatenate([*[p.flatten().to_numpy() for p in parts], np.empty(0, np.int32)])
+    ends = np.cumsum(np.concatenate([*[p.value_lengths().to_numpy() for p in parts], np.empty(0, np.int32)]), dtype=np.int64)
+    del table, parts
+    give_back()
+    machine = fit(Rows(ids, ends), y)
+    del ids
     give_back()
     return machine
 

@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import inspect
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
@@ -66,6 +68,21 @@ def test_factors_learn_what_weights_cannot():
     assert accuracy() > 0.9 > 0.7 > accuracy(factor_rate=0.0)
 
 
+def test_sample_is_whole_and_held_once():
+    assert inspect.signature(toxicity.train).parameters["rows"].default == 20_000
+    rng = np.random.default_rng(5)
+    apart = [np.unique(rng.integers(0, 3000, 600)).astype(np.int32) for _ in range(20_000)]
+    y = rng.integers(2, size=len(apart)).astype(float)
+    flat = toxicity.Rows.of(apart)
+    tracemalloc.start()
+    m = toxicity.fit(flat, y, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < flat.ids.nbytes  # tables of fixed size and one batch, no second copy of the terms
+    n = toxicity.fit(apart, y, epochs=1)
+    assert m.bias == n.bias and (m.weight == n.weight).all()
+
+
 def test_reject_keeps_clean_rows(corpus):
     machine = toxicity.Machine(-1.0, np.zeros(1 << toxicity.BITS, np.float32), np.zeros((1 << toxicity.BITS, toxicity.FACTORS), np.float32))
     machine.weight[toxicity.terms(["one"])[0]] = 5
