@@ -65,7 +65,8 @@ def _slabs(threshold: float, blocks: int):
                 own = batch.filter(pa.array(sizes == dim))
                 _, turned = _rotated(_matrix(own.column("embedding")))
                 for number, (a, b) in enumerate(shares(dim, blocks)):
-                    width = math.sqrt((2 - 2 * threshold) * (b - a) / dim) + EPSILON
+                    # As wide as what passes the block's test, and some more for rounding.
+                    width = math.sqrt((2 - 2 * threshold) * (b - a) / dim + EPSILON) + EPSILON
                     slab = np.floor(turned[:, a] / width).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
                         [*own.columns, *[pa.array(np.full(own.num_rows, n, np.int32)) for n in (dim, number)], pa.array(slab)],

@@ -220,3 +220,10 @@ def test_vector_links(spark, blocks, chunk):
     assert Counter((r.vec_id, r.n_links, r.component_id) for r in got) == want
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
     assert vectors.near_duplicates(frame.where("1 = 0")).count() == 0
+
+
+def test_a_pair_at_the_edge_of_a_block_meets(spark):
+    # One-dimensional blocks; the first coordinates are apart by what just passes, from one slab's end to the next but one's start.
+    x, y = [np.array([first, math.sqrt(1 - first ** 2), *[0.0] * 6]) @ vectors.rotation(8).T for first in (-1e-6, 0.132309)]
+    frame = spark.createDataFrame([(1, x.tolist(), 0), (2, y.tolist(), 0)], "vec_id long, embedding array<double>, label int")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.near_duplicates(frame).collect()) == [(1, 1, 1), (2, 1, 1)]
