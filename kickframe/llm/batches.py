@@ -34,17 +34,20 @@ def claim(owner: str, clear: Callable[[], None]) -> None:
 
 
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """While frames are staged in here, at most `rows` rows go to Python at once."""
-    before = spark.conf.get(ROWS)
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20):
+    """While frames are staged in here, at most `rows` rows of about `size` bytes go to Python at once; a row alone may be larger."""
+    before = {k: spark.conf.get(k) for k in (ROWS, BYTES)}
     spark.conf.set(ROWS, str(rows))
+    spark.conf.set(BYTES, str(size))
     try:
         yield
     finally:
-        spark.conf.set(ROWS, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def stage_arrow(df: DataFrame, name: str, rows: int = 1000) -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kickframe.llm import chat, exact_dedup, minhash, mixing, packing, quality, token_store, toxicity, vectors, warc
+from kickframe.llm import chat, classlm, clustering, exact_dedup, minhash, mixing, packing, quality, search, token_store, toxicity, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,19 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.lloyd(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.Index.write(table(spark, sf_dir, "documents"))
+    return index.search(table(spark, sf_dir, "benchmark"))
+
+
+def op13_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classlm.scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op3_toxicity": op3_toxicity,
@@ -91,8 +104,12 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_class_lm": op13_class_lm,
 }
 
+
 def _shared_out(name: str, rows: str, parent: str, level: str) -> str:
     """CTEs that share `budget` among siblings by water-filling."""
     return f"""
@@ -120,7 +137,41 @@ k AS (SELECT d.*, passes, rest, tokens, md5('17:' || CAST(CAST(passes AS BIGINT)
 r AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM k)
 SELECT doc_id, domain, lang, source, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(passes + CASE WHEN tokens > 0 AND upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM r"""
 
+_GAP = "CAST(list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))) AS BIGINT)"
+
+
+def _lloyd_oracle(rounds: int = clustering.ROUNDS, k: int = clustering.CLUSTERS) -> str:
+    """All rounds written out; a vector's least (distance, number) is one number."""
+    ctes = [f"""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)""",
+            f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, x FROM (
+SELECT sha256('{clustering.SEED}:' || CAST(vec_id AS VARCHAR)) AS h, x FROM v ORDER BY h LIMIT {k}))"""]
+    for t in range(rounds + 1):
+        ctes.append(f"a{t} AS MATERIALIZED (SELECT vec_id, any_value(v.x) AS x, min({_GAP} * {k} + c.cluster) AS m FROM v, c{t} c GROUP BY vec_id)")
+        if t < rounds:
+            ctes.append(f"""c{t + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(n.x, c.x) AS x FROM c{t} c LEFT JOIN (SELECT cluster, list(mean ORDER BY place) AS x FROM (
+SELECT m % {k} AS cluster, place, (sum(value) - ((sum(value) % count(*)) + count(*)) % count(*)) // count(*) AS mean
+FROM (SELECT m, unnest(x) AS value, unnest(range(1, 65)) AS place FROM a{t}) GROUP BY 1, 2) GROUP BY cluster) n ON n.cluster = c.cluster)""")
+    return "WITH " + ", ".join(ctes) + f"""
+SELECT vec_id, CAST(m % {k} AS INTEGER) AS cluster, CAST(m // {k} AS BIGINT) AS distance, CAST(sum(m // {k}) OVER (PARTITION BY m % {k}) AS BIGINT) AS cluster_inertia,
+  CAST(sum(m // {k}) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c ON c.cluster = m % {k}"""
+
+
+SEARCH_ORACLE = r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY doc_id),
+g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM d),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, g GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, CAST(sum(w.w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // words)))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term) JOIN d USING (doc_id), g GROUP BY item_id, doc_id)
+SELECT * FROM (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0) WHERE rank <= 10"""
+
 ORACLES = {
+    "op11_centroid_clustering": _lloyd_oracle(),
+    "op12_lexical_search": SEARCH_ORACLE,
     "op5_mixing": MIX_ORACLE,
     "op4_chat_format": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
