@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kickframe.session import stage
+from kickframe.session import scratch_path, shuffles_freed, stage
 
 #: White space that counts as one blank.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -34,22 +34,29 @@ def digest_rows(docs: DataFrame) -> DataFrame:
 
 
 class DigestIndex:
-    """A bucketed table (`digest`, `doc_id`): who was first with a text.
+    """A bucketed table (`digest`, `doc_id`) in the folder `path`: who was first with a text.
+
+    Another session opens it by the same path and number of buckets; one writer at a time. Without
+    a path a new one is taken in the shared folder.
 
     `ingest` may be repeated after a failure: what a lost run has appended is
     found by the anti-join. Ids are those of the batch that came first, within a
     batch the smallest; a null id gives way to any other.
     """
 
-    def __init__(self, spark: SparkSession, table: str | None = None, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
         self.spark, self.buckets = spark, buckets
-        self.table = table or f"digest_index_{uuid.uuid4().hex[:12]}"
-        if not spark.catalog.tableExists(self.table):
-            self._append(spark.createDataFrame([], "digest string, doc_id long"))
+        self.path = path or scratch_path(spark, "digest-index")
+        self.table = f"digest_index_{uuid.uuid4().hex[:12]}"
+        # The files are the index; the table only names them in this session's catalog.
+        spark.sql(f"""CREATE TABLE {self.table} (digest STRING, doc_id BIGINT) USING parquet
+            CLUSTERED BY (digest) SORTED BY (digest) INTO {int(buckets)} BUCKETS LOCATION '{self.path}'""")
 
     def _append(self, rows: DataFrame) -> None:
-        (rows.repartition(self.buckets, "digest").write.mode("append").format("parquet")
-         .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table))
+        # By the number of the bucket: each lies in one task, and so in one file, whatever the number of tasks.
+        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))
+        with shuffles_freed(self.spark):
+            rows.select("digest", "doc_id").repartition(self.buckets, bucket).write.insertInto(self.table)
 
     def entries(self) -> DataFrame:
         return self.spark.table(self.table)
