@@ -48,3 +48,13 @@ def opened(folder: str, name: str):
     system, base = place(folder)
     with system.open_input_file(f"{base}/{name}") as f:
         yield f
+
+
+def put(folder: str, name: str, data: bytes) -> None:
+    """A small file under a name that is known beforehand; attempts that write the same leave the same."""
+    system, base = place(folder)
+    system.create_dir(base, recursive=True)
+    temporary = f"{base}/.{name}-{uuid.uuid4().hex[:12]}.tmp"
+    with system.open_output_stream(temporary) as out:
+        out.write(data)
+    system.move(temporary, f"{base}/{name}")

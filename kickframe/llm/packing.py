@@ -23,11 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kickframe.llm.batches import by_weight, stage_arrow, utf8_lengths
+from kickframe.llm.batches import by_weight, freeing, stage_arrow, utf8_lengths
+from kickframe.llm.files import opened, put
 from kickframe.llm.tokens import encoder
+from kickframe.session import scratch_path, stage
 
 CAPACITY = 4096
-PIECES = "doc_id long, piece int, start long, length long, ids binary, task int, nth long"
 
 
 class _Lengths:
@@ -192,11 +193,12 @@ def lower_bound(counts: dict[int, int], capacity: int = CAPACITY) -> int:
     return best
 
 
-def _cut(path: str, words: str, end: int, capacity: int):
+def _cut(path: str, words: str, end: int, capacity: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, task, seen = encoder(path, words), TaskContext.get().partitionId(), defaultdict(int)
         tail = np.array([end], code.dtype).tobytes()
         width = code.dtype.itemsize
+        last = ("ids_crc32", pa.int64()) if digest else ("ids", pa.binary())
         for batch in batches:
             for part in by_weight(utf8_lengths(batch.column(1)), 1 << 20):
                 texts = [t or "" for t in batch.column(1)[part].to_pylist()]
@@ -207,26 +209,47 @@ def _cut(path: str, words: str, end: int, capacity: int):
                     for k, at in enumerate(range(0, len(data), capacity * width)):
                         piece = data[at:at + capacity * width]
                         n = len(piece) // width
-                        rows.append((doc, k, at // width, n, piece, task, seen[n]))
+                        rows.append((doc, k, at // width, n, checksum(piece, code.dtype) if digest else piece, task, seen[n]))
                         seen[n] += 1
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (
-                    pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()), strict=True)],
-                    names=["doc_id", "piece", "start", "length", "ids", "task", "nth"])
+                    pa.int64(), pa.int32(), pa.int64(), pa.int64(), last[1], pa.int32(), pa.int64()), strict=True)],
+                    names=["doc_id", "piece", "start", "length", last[0], "task", "nth"])
+    return freeing(run)
+
+
+def checksum(ids: bytes, dtype: np.dtype) -> int:
+    """CRC-32 of ids as little-endian 32-bit numbers."""
+    return zlib.crc32(np.frombuffer(ids, dtype).astype("<u4"))
+
+
+def _kept_bases(folder: str):
+    """Writes the bases of one task's pieces, a number per length, where those who read its pieces find them."""
+    def run(table: pa.Table) -> pa.Table:
+        task = table.column("task")[0].as_py()
+        put(folder, str(task), np.stack([table.column(c).to_numpy().astype("<i8") for c in ("length", "base")]).tobytes())
+        return pa.table({"task": pa.array([task], pa.int32())})
     return run
 
 
-def _placed(plan_, digest: bool):
+def _placed(plan_, folder: str, last: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, bases = None, None
         for batch in batches:
-            rank = batch.column("nth").to_numpy() + batch.column("base").to_numpy()
-            sequence, offset = plan_.value.places(batch.column("length").to_numpy(), rank)
-            ids = batch.column("ids")
-            if digest:
-                ids = pa.array([zlib.crc32(np.frombuffer(x.as_buffer(), "<u2").astype("<u4")) for x in ids], pa.int64())
+            tasks, length, rank = (batch.column(c).to_numpy() for c in ("task", "length", "nth"))
+            rank = rank.copy()
+            for one in np.unique(tasks).tolist():
+                if one != task:
+                    with opened(folder, str(one)) as f:
+                        known, base = np.frombuffer(f.read(), "<i8").reshape(2, -1)
+                    task, bases = one, np.zeros(int(known.max()) + 1, np.int64)
+                    bases[known] = base
+                own = tasks == one
+                rank[own] += bases[length[own]]
+            sequence, offset = plan_.value.places(length, rank)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in ("doc_id", "piece", "start", "length")], ids, pa.array(sequence), pa.array(offset)],
-                names=["doc_id", "piece", "start", "length", "ids_crc32" if digest else "ids", "sequence_id", "offset"])
+                [*[batch.column(c) for c in ("doc_id", "piece", "start", "length", last)], pa.array(sequence), pa.array(offset)],
+                names=["doc_id", "piece", "start", "length", last, "sequence_id", "offset"])
     return run
 
 
@@ -237,16 +260,18 @@ def pack(docs: DataFrame, path: str, words: str = "none", end: int = 1, capacity
     empty. Documents longer than `capacity` are cut into full pieces and a rest. `ids`
     are little-endian, 16 bits wide where the vocabulary allows. Repeated rows are packed
     as often as they occur. An empty table gives no rows. With `digest` the ids stay in the task and
-    `ids_crc32`, the checksum of their 32-bit form, takes their place.
+    `ids_crc32`, the checksum of their 32-bit form, takes their place. Pieces are written
+    once and read once; ids are never shuffled.
     """
     spark = docs.sparkSession
+    last, kind = ("ids_crc32", "long") if digest else ("ids", "binary")
     pieces = stage_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-                         .mapInArrow(_cut(path, words, end, capacity), PIECES), "pieces")
+                         .mapInArrow(_cut(path, words, end, capacity, digest), f"doc_id long, piece int, start long, length long, {last} {kind}, task int, nth long"), "pieces")
     counts = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     plan_ = spark.sparkContext.broadcast(plan(histogram, capacity))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    rows = pieces.join(bases, ["length", "task"])
-    last = "ids_crc32 long" if digest else "ids binary"
-    return rows.mapInArrow(_placed(plan_, digest), f"doc_id long, piece int, start long, length long, {last}, sequence_id long, offset long")
+    folder = scratch_path(spark, "bases")
+    stage(bases.groupBy("task").applyInArrow(_kept_bases(folder), "task int"), "bases")  # at most `capacity` numbers a task
+    return pieces.mapInArrow(_placed(plan_, folder, last), f"doc_id long, piece int, start long, length long, {last} {kind}, sequence_id long, offset long")

@@ -17,7 +17,8 @@ from tokenizers import Tokenizer
 
 from kickframe.llm.batches import claim
 
-_KEPT, _LONG = 500_000, 100
+#: Words of a generation and the longest word that is kept: two generations take some 60 MB of a worker.
+_KEPT, _LONG = 150_000, 100
 #: Marks that follow a word; with a letter before them they begin a new piece in every supported rule.
 _TAILS = frozenset(".,;:!?")
 #: White space other than blank and line feed.
