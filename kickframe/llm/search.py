@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kickframe.llm.batches import small_batches, stage_arrow
+from kickframe.llm.batches import freeing, small_batches, stage_arrow
 from kickframe.session import stage
 
 BLOCK, TOP = 128, 10
 #: Text bytes of a shard; a longer document has a shard of its own.
-SHARD = 16 << 20
+SHARD = 8 << 20
 #: Items asked at once and the most bytes of their terms: what a broadcast may hold.
 ITEMS, ITEM_BYTES = 4000, 8 << 20
 #: Lists that are opened between two looks at the threshold.
@@ -159,7 +159,7 @@ def _indexed(shard_bytes: int):
                 size += len(text)
         if held:
             yield pa.RecordBatch.from_pylist([build(held)], SCHEMA)
-    return run
+    return freeing(run)
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
