@@ -19,6 +19,7 @@ from kickframe.plans import training as tr
 from kickframe.plans.dixoncoles import dc_fit as fit_dixon_coles
 from kickframe.session import stage
 from kickframe.sources.synthetic import domestic, matches
+from kickframe.workload import features as wf
 from kickframe.workload import goals as wg
 from kickframe.workload import ratings as wr
 from kickframe.workload.common import big, r, sql, text, tidy
@@ -44,9 +45,7 @@ def impute_scale(spark, sf):
     cols = model_columns(rows)
     train = tr.chrono_split(rows).where("part = 'base'")
     pre = tr.fit_preprocessor(tr.as_double(train, cols), cols)
-    scaler = pre.stages[2]
-    filled = pre.stages[0].surrogateDF.first()
-    out = [(c, float(filled[c]), float(m), float(s)) for c, m, s in zip(cols, scaler.mean, scaler.std)]
+    out = list(zip(pre.columns, pre.median, pre.mean, pre.deviation))
     return tidy(spark.createDataFrame(out, "feature string, median double, mean double, std double"))
 
 
@@ -222,7 +221,18 @@ DR = CROSS.draw_rate
 ELO3 = f"(1.0-e)*(1.0-{DR}) AS e_away, CAST({DR} AS DOUBLE) AS e_draw, e*(1.0-{DR}) AS e_home"
 POINTS = ", ".join(f"({i}, {d}, {w})" for i, (d, w) in enumerate((d, w) for d in CROSS.draw_grid for w in CROSS.weight_grid))
 
+TRAINED = [c for c in wf.MATRIX if c not in tr.KEEP] + wr.WALK
+
 ORACLES = {
+    "impute_scale": sql(
+        f"""SELECT feature, round(any_value(med), 6) + 0.0 AS median, round(avg(coalesce(v, med)), 6) + 0.0 AS mean, round(stddev_pop(coalesce(v, med)), 6) + 0.0 AS std
+FROM (SELECT feature, v, median(v) OVER (PARTITION BY feature) AS med FROM (
+SELECT feature, v FROM (SELECT {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in TRAINED)} FROM base) UNPIVOT INCLUDE NULLS (v FOR feature IN ({", ".join(TRAINED)})))) t
+GROUP BY feature HAVING count(v) > 0""",
+        "matches", recursive=True, ctes=", ".join([
+            wr.DOM, wf.all_features_ctes("dom"), wr.LINKED,
+            """numbered AS (SELECT feat.*, walk.* EXCLUDE (pool, match_id, d), row_number() OVER (ORDER BY match_date, match_id) - 1 AS idx, count(*) OVER () AS n FROM feat JOIN walk USING (match_id))""",
+            "base AS (SELECT * FROM numbered WHERE idx < n - floor(n*0.2) - floor(n*0.15))"])),
     "time_series_folds": sql(
         "SELECT match_id, idx, CAST(CASE WHEN idx >= n - 5*(n//6) THEN (idx - (n - 5*(n//6)))//(n//6) + 1 ELSE 0 END AS BIGINT) AS test_fold FROM ix", "matches", ctes=INDEX),
     "chrono_split": sql(
