@@ -54,6 +54,30 @@ def test_index_grows_by_what_is_new(corpus):
     assert "SortMergeJoin" in plan
 
 
+def test_another_session_opens_the_index(corpus):
+    spark = corpus.sparkSession
+    first = exact_dedup.DigestIndex(spark, buckets=4)
+    rows = exact_dedup.digest_rows(corpus)
+    first.ingest(rows)
+    other = exact_dedup.DigestIndex(spark.newSession(), path=first.path, buckets=4)
+    known = other.entries().count()
+    assert known == first.entries().count() > 0
+    other.ingest(rows)
+    assert other.entries().count() == known
+
+
+def test_an_append_writes_a_file_per_bucket(corpus):
+    spark = corpus.sparkSession
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "31")
+    try:
+        index.ingest(exact_dedup.digest_rows(corpus.repartition(31)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(index.entries().inputFiles()) <= 4
+
+
 def test_exact_dedupe_keeps_one_row_and_all_columns(corpus, nothing):
     out = exact_dedup.dedupe(corpus)
     assert out.columns == corpus.columns

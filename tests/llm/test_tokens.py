@@ -116,3 +116,15 @@ def test_packing_of_a_corpus(corpus, nothing):
     assert packing.pack(nothing, path).count() == 0
     sums = packing.pack(corpus.where("doc_id = 5003"), path, words="blank", digest=True).first()
     assert sums.ids_crc32 == zlib.crc32(np.array([*whole.encode("one").ids, 1], "<u4").tobytes())
+
+
+def test_checksums_of_wide_and_narrow_ids():
+    ids = [70000, 5, 1]
+    assert packing.checksum(np.array(ids, "<u4").tobytes(), np.dtype("<u4")) == zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert packing.checksum(np.array(ids[1:], "<u2").tobytes(), np.dtype("<u2")) == zlib.crc32(np.array(ids[1:], "<u4").tobytes())
+
+
+def test_a_table_is_packed_as_tightly_as_the_bound(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), words="blank", digest=True).select("length", "sequence_id").collect()
+    assert len({r.sequence_id for r in rows}) == packing.lower_bound(Counter(r.length for r in rows))
