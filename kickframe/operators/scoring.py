@@ -193,3 +193,58 @@ def bootstrap_interval(differences: DataFrame, samples: int = CROSS.bootstrap_sa
     out = means.agg(F.percentile("mean", F.lit(tail)).alias("low"), F.percentile("mean", F.lit(1.0 - tail)).alias("high"),
                     F.count(F.lit(1)).alias("samples"))
     return out.withColumn("improvement", differences.agg(F.avg("diff")).scalar()).withColumn("conclusive", F.col("low") > 0)
+
+
+def _cell_losses(batch: pd.DataFrame, cells: np.ndarray) -> np.ndarray:
+    """Log-loss of each row (down) in each cell of weight and draw rate (across)."""
+    label, e = batch.label.to_numpy(), batch.elo_expected_home.to_numpy()[:, None]
+    weight, draw = cells[:, 0], cells[:, 1]
+    elo = np.where((label == 0)[:, None], (1 - e) * (1 - draw), np.where((label == 1)[:, None], draw + 0 * e, e * (1 - draw)))
+    q = np.choose(label, [batch[f"q_{c}"].to_numpy() for c in CLASSES])[:, None]
+    total = sum(batch[f"q_{c}"].to_numpy() for c in CLASSES)[:, None]
+    mixed = ((1 - weight) * elo + weight * q) / ((1 - weight) + weight * total)
+    return -np.log(np.clip(mixed, EPS, 1 - EPS))
+
+
+def selection_bootstrap(scored: DataFrame, p: CrossLeagueParams = CROSS, samples: int = CROSS.bootstrap_samples,
+                        seed: int = CROSS.bootstrap_seed) -> DataFrame:
+    """How much better the best cell of the grid is than the configured one, with the choice made anew in every resample.
+
+    `scored` carries match_id, elo_expected_home, q_* and label. One row: `improvement` (on all rows), its percentile
+    interval `low`, `high`, `agreement` (share of resamples that pick the same cell), the best `weight` and `draw_rate`,
+    `samples`, `matches`. A task multiplies blocks of Poisson counts and losses and sends one sum per sample and cell;
+    sample -1 is the rows themselves. No rows give one row of nulls.
+    """
+    points = [(float(w), float(d)) for d in p.draw_grid for w in p.weight_grid]
+    points.append((float(p.dixon_coles_weight), float(p.draw_rate)))  # the configured cell, in the grid or not
+    cells = np.array(points)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, weight = np.zeros((samples + 1, len(cells))), np.zeros(samples + 1)
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                part = batch.iloc[at:at + 1000]
+                counts = np.column_stack([np.ones(len(part)), _multiplicities(part.match_id.to_numpy(), samples, seed)])
+                total += counts.T @ _cell_losses(part, cells)
+                weight += counts.sum(axis=0)
+        for j in range(len(cells)):
+            yield pd.DataFrame({"sample": np.arange(-1, samples), "cell": j, "total": total[:, j], "weight": weight})
+
+    sums = scored.select("match_id", "elo_expected_home", "label", *[f"q_{c}" for c in CLASSES]).mapInPandas(
+        partial, "sample int, cell int, total double, weight double")
+    means = sums.groupBy("sample", "cell").agg((F.sum("total") / F.nullif(F.sum("weight"), F.lit(0.0))).alias("mean"), F.sum("weight").alias("n"))
+    last = len(cells) - 1
+    picked = means.groupBy("sample").agg(
+        F.min(F.when(F.col("cell") < last, F.struct("mean", "cell"))).alias("best"), F.max(F.when(F.col("cell") == last, F.col("mean"))).alias("configured"),
+        F.max("n").alias("n")).where("n > 0").select("sample", F.col("best.cell").alias("cell"), (F.col("configured") - F.col("best.mean")).alias("gain"), "n")
+    whole = F.max(F.when(F.col("sample") == -1, F.struct("cell", "gain", "n")))
+    drawn = F.when(F.col("sample") >= 0, F.col("gain"))
+    tail = (1.0 - p.confidence_level) / 2.0
+    # A row per sample from here.
+    out = picked.agg(whole.alias("whole"), F.percentile(drawn, F.lit(tail)).alias("low"), F.percentile(drawn, F.lit(1.0 - tail)).alias("high"),
+                     F.collect_list(F.when(F.col("sample") >= 0, F.col("cell"))).alias("cells"), F.count(drawn).alias("samples"))
+    grid = F.array(*[F.struct(F.lit(w).alias("weight"), F.lit(d).alias("draw_rate")) for w, d in points])
+    best = F.get(grid, F.col("whole.cell"))
+    same = F.size(F.filter("cells", lambda c: c == F.col("whole.cell"))) / F.nullif(F.col("samples"), F.lit(0))
+    return out.select(F.col("whole.gain").alias("improvement"), "low", "high", same.alias("agreement"), best["weight"].alias("weight"),
+                      best["draw_rate"].alias("draw_rate"), "samples", F.coalesce(F.col("whole.n"), F.lit(0.0)).cast("long").alias("matches"))

@@ -13,7 +13,7 @@ from kickframe.operators import ratings as rt
 from kickframe.operators import scoring as sc
 from kickframe.operators.features import encoded_result
 from kickframe.params import CALIBRATION_DRAW_RATE, CROSS, SCORES, CrossLeagueParams, ScoreParams
-from kickframe.plans.dixoncoles import dc_fit
+from kickframe.plans.dixoncoles import dc_fit_before
 from kickframe.session import stage
 
 
@@ -38,24 +38,26 @@ def rolling_origin(domestic: DataFrame, supplementary: DataFrame, p: CrossLeague
     """(held-out rows with both legs, one summary row per fold).
 
     One rating walk serves every fold, since ratings are recorded before each
-    match. The score model is fitted once per fold on the rows before its cut. A
-    fold below the minimum contributes nothing and says so.
+    match. The score models of all folds, each on the rows before its cut, are fitted
+    together. A fold below the minimum contributes nothing and says so.
     """
     spark = domestic.sparkSession
     cols = ["match_id", "match_date", "home_team", "away_team", "fthg", "ftag"]
     combined = domestic.select(*cols).unionByName(supplementary.select(*cols))
     walked = rt.shared_walk(domestic, supplementary).where("source = 'supplementary'").select("match_id", "elo_expected_home")
     rated = stage(supplementary.select(*cols).join(walked, "match_id"), "rated")
-    rows, summary = None, []
+    rows, summary, gated = None, [], []
     for fold in season_folds(supplementary, p).orderBy("season_start").collect():
-        train, held = holdout_gate(combined, rated, fold, p)
+        _, held = holdout_gate(combined, rated, fold, p)
         held = stage(held, "held")
         kept, refused = held.agg(F.count_if(F.col("refusal").isNull()), F.count_if(F.col("refusal").isNotNull())).first()
         counted = kept if kept >= p.min_holdout_matches else 0
         summary.append((fold.season_start, counted, refused))
-        if not counted:
-            continue
-        model = dc_fit(train, scores, max_iter)
+        if counted:
+            gated.append((fold, held))
+    models = dc_fit_before(combined, [fold.cut for fold, _ in gated], scores, max_iter) if gated else {}
+    for i, (fold, held) in enumerate(gated):
+        model = models[i]
         rates = gl.dc_rates(held.where(F.col("refusal").isNull()), model.strengths(spark), F.lit(model.home_advantage))
         priced = gl.goal_markets(rates, model.rho, scores)
         part = priced.select(

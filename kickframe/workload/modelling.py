@@ -174,6 +174,27 @@ def rolling_origin(spark, sf):
     return tidy(rows)
 
 
+def heldout_rows(spark, sf):
+    """Rows of the rolling-origin backtest: every match priced by models of what was before its season."""
+    rows, _ = bt.rolling_origin(domestic(spark, sf), wr.supplementary(spark, sf))
+    if rows is None:
+        rows = spark.createDataFrame([], "match_id long, elo_expected_home double, q_away double, q_draw double, q_home double, label int")
+    return stage(rows, "heldout")
+
+
+def heldout_grid(spark, sf):
+    return tidy(sc.blend_grid_2d(heldout_rows(spark, sf)))
+
+
+def heldout_baselines(spark, sf):
+    return tidy(sc.baselines(heldout_rows(spark, sf)))
+
+
+def heldout_bootstrap(spark, sf):
+    """The best cell, chosen anew in every resample, against the configured one."""
+    return tidy(sc.selection_bootstrap(heldout_rows(spark, sf)))
+
+
 def calibration_effect(spark, sf):
     return tidy(bt.calibration_effect(domestic(spark, sf), wr.supplementary(spark, sf)))
 
@@ -197,6 +218,7 @@ QUERIES = {
     for f in (dc_fit, impute_scale, time_series_folds, cross_validate, base_models, soft_vote, chrono_split, calibrate,
               metrics_1x2, class_report, calibration_curve, feature_importance, hyper_search, predict_fixtures,
               season_folds, rolling_origin, blend_sweep, blend_grid_2d, baselines, bootstrap_interval,
+              heldout_grid, heldout_baselines, heldout_bootstrap,
               calibration_effect, domestic_blend_tune)
 }
 
