@@ -29,6 +29,8 @@ from kickframe.llm.tokens import encoder
 from kickframe.session import scratch_path, stage
 
 CAPACITY = 4096
+#: Words of a generation in a worker: beside what a pipeline's earlier stages left, less memory counts more than time.
+KEPT = 150_000
 
 
 class _Lengths:
@@ -195,7 +197,7 @@ def lower_bound(counts: dict[int, int], capacity: int = CAPACITY) -> int:
 
 def _cut(path: str, words: str, end: int, capacity: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, task, seen = encoder(path, words), TaskContext.get().partitionId(), defaultdict(int)
+        code, task, seen = encoder(path, words, KEPT), TaskContext.get().partitionId(), defaultdict(int)
         tail = np.array([end], code.dtype).tobytes()
         width = code.dtype.itemsize
         last = ("ids_crc32", pa.int64()) if digest else ("ids", pa.binary())

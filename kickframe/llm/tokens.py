@@ -17,8 +17,8 @@ from tokenizers import Tokenizer
 
 from kickframe.llm.batches import claim
 
-#: Words of a generation and the longest word that is kept: two generations take some 60 MB of a worker.
-_KEPT, _LONG = 150_000, 100
+#: Words of a generation and the longest word that is kept. Two generations take some 165 MB of a worker.
+_KEPT, _LONG = 500_000, 100
 #: Marks that follow a word; with a letter before them they begin a new piece in every supported rule.
 _TAILS = frozenset(".,;:!?")
 #: White space other than blank and line feed.
@@ -57,7 +57,8 @@ class Encoder:
     white space between words, "none" encodes texts whole.
     """
 
-    def __init__(self, path: str, words: str):
+    def __init__(self, path: str, words: str, kept: int = _KEPT):
+        self.kept = kept
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces = self.tokenizer.model.tokenize
         self.words = words
@@ -113,16 +114,16 @@ class Encoder:
         return ids
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > _KEPT:
+        if len(self.known) > self.kept:
             self.before, self.known = self.known, _Known(self._learn)
         get, parts = self.known.__getitem__, self._parts
         return [b"".join(map(get, parts(t))) for t in texts]
 
 
-def encoder(path: str, words: str) -> Encoder:
+def encoder(path: str, words: str, kept: int = _KEPT) -> Encoder:
     """One encoder per worker process."""
     claim("tokens", _loaded.clear)
-    key = f"{words}:{path}"
+    key = f"{words}:{kept}:{path}"
     if key not in _loaded:
-        _loaded[key] = Encoder(path, words)
+        _loaded[key] = Encoder(path, words, kept)
     return _loaded[key]
