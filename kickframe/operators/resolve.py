@@ -6,8 +6,12 @@ that fills a third of the table is still one row in the resolution itself.
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from kickframe.operators.odds import containing_names
 from kickframe.operators.windows import hot_keys, over_recent
@@ -85,29 +89,59 @@ def resolve_names(names: DataFrame, candidates: DataFrame, aliases: DataFrame) -
     )
 
 
-def _bigrams(name: Column) -> Column:
-    """Distinct pairs of adjacent letters; a single letter stands for itself."""
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1))), lambda i: F.substr(name, i, F.lit(2)))
-    return F.array_distinct(pairs)
+def _letters(name: Column) -> Column:
+    """The letters of a name as distinct elements: the letter and how often it came before in the sorted name."""
+    chars = F.array_sort(F.split(name, ""))
+    return F.transform(chars, lambda c, i: F.concat(c, (i + 1 - F.array_position(chars, c)).cast("string")))
+
+
+def _by_rarity(names: DataFrame, column: str, counts: DataFrame, cutoff: float) -> DataFrame:
+    """Adds `letters`, rarest of the scope first, and `head`: one of them is in every name that is close enough.
+
+    A ratio of `cutoff` takes cutoff * (own + other) / 2 common letters and the other name has at least
+    that many, so cutoff / (2 - cutoff) of the own letters must be shared.
+    """
+    one = names.select("search", column, F.explode(_letters(F.col(column))).alias("letter"))
+    lists = one.join(counts, ["search", "letter"]).groupBy("search", column).agg(
+        F.sort_array(F.collect_list(F.struct("n", "letter"))).alias("_l"))  # a name's own letters
+    shared = F.ceil(F.size("letters") * F.lit(cutoff / (2 - cutoff)) - F.lit(1e-9))
+    return lists.select("search", column, F.col("_l.letter").alias("letters")).withColumn(
+        "head", F.slice("letters", 1, (F.size("letters") - F.greatest(shared, F.lit(1)) + 1).cast("int")))
+
+
+@F.pandas_udf(DoubleType())
+def _block_ratio(hit: pd.Series, key: pd.Series) -> pd.Series:
+    """Twice the letters in longest matching blocks over the letters of both names."""
+    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(hit, key)], dtype="float64")
 
 
 def suggest_names(unresolved: DataFrame, candidates: DataFrame,
                   count: int = SUGGESTION_COUNT, cutoff: float = SUGGESTION_CUTOFF) -> DataFrame:
     """Close candidate spellings of each unresolved name; advisory only.
 
-    Names of a search scope that share a pair of letters are compared by edit distance, as a share of
-    the longer name; the closest `count` from `cutoff` on are ranked, ties by name.
+    The score is the ratio of longest matching blocks; the closest `count` from `cutoff` (above 0) on
+    are ranked, ties by the later folded name. Pairs are met on their rarest letters, tested by common
+    letters, and only what can reach the cutoff is scored; no pair above it is lost. Of candidates
+    that fold alike the last name stands for all. Null and blank names and candidates give no rows.
     """
-    folded = lambda c: F.lower(F.trim(c))
-    names = unresolved.select("raw_name", "search").distinct().withColumn("key", folded("raw_name")).where("key <> ''")
-    teams = candidates.select("search", "team").distinct().withColumn("hit", folded("team"))
-    left = names.withColumn("pair", F.explode(_bigrams(F.col("key"))))
-    right = teams.withColumn("pair", F.explode(_bigrams(F.col("hit"))))
-    met = left.join(right, ["search", "pair"]).select("raw_name", "search", "key", "team", "hit").distinct()
-    score = F.lit(1.0) - F.levenshtein("key", "hit") / F.greatest(F.length("key"), F.length("hit"))
-    best = Window.partitionBy("raw_name", "search").orderBy(F.col("score").desc(), "team")
-    ranked = met.withColumn("score", score).where(F.col("score") >= cutoff).withColumn("rank", F.row_number().over(best))
-    return ranked.where(F.col("rank") <= count).select("raw_name", "search", "rank", F.col("team").alias("suggestion"), "score")
+    names = unresolved.select("raw_name", "search", name_key("raw_name").alias("key")).where("key <> ''").distinct()
+    teams = candidates.groupBy("search", name_key("team").alias("hit")).agg(F.max("team").alias("team")).where("hit <> ''")
+    asked = names.select("search", "key").distinct()
+    counts = (asked.withColumnRenamed("key", "name").unionByName(teams.select("search", F.col("hit").alias("name")))
+              .select("search", F.explode(_letters(F.col("name"))).alias("letter")).groupBy("search", "letter").agg(F.count("*").alias("n")))
+    left, right = _by_rarity(asked, "key", counts, cutoff), _by_rarity(teams, "hit", counts, cutoff)
+    met = left.withColumn("at", F.explode("head")).join(
+        right.select("search", "hit", F.col("letters").alias("_letters"), F.col("head").alias("_head"), F.explode("head").alias("at")),
+        ["search", "at"])
+    # A pair counts where its heads meet first, so it comes once.
+    met = met.where(F.element_at(F.array_intersect("head", "_head"), 1) == F.col("at"))
+    both = F.size("letters") + F.size("_letters")
+    able = met.where(F.lit(2.0) * F.size(F.array_intersect("letters", "_letters")) / both >= cutoff).select("search", "key", "hit")
+    scored = able.withColumn("score", _block_ratio("hit", "key")).where(F.col("score") >= cutoff)
+    best = Window.partitionBy("search", "key").orderBy(F.col("score").desc(), F.col("hit").desc())
+    ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= count)
+    return names.join(ranked, ["search", "key"]).join(teams, ["search", "hit"]).select(
+        "raw_name", "search", "rank", F.col("team").alias("suggestion"), "score")
 
 
 def resolve_fixtures(fixtures: DataFrame, candidates: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -58,6 +58,8 @@ def parse_match_text(docs: DataFrame) -> DataFrame:
     lines = docs.select(
         "doc_id", "competition", "season", "start_year", "end_year",
         F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("line_no", "line"))
+    # A tab parts like two blanks, and so does other white space within a line.
+    lines = lines.withColumn("line", F.regexp_replace("line", r"[\t\x0b\f\u00a0]", "  "))
     lines = lines.where((F.trim("line") != "") & ~F.trim("line").rlike("^[=#▪]"))
     in_order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     dated = lines.withColumn("_own", _line_date(F.col("line"))).withColumn(

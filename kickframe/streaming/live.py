@@ -6,7 +6,7 @@ is a Structured Streaming form whose output equals the batch form.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -157,26 +157,68 @@ def live_board(polls: DataFrame, now: Column, stale_after: int = STALE_AFTER_SEC
     return rows.join(fetched, "league_code").withColumn("stale", age >= stale_after)
 
 
+def _replace_parts(rows: DataFrame, path: str, key: str, name: str) -> None:
+    """Replace the partitions of the keys that `rows` hold; staged first, since the rows may come from `path`."""
+    stage(rows, name).repartition(key).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+
 def board_upsert(path: str):
     """foreachBatch writer keeping the newest poll of each league under `path`.
 
-    A league's partition is replaced only when the batch has a later poll for it, so
-    neither an empty poll nor a late batch moves a board back. Rewriting it twice gives
-    the same files.
+    A league's partition is replaced only when the batch has its newest poll, so neither an
+    empty poll nor a late batch moves a board back. A poll that comes in several batches is put
+    together, a repeated batch changes nothing. One writer per path; readers may see some
+    leagues a batch older than others.
     """
     def write(batch: DataFrame, _epoch: int) -> None:
-        latest = batch.groupBy("league_code").agg(F.max("poll_seq").alias("poll_seq"))
+        spark, order = batch.sparkSession, ["league_code", "poll_seq", "match_slot"]
         try:
-            stored = batch.sparkSession.read.parquet(path).groupBy("league_code").agg(F.max("poll_seq").alias("_stored"))
-            latest = stage(latest.join(stored, "league_code", "left").where("_stored IS NULL OR poll_seq >= _stored").drop("_stored"), "boards")
+            stored = spark.read.schema(batch.schema).parquet(path)
         except AnalysisException:  # nothing stored yet
-            pass
-        rows = batch.join(latest, ["league_code", "poll_seq"])
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("league_code").parquet(path)
+            stored = batch.limit(0)
+        touched = batch.select("league_code").distinct()
+        # Of a row that is stored and sent again, either one.
+        both = batch.unionByName(stored.join(touched, "league_code", "left_semi").select(*batch.columns)).dropDuplicates(order)
+        newest = both.groupBy("league_code").agg(F.max("poll_seq").alias("poll_seq"))
+        _replace_parts(both.join(newest, ["league_code", "poll_seq"]).select(*batch.columns), path, "league_code", "boards")
+
+    return write
+
+
+def in_play_upsert(board: str, priced: str, live_rows: Callable[[DataFrame], DataFrame], names: DataFrame, predictions: DataFrame):
+    """foreachBatch writer keeping the newest board under `board` and its prices under `priced`.
+
+    Only boards of the batch are priced anew: `live_rows` turns their rows into what `in_play_board`
+    takes and keeps the board's league as `board`, as a match may belong to another one. A board
+    without a match in play keeps one row of nulls, so that old prices go.
+    """
+    keep = board_upsert(board)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        keep(batch, epoch)
+        if batch.isEmpty():
+            return
+        touched = batch.select(F.col("league_code").alias("board")).distinct()
+        rows = batch.sparkSession.read.schema(batch.schema).parquet(board).withColumn("board", F.col("league_code"))
+        found = in_play_board(live_rows(rows.join(touched, "board", "left_semi")), names, predictions)
+        _replace_parts(touched.join(found, "board", "left"), priced, "board", "prices")
 
     return write
 
 
+def run_batches(source: DataFrame, write, name: str, files_per_batch: int = 1) -> None:
+    """Stream a batch frame to completion through a foreachBatch writer, `files_per_batch` files at a time."""
+    from kickframe.session import scratch_path
+
+    spark = source.sparkSession
+    inbox, log = (scratch_path(spark, f"{name}-{part}") for part in ("in", "log"))
+    source.write.parquet(inbox)
+    reader = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", files_per_batch)
+    query = reader.parquet(inbox).writeStream.foreachBatch(write).option("checkpointLocation", log).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def first_non_empty_source(answers: DataFrame, request: list[str], rank: str = "provider_rank") -> DataFrame:
     """Rows of the first provider with any row for a request; no merging."""
     winner = answers.groupBy(*request).agg(F.min(rank).alias(rank))

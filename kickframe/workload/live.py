@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kickframe.operators import resolve as rs
+from kickframe.session import scratch_path, stage
 from kickframe.sources.synthetic import domestic, live_polls, matches, quotes
 from kickframe.streaming import live as lv
 from kickframe.workload import goals as wg
@@ -73,14 +74,25 @@ def in_play_price(spark, sf):
     return tidy(lv.in_play_price(in_play_rows(spark, sf)), "match_id", *PRICE)
 
 
-def in_play_board(spark, sf):
-    m = matches(spark, sf)
+def live_board_stream(spark, sf):
+    """The board as a stream of polls leaves it, three micro-batches in any order."""
     polls = live_polls(spark, sf)
+    path = scratch_path(spark, "board")
+    lv.run_batches(polls.repartitionByRange(3, "poll_seq"), lv.board_upsert(path), "board")
     now = polls.agg(F.max("ts")).scalar()
-    # A match slot stands for the match with that number.
-    board = lv.live_board(polls, now).select(F.col("match_slot").alias("match_id"), "status", "home_goals", "away_goals")
-    raw = wres.raw_fixtures(m)
-    live = board.join(raw, "match_id").withColumn("elapsed", F.lit(60))
+    board = lv.live_board(spark.read.schema(polls.schema).parquet(path), now)
+    return tidy(board, "league_code", "match_slot", "poll_seq", "status", "stale")
+
+
+def as_live(rows, raw):
+    """Board rows as matches in play; a match slot stands for the match with that number."""
+    elapsed = lv.elapsed_minutes(F.col("status"), F.col("minute"), F.col("kickoff"), F.col("ts"))
+    board = rows.select(F.col("league_code").alias("board"), F.col("match_slot").alias("match_id"), "status", "home_goals", "away_goals", elapsed.alias("elapsed"))
+    return board.join(raw, "match_id")
+
+
+def in_play_tables(m):
+    """(names, predictions): spellings with their team, and expected goals with some gaps."""
     names = rs.resolve_names(wres.raw_names(m), rs.candidates_by_league(rs.registry_of(m)), wres.aliases(m)).select(
         F.col("search").alias("league_code"), "raw_name", "canonical")
     gaps = m.select("match_id", "match_date", "hy", "ay")
@@ -90,7 +102,27 @@ def in_play_board(spark, sf):
         F.min_by("ay", "match_id").alias("ay"), F.min_by("lambda_home", "match_id").alias("lambda_home"),
         F.min_by("lambda_away", "match_id").alias("lambda_away"),
     ).select("league_code", "match_date", "home_team", "away_team", keep("lambda_home"), keep("lambda_away"))
-    return tidy(lv.in_play_board(live, names, stored), "match_id", "reason", "home_win", "draw", "away_win")
+    return names, stored
+
+
+def in_play_board(spark, sf):
+    m = matches(spark, sf)
+    polls = provider_rows(spark, sf)
+    board = lv.live_board(polls, polls.agg(F.max("ts")).scalar())
+    out = lv.in_play_board(as_live(board, wres.raw_fixtures(m)), *in_play_tables(m))
+    return tidy(out, "match_id", "reason", "home_win", "draw", "away_win")
+
+
+def in_play_board_stream(spark, sf):
+    """Prices as a stream of polls leaves them; what the stream is joined with is staged once."""
+    m = matches(spark, sf)
+    raw = stage(wres.raw_fixtures(m), "raw")
+    names, stored = (stage(t, name) for t, name in zip(in_play_tables(m), ("names", "stored")))
+    board, priced = scratch_path(spark, "board"), scratch_path(spark, "priced")
+    polls = provider_rows(spark, sf)
+    live_rows = lambda rows: as_live(rows, raw)
+    lv.run_batches(polls.repartitionByRange(3, "poll_seq"), lv.in_play_upsert(board, priced, live_rows, names, stored), "in-play")
+    return tidy(spark.read.parquet(priced).where("reason IS NOT NULL"), "match_id", "reason", "home_win", "draw", "away_win")
 
 
 def finished(spark, sf):
@@ -106,7 +138,7 @@ def elo_stream(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (normalise_status, elapsed_minutes, live_events, live_events_stream, live_board,
-              first_non_empty_source, in_play_price, in_play_board, elo_stream)
+              live_board_stream, first_non_empty_source, in_play_price, in_play_board, in_play_board_stream, elo_stream)
 }
 
 # --- oracles ---------------------------------------------------------------
@@ -118,6 +150,8 @@ UNION ALL SELECT match_slot, poll_seq, 'kickoff' FROM adj WHERE ps = 'scheduled'
 UNION ALL SELECT match_slot, poll_seq, 'full_time' FROM adj WHERE ps <> 'finished' AND status = 'finished'"""
 BOARD = """board AS (SELECT *, max(ts) OVER (PARTITION BY league_code) AS fetched_at FROM live_polls
 WHERE (league_code, poll_seq) IN (SELECT league_code, max(poll_seq) FROM live_polls GROUP BY league_code))"""
+ELAPSED = """CASE status WHEN 'scheduled' THEN 0 WHEN 'paused' THEN 45 WHEN 'finished' THEN 90 ELSE CASE match_slot % 3 WHEN 1 THEN 67 WHEN 2 THEN 45
+ELSE least(90, CASE WHEN poll_seq % 130 > 60 THEN poll_seq % 130 - 15 WHEN poll_seq % 130 > 45 THEN 45 ELSE poll_seq % 130 END) END END"""
 
 
 def price_ctes(src: str) -> str:
@@ -130,37 +164,40 @@ p_sum AS (SELECT match_id, coalesce(sum(p) FILTER (final > 0), 0.0)/sum(p) AS ho
 price AS (SELECT match_id, remaining, home_win, draw, away_win, hg + lam*remaining AS expected_home_goals, ag + mu*remaining AS expected_away_goals FROM p_in JOIN p_sum USING (match_id))"""
 
 
+BOARD_ROWS = sql(
+    """SELECT league_code, match_slot, poll_seq, status, CAST(floor(epoch((SELECT max(ts) FROM live_polls))) - floor(epoch(fetched_at)) >= 300 AS BIGINT) AS stale FROM board""",
+    "live_polls", ctes=BOARD)
+IN_PLAY = sql(
+    f"""SELECT match_id, reason, CASE WHEN reason = 'priced' THEN round(home_win, 6) END AS home_win, CASE WHEN reason = 'priced' THEN round(draw, 6) END AS draw,
+CASE WHEN reason = 'priced' THEN round(away_win, 6) + 0.0 END AS away_win FROM placed LEFT JOIN price USING (match_id)""",
+    "matches", "live_polls", ctes=f"""{wres.RESOLVE}, {wg.strengths_cte()}, {wg.rates_cte()}, {BOARD},
+stored AS (SELECT league_code, match_date, home_team, away_team, arg_min(ay, match_id) AS say, arg_min(lam, match_id) AS lam, arg_min(mu, match_id) AS mu
+FROM matches JOIN rates USING (match_id) WHERE hy <> 4 GROUP BY 1, 2, 3, 4),
+placed AS (SELECT w.match_id, b.home_goals AS hg, b.away_goals AS ag, s.lam, s.mu, {ELAPSED.replace('CASE status', 'CASE b.status')} AS elapsed, CASE WHEN h.canonical IS NULL OR a.canonical IS NULL THEN 'unknown_team' WHEN s.say IS NULL THEN 'no_prediction'
+WHEN s.say = 4 THEN 'no_expected_goals' ELSE 'priced' END AS reason FROM board b JOIN raw w ON w.match_id = b.match_slot
+LEFT JOIN found h ON h.league_code = w.league_code AND h.raw_name = w.raw_home LEFT JOIN found a ON a.league_code = w.league_code AND a.raw_name = w.raw_away
+LEFT JOIN stored s ON s.league_code = w.league_code AND s.match_date = w.match_date AND s.home_team = h.canonical AND s.away_team = a.canonical
+WHERE b.status IN ('live', 'paused') AND b.home_goals IS NOT NULL AND b.away_goals IS NOT NULL),
+src AS (SELECT * FROM placed WHERE reason = 'priced'), {price_ctes('src')}""")
+
 ORACLES = {
     "normalise_status": sql(
         """SELECT match_slot, poll_seq, status, CASE WHEN status = 'paused' THEN 'paused' WHEN status = 'finished' THEN 'finished' WHEN home_goals IS NULL OR away_goals IS NULL THEN 'scheduled' ELSE 'live' END AS stage_status
 FROM live_polls WHERE NOT (status = 'live' AND match_slot % 7 = 0)""", "live_polls"),
     "elapsed_minutes": sql(
-        """SELECT match_slot, poll_seq, CAST(CASE status WHEN 'scheduled' THEN 0 WHEN 'paused' THEN 45 WHEN 'finished' THEN 90 ELSE
-CASE match_slot % 3 WHEN 1 THEN 67 WHEN 2 THEN 45 ELSE least(90, CASE WHEN w > 60 THEN w - 15 WHEN w > 45 THEN 45 ELSE w END) END END AS BIGINT) AS elapsed
-FROM (SELECT *, poll_seq % 130 AS w FROM live_polls) t""", "live_polls"),
+        f"SELECT match_slot, poll_seq, CAST({ELAPSED} AS BIGINT) AS elapsed FROM live_polls", "live_polls"),
     "live_events": sql(EVENT_ROWS, "live_polls", ctes=EVENTS),
     "live_events_stream": sql(EVENT_ROWS, "live_polls", ctes=EVENTS),
-    "live_board": sql(
-        """SELECT league_code, match_slot, poll_seq, status, CAST(floor(epoch((SELECT max(ts) FROM live_polls))) - floor(epoch(fetched_at)) >= 300 AS BIGINT) AS stale FROM board""",
-        "live_polls", ctes=BOARD),
+    "live_board": BOARD_ROWS,
+    "live_board_stream": BOARD_ROWS,
     "first_non_empty_source": sql(
         """SELECT match_id, source, round(odds_home, 6) AS odds_home, CAST(substr(source, 3, 1) AS BIGINT) AS provider_rank FROM quotes q
 WHERE source = (SELECT min(source) FROM quotes x WHERE x.match_id = q.match_id)""", "quotes"),
     "in_play_price": sql(
         f"SELECT match_id, {r(*PRICE)} FROM price", "matches",
         ctes=f"{wg.strengths_cte()}, {wg.rates_cte()}, src AS (SELECT match_id, lam, mu, fthg AS hg, ftag AS ag, hf*5 + af AS elapsed FROM rates JOIN matches USING (match_id)), {price_ctes('src')}"),
-    "in_play_board": sql(
-        f"""SELECT match_id, reason, CASE WHEN reason = 'priced' THEN round(home_win, 6) END AS home_win, CASE WHEN reason = 'priced' THEN round(draw, 6) END AS draw,
-CASE WHEN reason = 'priced' THEN round(away_win, 6) + 0.0 END AS away_win FROM placed LEFT JOIN price USING (match_id)""",
-        "matches", "live_polls", ctes=f"""{wres.RESOLVE}, {wg.strengths_cte()}, {wg.rates_cte()}, {BOARD},
-stored AS (SELECT league_code, match_date, home_team, away_team, arg_min(ay, match_id) AS say, arg_min(lam, match_id) AS lam, arg_min(mu, match_id) AS mu
-FROM matches JOIN rates USING (match_id) WHERE hy <> 4 GROUP BY 1, 2, 3, 4),
-placed AS (SELECT w.match_id, b.home_goals AS hg, b.away_goals AS ag, s.lam, s.mu, 60 AS elapsed, CASE WHEN h.canonical IS NULL OR a.canonical IS NULL THEN 'unknown_team' WHEN s.say IS NULL THEN 'no_prediction'
-WHEN s.say = 4 THEN 'no_expected_goals' ELSE 'priced' END AS reason FROM board b JOIN raw w ON w.match_id = b.match_slot
-LEFT JOIN found h ON h.league_code = w.league_code AND h.raw_name = w.raw_home LEFT JOIN found a ON a.league_code = w.league_code AND a.raw_name = w.raw_away
-LEFT JOIN stored s ON s.league_code = w.league_code AND s.match_date = w.match_date AND s.home_team = h.canonical AND s.away_team = a.canonical
-WHERE b.status IN ('live', 'paused') AND b.home_goals IS NOT NULL AND b.away_goals IS NOT NULL),
-src AS (SELECT * FROM placed WHERE reason = 'priced'), {price_ctes('src')}"""),
+    "in_play_board": IN_PLAY,
+    "in_play_board_stream": IN_PLAY,
     "elo_stream": sql(
         """SELECT home_team AS team, match_id, round(elo_home + d, 6) AS rating FROM walk JOIN matches USING (match_id)
 UNION ALL SELECT away_team, match_id, round(elo_away - d, 6) FROM walk JOIN matches USING (match_id)""",

@@ -202,14 +202,18 @@ ORACLES = {
         "SELECT n.league_code, n.raw_name, coalesce(r.team, '-') AS canonical FROM names n LEFT JOIN reg r ON r.league_code = n.league_code AND lower(trim(r.team)) = lower(trim(n.raw_name))",
         "matches", ctes=f"{REG}, {RAW}"),
     "resolve_alias": sql("SELECT league_code, raw_name, coalesce(canonical, '-') AS canonical, status FROM found", "matches", ctes=RESOLVE),
+    # Each step cuts a stretch of both names at its longest common block (the earliest of several); all pairs of a scope are compared.
     "suggest_names": sql(
-        """SELECT raw_name, search, CAST(rank AS BIGINT) AS rank, suggestion, round(score, 6) AS score FROM (
-SELECT raw_name, search, team AS suggestion, score, row_number() OVER (PARTITION BY raw_name, search ORDER BY score DESC, team) AS rank FROM (
-SELECT raw_name, f.league_code AS search, team, 1.0 - CAST(levenshtein(lower(trim(raw_name)), lower(trim(team))) AS DOUBLE) / greatest(length(trim(raw_name)), length(trim(team))) AS score
-FROM found f JOIN reg r ON r.league_code = f.league_code WHERE f.status = 'unresolved' AND len(list_intersect(
-  list_transform(range(1, greatest(length(trim(raw_name)), 2)), lambda i: substr(lower(trim(raw_name)), i, 2)),
-  list_transform(range(1, greatest(length(trim(team)), 2)), lambda i: substr(lower(trim(team)), i, 2)))) > 0) a WHERE score >= 0.4) b WHERE rank <= 5""",
-        "matches", ctes=RESOLVE),
+        """SELECT raw_name, search, CAST(rank AS BIGINT) AS rank, team AS suggestion, round(score, 6) AS score FROM (
+SELECT raw_name, search, team, score, row_number() OVER (PARTITION BY raw_name, search ORDER BY score DESC, a DESC) AS rank
+FROM asked JOIN hits USING (search) JOIN (SELECT a, b, 2.0 * sum(m) / (length(a) + length(b)) AS score FROM seg GROUP BY a, b) r USING (a, b) WHERE score >= 0.4) t WHERE rank <= 5""",
+        "matches", recursive=True, ctes=RESOLVE + """, asked AS (SELECT DISTINCT raw_name, league_code AS search, lower(trim(raw_name)) AS b FROM found WHERE status = 'unresolved'),
+hits AS (SELECT league_code AS search, lower(trim(team)) AS a, max(team) AS team FROM reg GROUP BY 1, 2),
+seg AS (SELECT DISTINCT a, b, 0 AS a0, length(a) AS a1, 0 AS b0, length(b) AS b1, CAST(0 AS BIGINT) AS m FROM asked JOIN hits USING (search)
+UNION ALL SELECT a, b, CASE side WHEN 0 THEN a0 ELSE i + k END, CASE side WHEN 0 THEN i ELSE a1 END, CASE side WHEN 0 THEN b0 ELSE j + k END, CASE side WHEN 0 THEN j ELSE b1 END, CASE side WHEN 0 THEN k ELSE 0 END
+FROM (SELECT *, top.k AS k, -top.i AS i, -top.j AS j FROM (SELECT *, list_max(flatten(list_transform(range(a0, a1), lambda i: list_transform(range(b0, b1), lambda j: {
+  'k': len(list_filter(range(1, least(a1 - i, b1 - j) + 1), lambda z: substr(a, i + 1, z) = substr(b, j + 1, z))), 'i': -i, 'j': -j})))) AS top
+FROM seg WHERE a0 < a1 AND b0 < b1) x WHERE top.k > 0) y, (VALUES (0), (1)) v(side))"""),
     "resolve_fixtures": sql(
         """SELECT 'fixture' AS kind, CAST(match_id AS VARCHAR) AS id, h.canonical AS home_team, a.canonical AS away_team FROM raw r JOIN found h ON h.league_code = r.league_code AND h.raw_name = r.raw_home
 JOIN found a ON a.league_code = r.league_code AND a.raw_name = r.raw_away WHERE h.canonical IS NOT NULL AND a.canonical IS NOT NULL

@@ -8,6 +8,7 @@ from conftest import rows
 from kickframe.session import scratch_path
 from kickframe.sources import synthetic
 from kickframe.streaming import live as lv
+from kickframe.workload import live
 
 POLL = "match_slot long, poll_seq long, status string, home_goals int, away_goals int, ts timestamp, league_code string"
 
@@ -76,3 +77,38 @@ def test_late_batches_do_not_move_a_board_back(spark):
     write(batch([("A", 4, 1, 1), ("B", 4, 7, 1)]), 1)
     write(batch([("A", 5, 1, 2)]), 2)
     assert {(r.league_code, r.poll_seq, r.home_goals) for r in spark.read.parquet(path).collect()} == {("A", 5, 2), ("B", 4, 1)}
+
+
+def test_a_poll_in_several_batches_is_one_board(spark):
+    path = scratch_path(spark, "board-test")
+    write = lv.board_upsert(path)
+    for k, data in enumerate(([(1, 2, "live", 0, 0)], [(2, 2, "live", 1, 1)], [(2, 2, "live", 1, 1)], [(3, 1, "live", 0, 0)])):
+        write(polls(spark, data), k)
+    assert sorted((r.match_slot, r.poll_seq) for r in spark.read.parquet(path).collect()) == [(1, 2), (2, 2)]
+
+
+def test_streamed_prices_follow_the_board(spark):
+    names = spark.createDataFrame([("L", n, n.title()) for n in ("a", "b")], "league_code string, raw_name string, canonical string")
+    stored = spark.createDataFrame([("L", 1, "A", "B", 1.5, 1.0)], "league_code string, match_date int, home_team string, away_team string, lambda_home double, lambda_away double")
+
+    def live_rows(rows):
+        return rows.withColumns({"raw_home": F.lit("a"), "raw_away": F.when(F.col("match_slot") == 1, "b").otherwise("x"),
+                                 "match_date": F.lit(1), "elapsed": F.lit(30)})
+
+    board, priced = scratch_path(spark, "board-test"), scratch_path(spark, "priced-test")
+    write = lv.in_play_upsert(board, priced, live_rows, names, stored)
+    got = lambda: sorted((r.match_slot, r.reason, r.home_goals) for r in spark.read.parquet(priced).where("reason IS NOT NULL").collect())
+    write(polls(spark, [(1, 1, "live", 0, 0), (2, 1, "live", 1, 1)]), 0)
+    assert got() == [(1, "priced", 0), (2, "unknown_team", 1)]
+    write(polls(spark, []), 1)
+    write(polls(spark, [(1, 0, "live", 9, 0)]), 2)
+    assert got() == [(1, "priced", 0), (2, "unknown_team", 1)]
+    write(polls(spark, [(1, 2, "live", 1, 0)]), 3)
+    assert got() == [(1, "priced", 1)]
+    write(polls(spark, [(1, 3, "finished", 1, 0)]), 4)
+    assert got() == []
+
+
+def test_streamed_boards_equal_batch_boards(spark, small):
+    for one, other in ((live.live_board, live.live_board_stream), (live.in_play_board, live.in_play_board_stream)):
+        assert rows(one(spark, small)) == rows(other(spark, small))

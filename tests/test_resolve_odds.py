@@ -1,5 +1,8 @@
 """Name resolution, odds rules, bootstrap and folds."""
 
+import random
+from difflib import get_close_matches
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,11 +25,29 @@ def test_exact_beats_alias_and_stale_alias_resolves_nothing(spark):
                    "new": (None, "unresolved"), "wide": ("Porto", "alias")}
 
 
-def test_suggestions_rank_by_edit_distance(spark):
-    cands = spark.createDataFrame([("L", t) for t in ("Benfika", "Benfica B", "Porto", "Zzz")] + [("M", "Benfica")], "search string, team string")
-    names = spark.createDataFrame([(" BENFICA", "L"), ("", "L")], "raw_name string, search string")
-    out = [(r.rank, r.suggestion, round(r.score, 4)) for r in rs.suggest_names(names, cands).orderBy("rank").collect()]
-    assert out == [(1, "Benfika", round(6 / 7, 4)), (2, "Benfica B", round(7 / 9, 4))]
+def test_suggestions_equal_comparing_all_pairs(spark):
+    rng = random.Random(5)
+    pool = sorted({"".join(rng.choice("abcde fg") for _ in range(rng.randint(1, 9))) for _ in range(90)})
+    teams = [t.title() for t in pool[:40] if t.strip()] + ["Benfika", "Benfica B", "Porto", "Luan", "Sp Lisbon", " ", "\u0130zmir"]
+    raw = pool[40:] + [" BENFICA", "", None, "Lyon", "Sporting CP", "z" * 300, "aaaaaaaaaaaaaaaaaaaa"]
+    scopes = {"L": teams, "M": teams[::3], "N": []}
+    cands = spark.createDataFrame([(s, t) for s, ts in scopes.items() for t in ts + ts[:3]] + [("L", None)], "search string, team string")
+    names = spark.createDataFrame([(n, s, 1) for s in scopes for n in raw + raw[:2]], "raw_name string, search string, score int")
+    out = {(r.search, r.raw_name, r["rank"]): r.suggestion for r in rs.suggest_names(names, cands).collect()}
+    fold = lambda t: t.strip(" ").lower()
+    want = {}
+    for s, ts in scopes.items():
+        by = {fold(t): t for t in sorted(ts)}
+        for n in {n for n in raw if n and fold(n)}:
+            close = get_close_matches(fold(n), [t for t in by if t], n=5, cutoff=0.4)
+            want |= {(s, n, i + 1): by[t] for i, t in enumerate(close)}
+    assert out == want and want["L", "Lyon", 1] == "Luan" and want["L", " BENFICA", 1] == "Benfica B"
+
+
+def test_suggestions_of_nothing(spark):
+    empty = spark.createDataFrame([], "raw_name string, search string, team string")
+    assert rs.suggest_names(empty, empty).columns == ["raw_name", "search", "rank", "suggestion", "score"]
+    assert rs.suggest_names(empty, empty).count() == 0
 
 
 def test_containment_equals_brute_force(spark):

@@ -38,6 +38,14 @@ def test_every_score_notation(spark):
         ("2025-01-15", "Delta", "Alpha FC", 1, 1, 0, 0), ("2025-01-15", "Gamma", "Beta", 1, 1, None, None)], key=repr)
 
 
+def test_tabs_part_as_blanks_do(spark):
+    schema = "doc_id string, competition string, season string, start_year int, end_year int, text string"
+    tabbed = DOC.replace("  ", "\t").replace(" v ", "\tv\t").replace("Wed Jan", "Wed\tJan")
+    docs = [spark.createDataFrame([("d", "CL", "2024-25", 2024, 2025, text)], schema) for text in (DOC, tabbed)]
+    plain, other = (sorted(map(repr, mt.parse_match_text(d).collect())) for d in docs)
+    assert plain == other and len(plain) == 6
+
+
 def test_season_files_with_other_headers_encodings_and_bad_lines(spark, tmp_path):
     (tmp_path / "2425_E0.csv").write_bytes("Div,Date,HomeTeam,AwayTeam,FTHG,FTAG,FTR,HxG\nE0,17/08/2024,A,B,1,0,H,1.2\nE0,18/08/2024,C,D,1,1,D,1,2,3\n".encode())
     (tmp_path / "2425_SP1.csv").write_bytes("Div,Date,HomeTeam,AwayTeam,FTHG,FTAG,FTR\nSP1,17/08/2024,Málaga,E,0,0,D\nSP1,18/08/2024,F,G\n".encode("latin-1"))
