@@ -9,16 +9,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kickframe.operators import features as feat
+from kickframe.operators import fixtures as fx
 from kickframe.operators import goals as gl
 from kickframe.operators import ratings as rt
 from kickframe.operators import scoring as sc
 from kickframe.operators.windows import chronological_index
 from kickframe.params import CROSS, TRAINING
 from kickframe.plans import backtest as bt
+from kickframe.plans import modelstore as ms
 from kickframe.plans import training as tr
 from kickframe.plans.dixoncoles import dc_fit as fit_dixon_coles
-from kickframe.session import stage
+from kickframe.session import scratch_path, stage
 from kickframe.sources.synthetic import domestic, matches
+from kickframe.workload import evaluation as wev
 from kickframe.workload import features as wf
 from kickframe.workload import goals as wg
 from kickframe.workload import ratings as wr
@@ -94,11 +97,25 @@ def hyper_search(spark, sf):
 
 
 def predict_fixtures(spark, sf):
-    rows = training_rows(spark, sf)
-    parts = tr.chrono_split(rows, TRAINING)
-    ensemble = tr.fit_ensemble(parts.where("part = 'base'"), model_columns(rows), TRAINING)
-    goals = gl.goal_markets(wg.rates(matches(spark, sf)), wg.RHO)
-    return tidy(tr.predict_fixtures(ensemble, parts.where("part = 'test'"), goals, 0.4))
+    """Unplayed domestic fixtures, scored by a model that was published and loaded again.
+
+    Model, features, ratings and score strengths know the matches before the fixtures only.
+    """
+    m = matches(spark, sf)
+    history, unplayed = wev.split(m)
+    known = history.agg(F.max("match_date")).first()[0]
+    rows = training_rows(spark, sf).where(F.col("match_date") <= F.lit(known))
+    ensemble = tr.fit_ensemble(rows, model_columns(rows), TRAINING)
+    root = scratch_path(spark, "models")
+    ms.publish(ensemble, root, "domestic", known)
+
+    past = stage(history, "history")
+    home, linked = past.where("NOT is_cross"), past.where("is_cross")
+    fixtures = unplayed.join(domestic(spark, sf).select("match_id"), "match_id", "left_semi")
+    ready = fx.fixture_features(fixtures, feat.all_features(home), rt.elo_final(rt.both_corpora(home, linked)))
+    strengths = gl.moment_strengths(past, 0)
+    rates = gl.dc_rates(fixtures.drop("hy"), strengths, strengths.agg(F.max("home_advantage")).scalar())
+    return tidy(tr.predict_fixtures(ms.load(spark, root, "domestic"), ready, gl.goal_markets(rates, wg.RHO), 0.4))
 
 
 def dc_fit(spark, sf):
