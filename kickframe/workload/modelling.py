@@ -112,8 +112,11 @@ def predict_fixtures(spark, sf):
     past = stage(history, "history")
     home, linked = past.where("NOT is_cross"), past.where("is_cross")
     fixtures = unplayed.join(domestic(spark, sf).select("match_id"), "match_id", "left_semi")
-    ready = fx.fixture_features(fixtures, feat.all_features(home), rt.elo_final(rt.both_corpora(home, linked)))
-    strengths = gl.moment_strengths(past, 0)
+    # Each is read several times below.
+    featured = stage(feat.all_features(home), "featured")
+    ratings = stage(rt.elo_final(rt.both_corpora(home, linked)), "ratings")
+    strengths = stage(gl.moment_strengths(past, 0), "strengths")
+    ready = stage(fx.fixture_features(fixtures, featured, ratings), "ready")
     rates = gl.dc_rates(fixtures.drop("hy"), strengths, strengths.agg(F.max("home_advantage")).scalar())
     return tidy(tr.predict_fixtures(ms.load(spark, root, "domestic"), ready, gl.goal_markets(rates, wg.RHO), 0.4))
 
