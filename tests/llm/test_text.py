@@ -227,3 +227,25 @@ def test_a_pair_at_the_edge_of_a_block_meets(spark):
     x, y = [np.array([first, math.sqrt(1 - first ** 2), *[0.0] * 6]) @ vectors.rotation(8).T for first in (-1e-6, 0.132309)]
     frame = spark.createDataFrame([(1, x.tolist(), 0), (2, y.tolist(), 0)], "vec_id long, embedding array<double>, label int")
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.near_duplicates(frame).collect()) == [(1, 1, 1), (2, 1, 1)]
+
+
+def test_leaves_meet_all_that_is_within_reach():
+    rng = np.random.default_rng(11)
+    x, y = (rng.standard_normal((n, 8)).astype(np.float32) / 8 for n in (700, 400))
+    for other in (None, y):
+        z = x if other is None else other
+        met = np.zeros((len(x), len(z)), int)
+        for rows, columns in vectors.meetings(x, other, 0.02):
+            met[np.ix_(rows, columns)] += 1
+        close = ((x[:, None].astype(float) - z[None]) ** 2).sum(2) <= 0.02
+        seen = met if other is not None else np.triu(met + np.tril(met, -1).T, 1)
+        assert (seen[np.triu(close, 1) if other is None else close] > 0).all()
+        assert met.max() == 1 and met.mean() < 0.1
+    assert not list(vectors.meetings(x[:0], y, 1.0)) and not list(vectors.meetings(x, y[:0], 1.0))
+
+
+def test_components_of_links_merge_to_the_lowest():
+    root = np.arange(8)
+    for p, q in (([5, 7], [6, 6]), ([0, 3, 6], [1, 4, 4]), ([], [])):
+        root = vectors._merge(root, np.array(p, int), np.array(q, int))
+    assert root.tolist() == [0, 0, 2, 3, 3, 3, 3, 3]
