@@ -6,14 +6,15 @@ for coordinate k. Documents that agree on a band are candidates and share a buck
 
 The most central document of a bucket is its hub. Every member is confirmed against
 its hubs on full shingle sets. What is then unconnected within the stars of a hub
-is compared with all of them, in blocks, and each block gives back only the
-links that join components. So connections are complete, while a large group of
-near copies never becomes a list of pairs. Documents with equal sets are one class
-from the start.
+is compared with all of them whose sets are of like size, in blocks of hashes, and
+each block gives back only the links that join components. So connections are
+complete, while a large group of near copies never becomes a list of pairs.
+Documents with equal sets are one class from the start.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,8 @@ from kickframe.session import stage
 
 #: 28 bands of four: a pair at exactly 0.8 is missed with probability (1 - 0.8^4)^28 < 4e-7.
 BANDS, ROWS = 28, 4
-#: Documents on either side of one comparison.
-BLOCK = 512
+#: Documents on either side of one comparison, and about how many shingles they have together.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 _KNOWN_MAX = 300_000
 
 
@@ -165,15 +166,24 @@ def _stars(words: int, percent: int):
     return run
 
 
-def _joining(words: int, percent: int):
+def _sets(words: int):
+    """Shingle hashes of each document."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = text_bytes(batch.column("text"))
+            for part in by_weight(np.array([len(t) for t in texts]), 1 << 21):
+                packed = [s.tobytes() for s in shingle_sets(texts[part], words)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part], pa.array(packed, pa.binary())], names=["doc_id", "shingles"])
+    return run
+
+
+def _joining(percent: int):
     """Links between the left and the right block of a hub that join components."""
     def run(table: pa.Table) -> pa.Table:
         left_side = table.column("left").to_numpy(zero_copy_only=False).astype(bool)
         docs = table.column("doc_id").to_numpy()
         names, root = np.unique(table.column("component").to_numpy(), return_inverse=True)
-        texts, sets = text_bytes(table.column("text").combine_chunks()), []
-        for part in by_weight(np.array([len(t) for t in texts]), 1 << 21):
-            sets += shingle_sets(texts[part], words)
+        sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
         size = np.array([len(s) for s in sets])
         right = np.flatnonzero(~left_side)
         owner = np.repeat(np.arange(len(right)), size[right])
@@ -217,15 +227,15 @@ class _Search:
         return stage(shared.join(degree, "doc_id"), "members")
 
     def stars(self) -> DataFrame:
-        """Hubs with the documents that share a bucket of theirs: (`hub`, `doc_id`, `fit`); the hub is one of them.
+        """Hubs with the documents that share a bucket of theirs: (`hub`, `doc_id`, `n`, `fit`); the hub is one of them.
 
-        `fit`: the sizes of both sets allow the similarity.
+        `fit`: the sizes of both sets allow the similarity; `n`: shingles of the document.
         """
         members = self.members()
         top = members.groupBy("bucket").agg(F.max(F.struct("rank", (-F.col("doc_id")).alias("neg"), "n")).alias("top"))
         hubs = top.select("bucket", (-F.col("top.neg")).alias("hub"), F.col("top.n").alias("hub_n"))
         fit = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * self.percent
-        return stage(members.join(hubs, "bucket").select("hub", "doc_id", fit.alias("fit")).distinct(), "stars")
+        return stage(members.join(hubs, "bucket").select("hub", "doc_id", "n", fit.alias("fit")).distinct(), "stars")
 
     def links(self) -> DataFrame:
         """Enough confirmed links to connect what is connected."""
@@ -233,8 +243,8 @@ class _Search:
         ids = stars.select(F.col("doc_id").alias("id")).distinct()
         texts = stage(self.texts.join(ids.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi"), "candidates")
         # A star is cut into parts, each with its hub, so that a large one is shared out.
-        counts = stars.groupBy("hub").agg(F.count("*").alias("n"))
-        parts = F.ceil(F.col("n") / F.lit(4 * BLOCK)).cast("int")
+        counts = stars.groupBy("hub").agg(F.count("*").alias("members"))
+        parts = F.ceil(F.col("members") / F.lit(4 * BLOCK)).cast("int")
         own = F.pmod(F.xxhash64("doc_id"), parts).cast("int")
         rows = stars.where("fit").join(counts, "hub").withColumn("part", F.explode(
             F.when(F.col("hub") == F.col("doc_id"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own))))
@@ -245,21 +255,49 @@ class _Search:
         return links.unionByName(more)
 
     def joining(self, stars: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
-        """Links that stars have left out: in each, whatever lies outside its largest component against all its members."""
+        """Links that stars have left out: in each, whatever lies outside its largest component against its members of like size.
+
+        Sizes fall into classes of one factor, so that similar sets are of the same class or of neighbours. A comparison
+        is a block of outside documents of one class (`low`) against a block of members of another (`high`).
+        """
         known = stars.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        known = stage(known.select("hub", "doc_id", F.coalesce("component", "doc_id").alias("component")), "labelled")
+        known = stage(known.select("hub", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")), "labelled")
         sizes = known.groupBy("hub", "component").agg(F.count("*").alias("c"))
-        core = sizes.groupBy("hub").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("n"))
+        core = sizes.groupBy("hub").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("members"))
         # Two members have met already.
-        core = core.where("n > 2 AND top.c < n").select("hub", F.col("top.component").alias("core"), "n", (F.col("n") - F.col("top.c")).alias("outside"))
-        rows = known.join(core, "hub")
-        across, down = (F.ceil(F.col(c) / F.lit(BLOCK)).cast("int") for c in ("n", "outside"))
-        at = F.xxhash64("doc_id")
-        outer = F.transform(F.sequence(F.lit(0), across - 1), lambda j: F.struct(F.lit(True).alias("left"), F.pmod(at, down).cast("int").alias("i"), j.alias("j")))
-        inner = F.transform(F.sequence(F.lit(0), down - 1), lambda i: F.struct(F.lit(False).alias("left"), i.alias("i"), F.pmod(at, across).cast("int").alias("j")))
-        rows = rows.withColumn("item", F.explode(F.when(F.col("component") != F.col("core"), F.concat(outer, inner)).otherwise(inner)))
-        rows = rows.select("hub", "item.*", "doc_id", "component").join(texts.hint("merge"), "doc_id")
-        return rows.groupBy("hub", "i", "j").applyInArrow(_joining(self.words, self.percent), "a long, b long")
+        core = core.where("members > 2 AND top.c < members").select("hub", F.col("top.component").alias("core"))
+        factor = math.log(100 / self.percent) + 1e-6  # a little more than the most that similar sizes differ by
+        rows = known.join(core, "hub").select(
+            "hub", "doc_id", "component", (F.col("component") != F.col("core")).alias("outside"),
+            F.floor(F.log("n") / F.lit(factor)).cast("int").alias("size"))
+        rows = stage(rows, "rows")
+        block = F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK)), F.floor(F.lit(BLOCK_SHINGLES) / F.exp((F.col("size") + 1) * factor))))
+        counts = rows.groupBy("hub", "size").agg(F.count("*").alias("all"), F.sum(F.col("outside").cast("long")).alias("out"))
+        counts = stage(counts.select("hub", "size", F.ceil(F.col("all") / block).cast("int").alias("rights"),
+                                     F.ceil(F.col("out") / block).cast("int").alias("lefts")), "counts")
+        # At most three classes are near one.
+        near = counts.select("hub", F.explode(F.array(*[F.col("size") + d for d in (-1, 0, 1)])).alias("to"),
+                             F.struct("size", "lefts", "rights").alias("other"))
+        near = near.groupBy("hub", F.col("to").alias("size")).agg(F.collect_list("other").alias("near"))
+        rows = rows.join(counts, ["hub", "size"]).join(near, ["hub", "size"])
+        at, own = F.xxhash64("doc_id"), F.col("size")
+
+        def numbers(count):
+            return F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+
+        def item(left: bool, low, i, high, j):
+            return F.struct(F.lit(left).alias("left"), low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"))
+
+        mine, theirs = F.pmod(at, F.col("lefts")).cast("int"), F.pmod(at, F.col("rights")).cast("int")
+        outer = F.flatten(F.transform("near", lambda o: F.transform(numbers(o["rights"]), lambda j: item(True, own, mine, o["size"], j))))
+        inner = F.flatten(F.transform("near", lambda o: F.transform(numbers(o["lefts"]), lambda i: item(False, o["size"], i, own, theirs))))
+        work = rows.withColumn("item", F.explode(F.when(F.col("outside"), F.concat(outer, inner)).otherwise(inner)))
+        work = stage(work.select("hub", "item.*", "doc_id", "component"), "work")
+        ids = work.select(F.col("doc_id").alias("id")).distinct()
+        chosen = texts.join(ids.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi")
+        sets = stage_arrow(chosen.mapInArrow(_sets(self.words), "doc_id long, shingles binary"), "sets")
+        work = work.join(sets.hint("merge"), "doc_id")
+        return work.groupBy("hub", "low", "i", "high", "j").applyInArrow(_joining(self.percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
