@@ -116,19 +116,14 @@ def test_near_copies_far_from_the_hub(spark, monkeypatch):
 
 
 def test_a_hot_bucket_of_unlike_sizes(spark, monkeypatch):
-    """All documents of a group share buckets, but sizes part it in many components; blocks are small in shingles."""
+    """All documents of a group share buckets, but sizes part it in many components."""
     monkeypatch.setattr(minhash, "BLOCK", 4)
-    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 400)
     monkeypatch.setattr(minhash, "_bands", lambda signature, bands, rows: np.ones((len(signature), bands), np.int64))
     base = [f"w{i}" for i in range(400)]
     rows = [(n, " ".join(base[:n])) for n in (*range(5, 60, 3), *range(60, 400, 40))]
     rows += [(1000 + n, " ".join(base[:n] + [f"z{n}"])) for n in range(5, 400, 27)]
-    search = minhash._Search(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80, 28, 4)
-    stars = search.stars()
-    sizes = {r.doc_id: r.n for r in stars.collect()}
-    assert sizes == {d: len(shingles(t, 3)) for d, t in rows}
-    got = {r.node: r.component for r in minhash.components(search.links()).collect()}
-    assert {d: got.get(d, d) for d, _ in rows} == brute(rows, 3)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute(rows, 3)
 
 
 def test_near_dedupe_keeps_columns(corpus):
