@@ -1,119 +1,142 @@
 """Elo ratings over pools of linked leagues.
 
-A rating walk is sequential inside a pool. Pools run side by side; a pool too
-large for one task is cut into eras that are walked at the same time, each from
-the ratings the era before it ended with. Those are guessed first (the initial
-rating), then replaced by what the previous pass produced, until a pass changes
-nothing. Era k is exact after k passes at the latest, and far sooner in practice
-because a rating forgets its start; the fixed point is the sequential walk.
+A rating walk is sequential inside a pool. Pools run side by side, each as a
+sorted stream of matches, so a task holds a batch and one pool's ratings. A pool
+too large for one task is cut into eras by day, which are walked one after the
+other: an era starts from the ratings the era before it ended with, so every
+match is walked once and a task reads an era at most.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kickframe import params
 from kickframe.functions.probability import elo_expectation, from_expected_score
 from kickframe.params import CROSS, ELO, EloParams
-from kickframe.session import cut, stage
+from kickframe.session import cut, scratch_path, shuffles_freed
 
 INPUT = ["pool", "source", "match_id", "match_date", "home_team", "away_team", "fthg", "ftag", "home_adv"]
-MATCH_SCHEMA = (
+TYPES = {"pool": "string", "source": "string", "match_id": "bigint", "home_team": "string", "away_team": "string",
+         "fthg": "double", "ftag": "double", "home_adv": "double"}
+MATCH_COLUMNS = ["pool", "source", "match_id", "elo_home", "elo_away", "elo_expected_home", "post_home", "post_away"]
+END_COLUMNS = ["pool", "team", "rating"]
+#: A row is a match or, marked by `ended`, the rating that a team ends with.
+WALK_SCHEMA = (
     "pool string, source string, match_id bigint, elo_home double, elo_away double, "
-    "elo_expected_home double, post_home double, post_away double"
+    "elo_expected_home double, post_home double, post_away double, team string, rating double, ended boolean"
 )
-END_SCHEMA = "pool string, era bigint, team string, rating double"
-
-
-def _walker(p: EloParams, ends: bool):
-    """The per-era walk as a pandas function of (matches, starting ratings)."""
-
-    def walk(rows: pd.DataFrame, starts: pd.DataFrame | None) -> pd.DataFrame:
-        rows = rows.sort_values(["match_date", "source", "match_id"], kind="stable")
-        rating = {} if starts is None or starts.empty else dict(zip(starts.team, starts.rating))
-        out = []
-        for origin, mid, home, away, hg, ag, adv in zip(
-            rows.source, rows.match_id, rows.home_team, rows.away_team, rows.fthg, rows.ftag, rows.home_adv
-        ):
-            rh = rating.get(home, p.initial_rating)
-            ra = rating.get(away, p.initial_rating)
-            expected = 1.0 / (1.0 + 10.0 ** ((ra - (rh + adv)) / 400.0))
-            nh, na = rh, ra
-            if hg == hg and ag == ag and hg is not None and ag is not None:
-                gap = hg - ag
-                scored = 1.0 if gap > 0 else (0.0 if gap < 0 else 0.5)
-                margin = 1.0 if gap == 0 else math.log(abs(gap) + 1)
-                step = p.k_factor * margin * (scored - expected)
-                nh, na = rh + step, ra - step
-            rating[home], rating[away] = nh, na
-            out.append((origin, mid, rh, ra, expected, nh, na))
-        pool = rows.pool.iloc[0] if len(rows) else None
-        if ends:
-            seen = sorted(set(rows.home_team) | set(rows.away_team))
-            era = rows.era.iloc[0] if len(rows) else 0
-            return pd.DataFrame(
-                {"pool": pool, "era": era, "team": seen, "rating": [rating[t] for t in seen]}
-            )
-        frame = pd.DataFrame(
-            out, columns=["source", "match_id", "elo_home", "elo_away", "elo_expected_home", "post_home", "post_away"]
-        )
-        frame.insert(0, "pool", pool)
-        return frame
-
-    return walk
-
-
-def _run(rows: DataFrame, starts: DataFrame | None, p: EloParams, ends: bool) -> DataFrame:
-    walk, schema = _walker(p, ends), END_SCHEMA if ends else MATCH_SCHEMA
-    if starts is None:
-        return rows.groupBy("pool", "era").applyInPandas(lambda pdf: walk(pdf, None), schema)
-    return (
-        rows.groupBy("pool", "era").cogroup(starts.groupBy("pool", "era"))
-        .applyInPandas(walk, schema)
-    )
+
+
+def _walker(p: EloParams, played: bool, ends: bool):
+    """The walk over batches sorted by pool, starting ratings first and then matches in order."""
+    schema = pa.schema([(c, pa.string() if c in ("pool", "source", "team") else pa.int64() if c == "match_id" else pa.bool_() if c == "ended" else pa.float64())
+                        for c in [*MATCH_COLUMNS, "team", "rating", "ended"]])
+
+    def matches(batch: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
+        rows, n = batch.filter(pc.invert(batch.column("start"))), len(out)
+        values = np.array(out, np.float64).T
+        return pa.RecordBatch.from_arrays(
+            [rows.column("pool"), rows.column("source"), rows.column("match_id"), *[pa.array(v, from_pandas=True) for v in values],
+             pa.nulls(n, pa.string()), pa.nulls(n, pa.float64()), pa.array(np.zeros(n, bool))], schema=schema)
+
+    def ended(pool: str | None, rating: dict) -> pa.RecordBatch:
+        n = len(rating)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([pool] * n, pa.string()), *[pa.nulls(n, field.type) for field in list(schema)[1:8]],
+             pa.array(list(rating), pa.string()), pa.array(list(rating.values()), pa.float64(), from_pandas=True), pa.array(np.ones(n, bool))], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rating, pool, begun = {}, None, False
+        for batch in batches:
+            out, done = [], []
+            columns = ("pool", "start", "home_team", "away_team", "fthg", "ftag", "home_adv")
+            for name, start, home, away, hg, ag, adv in zip(*[batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in columns]):
+                if name != pool or not begun:
+                    if begun:
+                        done.append((pool, rating))
+                    rating, pool, begun = {}, name, True
+                if start:
+                    rating[home] = hg
+                    continue
+                rh = rating.get(home, p.initial_rating)
+                ra = rating.get(away, p.initial_rating)
+                expected = 1.0 / (1.0 + 10.0 ** ((ra - (rh + adv)) / 400.0))
+                nh, na = rh, ra
+                if hg == hg and ag == ag:
+                    gap = hg - ag
+                    scored = 1.0 if gap > 0 else (0.0 if gap < 0 else 0.5)
+                    margin = 1.0 if gap == 0 else math.log(abs(gap) + 1)
+                    step = p.k_factor * margin * (scored - expected)
+                    nh, na = rh + step, ra - step
+                rating[home], rating[away] = nh, na
+                out.append((rh, ra, expected, nh, na))
+            if played and out:
+                yield matches(batch, out)
+            if ends:
+                yield from (ended(*one) for one in done)
+        if ends and begun:
+            yield ended(pool, rating)
+
+    return run
+
+
+def _run(rows: DataFrame, starts: DataFrame | None, p: EloParams, played: bool, ends: bool) -> DataFrame:
+    every = rows.select(*INPUT, F.lit(False).alias("start"))
+    if starts is not None:
+        given = {"pool": F.col("pool"), "home_team": F.col("team"), "fthg": F.col("rating")}
+        types = dict(rows.dtypes)
+        every = every.unionByName(starts.select(
+            *[given.get(c, F.lit(None)).cast(types[c]).alias(c) for c in INPUT], F.lit(True).alias("start")))
+    order = [F.col("pool"), F.col("start").desc(), *[F.col(c).asc_nulls_last() for c in ("match_date", "source", "match_id")]]
+    return every.repartition("pool").sortWithinPartitions(*order).mapInArrow(_walker(p, played, ends), WALK_SCHEMA)
 
 
 def _with_eras(rows: DataFrame, era_rows: int) -> tuple[DataFrame, int]:
     """Number the eras of each pool; (frame, highest era).
 
     Boundaries fall between days and come from per-day counts, so the only
-    window runs over a pool's days.
+    window runs over a pool's days. More than one era are kept in a folder each.
     """
     days = rows.groupBy("pool", "match_date").agg(F.count(F.lit(1)).alias("_n"))
     largest = days.groupBy("pool").agg(F.sum("_n").alias("_n")).agg(F.max("_n")).first()[0] or 0
     if largest <= era_rows:
-        return rows.withColumn("era", F.lit(0).cast("bigint")), 0
-    before = Window.partitionBy("pool").orderBy("match_date").rowsBetween(Window.unboundedPreceding, -1)
+        return rows, 0
+    before = Window.partitionBy("pool").orderBy(F.col("match_date").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     numbered = days.select(
-        "pool", "match_date",
-        F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / era_rows).alias("era"),
+        F.col("pool").alias("_pool"), F.col("match_date").alias("_day"),
+        F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / era_rows).cast("int").alias("era"),
     )
-    out = stage(rows.join(numbered, ["pool", "match_date"]), "eras")
+    same = F.col("pool").eqNullSafe(F.col("_pool")) & F.col("match_date").eqNullSafe(F.col("_day"))
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "eras")
+    out = rows.join(numbered, same).drop("_pool", "_day")
+    with shuffles_freed(spark):
+        out.hint("rebalance", "era").write.partitionBy("era").parquet(path)
+    # Folders give the column that is not in the files.
+    out = spark.read.schema(out.schema).parquet(path)
     return out, out.agg(F.max("era")).first()[0]
 
 
-def _era_starts(rows: DataFrame, last_era: int, p: EloParams) -> DataFrame | None:
-    """Ratings each team takes into each era, iterated to the fixed point."""
-    if last_era == 0:
-        return None
-    by_team = Window.partitionBy("pool", "team").orderBy("era")
-    starts = None
-    for _ in range(last_era + 1):
-        ends = _run(rows, starts, p, ends=True)
-        fresh = cut(
-            ends.withColumn("rating", F.lag("rating").over(by_team)).where(F.col("rating").isNotNull())
-        )
-        if starts is not None:
-            old = starts.withColumnRenamed("rating", "_old")
-            moved = fresh.join(old, ["pool", "era", "team"]).where(F.col("rating") != F.col("_old"))
-            if moved.isEmpty():
-                return fresh
-        starts = fresh
-    return starts
+def _walk(matches: DataFrame, p: EloParams, era_rows: int, played: bool) -> DataFrame:
+    """Every match walked (`played`), or the rating each team ends with."""
+    rows, last = _with_eras(_prepare(matches, p), era_rows)
+    if last == 0:
+        return _run(rows, None, p, played=played, ends=not played)
+    spark, path, starts = rows.sparkSession, scratch_path(rows.sparkSession, "walked"), None
+    for era in range(last + 1):
+        part = f"{path}/era={era}"
+        with shuffles_freed(spark):
+            _run(rows.where(F.col("era") == era), starts, p, played=played, ends=True).write.parquet(part)
+        ended = spark.read.schema(WALK_SCHEMA).parquet(part).where("ended")
+        starts = ended.select(*END_COLUMNS)
+    return spark.read.schema(WALK_SCHEMA).parquet(path).where("NOT ended") if played else ended
 
 
 def _prepare(matches: DataFrame, p: EloParams) -> DataFrame:
@@ -123,9 +146,7 @@ def _prepare(matches: DataFrame, p: EloParams) -> DataFrame:
         out = out.withColumn("source", F.lit(""))
     if "home_adv" not in cols:
         out = out.withColumn("home_adv", F.lit(p.home_advantage))
-    return out.select(
-        *[F.col(c).cast("double") if c in ("fthg", "ftag") else F.col(c) for c in INPUT]
-    )
+    return out.select(*[F.col(c).cast(TYPES[c]) if c in TYPES else F.col(c) for c in INPUT])
 
 
 def elo_walk(matches: DataFrame, p: EloParams = ELO, era_rows: int = params.ERA_ROWS) -> DataFrame:
@@ -133,9 +154,7 @@ def elo_walk(matches: DataFrame, p: EloParams = ELO, era_rows: int = params.ERA_
 
     Rows without a score get ratings but move none.
     """
-    rows, last = _with_eras(_prepare(matches, p), era_rows)
-    walked = _run(rows, _era_starts(rows, last, p), p, ends=False)
-    return walked.withColumns({
+    return _walk(matches, p, era_rows, played=True).select(*MATCH_COLUMNS).withColumns({
         "elo_diff": F.col("elo_home") - F.col("elo_away"),
         "elo_expected_away": F.lit(1.0) - F.col("elo_expected_home"),
     })
@@ -143,9 +162,7 @@ def elo_walk(matches: DataFrame, p: EloParams = ELO, era_rows: int = params.ERA_
 
 def elo_final(matches: DataFrame, p: EloParams = ELO, era_rows: int = params.ERA_ROWS) -> DataFrame:
     """Rating of each team after its last match: (pool, team, rating)."""
-    rows, last = _with_eras(_prepare(matches, p), era_rows)
-    ends = _run(rows, _era_starts(rows, last, p), p, ends=True)
-    return ends.groupBy("pool", "team").agg(F.max_by("rating", "era").alias("rating"))
+    return _walk(matches, p, era_rows, played=False).select(*END_COLUMNS)
 
 
 def top_rated(ratings: DataFrame, n: int = 10) -> DataFrame:

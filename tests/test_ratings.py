@@ -1,5 +1,6 @@
 """The era-parallel walk equals the sequential one."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -54,3 +55,32 @@ def test_corpora_whose_ids_overlap(spark):
     # Domestic rows of the day come first, so the other corpus starts from where they ended.
     assert rows_["supplementary", 1].elo_home == rows_["domestic", 5].post_home
     assert rows_["domestic", 9].pool == "X" and rows_["domestic", 1].pool == rows_["supplementary", 1].pool == "A"
+
+
+def test_every_match_is_walked_once(matches, monkeypatch):
+    """Eras come one after the other; none is walked again."""
+    walked, run = [], rt._run
+    monkeypatch.setattr(rt, "_run", lambda rows_, *a, **k: walked.append(rows_.count()) or run(rows_, *a, **k))
+    rt.elo_walk(linked(matches), era_rows=400)
+    assert len(walked) > 2 and sum(walked) == matches.count()
+
+
+def test_a_pool_is_a_stream_of_batches():
+    """A batch's ratings leave before the next batch is read, and pools don't mix."""
+    read = []
+
+    def batches():
+        for i, pools in enumerate((["x", "x"], ["x", "y"], [None, None])):
+            read.append(i)
+            yield pa.RecordBatch.from_pydict({
+                "pool": pa.array(pools, pa.string()), "source": pa.array(["", ""]), "match_id": pa.array([2 * i, None], pa.int64()),
+                "home_team": ["a", "a"], "away_team": ["b", "b"], "fthg": pa.array([1.0, None]), "ftag": pa.array([0.0, None], pa.float64()),
+                "home_adv": pa.array([65.0, None]), "start": [False, False]})
+
+    out = rt._walker(rt.ELO, True, True)(batches())
+    first = next(out).to_pylist()
+    assert read == [0] and first[1]["elo_home"] == first[0]["post_home"] > 1500.0
+    assert first[1]["match_id"] is None and first[1]["elo_expected_home"] is None
+    rest = [r for b in out for r in b.to_pylist()]
+    assert [r["elo_home"] == 1500.0 for r in rest if not r["ended"]] == [False, True, True, False]
+    assert [(r["pool"], r["team"]) for r in rest if r["ended"]] == [(p, t) for p in ("x", "y", None) for t in "ab"]
