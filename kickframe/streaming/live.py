@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
@@ -277,6 +278,8 @@ def in_play_board(live: DataFrame, names: DataFrame, predictions: DataFrame) ->
     return priced.withColumn("reason", reason).drop("_found")
 
 
+#: Matches of a pool whose ratings leave a task together.
+EMITTED = 20_000
 RATING_SCHEMA = "pool string, team string, rating double, match_date date, match_id bigint"
 
 
@@ -289,21 +292,42 @@ def elo_stream(finished: DataFrame, p: EloParams = ELO) -> DataFrame:
     import math
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        teams, values = state.get if state.exists else ([], [])
-        rating = dict(zip(teams, values))
-        rows = pd.concat(list(batches)).sort_values(["match_date", "match_id"], kind="stable")
-        out = []
-        for day, mid, home, away, hg, ag in zip(
-            rows.match_date, rows.match_id, rows.home_team, rows.away_team, rows.fthg, rows.ftag
-        ):
-            rh, ra = rating.get(home, p.initial_rating), rating.get(away, p.initial_rating)
-            expected = 1.0 / (1.0 + 10.0 ** ((ra - (rh + p.home_advantage)) / 400.0))
-            scored = 1.0 if hg > ag else (0.0 if hg < ag else 0.5)
-            move = p.k_factor * (1.0 if hg == ag else math.log(abs(hg - ag) + 1)) * (scored - expected)
-            rating[home], rating[away] = rh + move, ra - move
-            out += [(key[0], home, rh + move, day, mid), (key[0], away, ra - move, day, mid)]
-        state.update((list(rating), list(rating.values())))
-        yield pd.DataFrame(out, columns=["pool", "team", "rating", "match_date", "match_id"])
+        names, rating = list(state.get[0]) if state.exists else [], list(state.get[1]) if state.exists else []
+        number = {name: i for i, name in enumerate(names)}
+
+        def place(name: str) -> int:
+            if name not in number:
+                number[name] = len(names)
+                names.append(name)
+                rating.append(p.initial_rating)
+            return number[name]
+
+        # A micro-batch comes in any order, so it is held whole, but as numbers.
+        parts = [[] for _ in range(7)]
+        for batch in batches:
+            teams = [np.fromiter(map(place, batch[c]), np.int32, len(batch)) for c in ("home_team", "away_team")]
+            days, missing = batch.match_date.to_numpy().astype("datetime64[D]"), batch.match_id.isna().to_numpy()
+            ids = batch.match_id.fillna(0).to_numpy(np.int64)
+            for part, values in zip(parts, (days, ids, missing, *teams, batch.fthg.to_numpy(np.float64), batch.ftag.to_numpy(np.float64))):
+                part.append(values)
+        # One column at a time gives its pieces back.
+        days, ids, missing, home, away, hg, ag = (np.concatenate(parts.pop(0)) for _ in range(7))
+        order = np.lexsort((ids, missing, days))
+        for at in range(0, len(order), EMITTED):
+            rows, out = order[at:at + EMITTED], []
+            for h, a, x, y in zip(home[rows].tolist(), away[rows].tolist(), hg[rows].tolist(), ag[rows].tolist()):
+                rh, ra = rating[h], rating[a]
+                expected = 1.0 / (1.0 + 10.0 ** ((ra - (rh + p.home_advantage)) / 400.0))
+                scored = 1.0 if x > y else (0.0 if x < y else 0.5)
+                move = p.k_factor * (1.0 if x == y else math.log(abs(x - y) + 1)) * (scored - expected)
+                rating[h], rating[a] = rh + move, ra - move
+                out += (rh + move, ra - move)
+            sides = np.stack([home[rows], away[rows]], 1).ravel()
+            twice = np.repeat(rows, 2)
+            yield pd.DataFrame({
+                "pool": key[0], "team": [names[t] for t in sides.tolist()], "rating": out, "match_date": days[twice].astype(object),
+                "match_id": pd.arrays.IntegerArray(ids[twice], missing[twice])})
+        state.update((names, rating))
 
     return finished.groupBy("pool").applyInPandasWithState(
         step, RATING_SCHEMA, "teams array<string>, ratings array<double>", "append", GroupStateTimeout.NoTimeout)

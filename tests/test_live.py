@@ -112,3 +112,22 @@ def test_streamed_prices_follow_the_board(spark):
 def test_streamed_boards_equal_batch_boards(spark, small):
     for one, other in ((live.live_board, live.live_board_stream), (live.in_play_board, live.in_play_board_stream)):
         assert rows(one(spark, small)) == rows(other(spark, small))
+
+
+def test_running_ratings_leave_a_task_in_pieces(spark, monkeypatch):
+    """Ratings of a pool come a piece at a time and equal the batch walk; ids, dates and teams may be missing."""
+    from datetime import date
+
+    from kickframe.operators import ratings as rt
+
+    monkeypatch.setattr(lv, "EMITTED", 4)
+    teams = ["a", "b", "c", "d", None]
+    data = [("xy"[i % 2], None if i == 39 else i, None if i >= 38 else date(2020, 1, 1 + i % 7), teams[i % 5], teams[(i + 1 + i // 5 % 4) % 5], i % 4, i % 3)
+            for i in range(40)]
+    m = spark.createDataFrame(data, "pool string, match_id long, match_date date, home_team string, away_team string, fthg long, ftag long")
+    out = lv.run_available(m.repartition(3), lv.elo_stream, "elo-pieces")
+    walked = rt.elo_walk(m)
+    want = walked.alias("w").join(m.alias("m"), F.col("w.match_id").eqNullSafe(F.col("m.match_id")))
+    sides = F.explode(F.array(*[F.struct(F.col(f"m.{s}_team").alias("team"), F.col(f"w.post_{s}").alias("rating")) for s in ("home", "away")]))
+    want = want.select("w.pool", "w.match_id", "m.match_date", sides.alias("s")).select("pool", "match_id", "match_date", "s.*")
+    assert rows(out) == rows(want) and out.count() == 80
