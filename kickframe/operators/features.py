@@ -106,12 +106,20 @@ def rolling_team_stats(
     )
 
 
+def _match() -> Column:
+    """A join key that a row without an id has too."""
+    return F.struct("match_id").alias("_match")
+
+
 def _fold_sides(stats: DataFrame, names: list[str]) -> DataFrame:
-    """Bring the two records of each match back into one row."""
-    aggs = [F.first("payload", ignorenulls=True).alias("payload")]
+    """Bring the two records of each match back into one row: the match they carry, or else its `_match`."""
+    carried = "payload" in stats.columns
+    aggs = [F.first("payload", ignorenulls=True).alias("payload")] if carried else []
     for name in names:
         aggs.append(F.max(F.when(F.col("is_home"), F.col(name))).alias(f"home_{name}"))
         aggs.append(F.max(F.when(~F.col("is_home"), F.col(name))).alias(f"away_{name}"))
+    if not carried:
+        return stats.groupBy(_match()).agg(*aggs)
     folded = stats.groupBy("match_id").agg(*aggs)
     sides = [f"{s}_{n}" for n in names for s in ("home", "away")]
     return folded.select("payload.*", *sides)
@@ -121,9 +129,12 @@ def match_features(
     matches: DataFrame, stats=ALL_STATS, p: FeatureParams = FEATURES, hot: DataFrame | None = None
 ) -> DataFrame:
     """Home, away and difference of the rolling stats; incomplete rows dropped."""
-    rolled = rolling_team_stats(team_matches(matches, stats, payload=True), stats, p, hot)
+    rolled = rolling_team_stats(team_matches(matches, stats), stats, p, hot)
     names = [f"avg_{s}" for s in stats] + ["form"]
-    folded = _fold_sides(rolled, names)
+    # The whole match moves once, beside the windows; of rows with one id one stays.
+    whole = matches.groupBy(_match()).agg(F.first(F.struct(*matches.columns)).alias("payload"))
+    sides = [f"{s}_{n}" for n in names for s in ("home", "away")]
+    folded = whole.join(_fold_sides(rolled.select("match_id", "is_home", *names), names), "_match").select("payload.*", *sides)
     with_diff = folded.withColumns(
         {f"diff_{n}": F.col(f"home_{n}") - F.col(f"away_{n}") for n in names}
     )
@@ -171,7 +182,12 @@ def form_features(
     hot: DataFrame | None = None,
 ) -> DataFrame:
     """xG proxy, rest days and draw share in one pass over the team windows."""
-    extra, exprs, names = [], {}, []
+    return _form_columns(_form_values(df, families, p, hot, payload=True), families, p)
+
+
+def _form_values(df: DataFrame, families, p: FeatureParams, hot: DataFrame | None, payload: bool) -> DataFrame:
+    """Window values of both sides of each match, beside its columns or its key alone."""
+    extra, exprs = [], {}
     if XG in families:
         extra += [
             ("xg", lambda home: _xg("hst", "hs_shots", p) if home else _xg("ast", "as_shots", p)),
@@ -188,9 +204,12 @@ def form_features(
             ("is_draw", lambda home: F.when(F.col("fthg") == F.col("ftag"), 1).otherwise(0))
         )
         exprs["draw_pct"] = _recent_mean("is_draw", p.window)
-    names = list(exprs)
-    records = team_matches(df, stats=(), payload=True, extra=extra)
-    out = _fold_sides(over_recent(records, ["team"], ORDER, p.window, exprs, hot), names)
+    records = team_matches(df, stats=(), payload=payload, extra=extra)
+    return _fold_sides(over_recent(records, ["team"], ORDER, p.window, exprs, hot), list(exprs))
+
+
+def _form_columns(out: DataFrame, families, p: FeatureParams) -> DataFrame:
+    """What follows from a match's columns and the window values of its sides."""
     if XG in families:
         out = out.withColumn("xg_diff", F.col("home_xg_rolling") - F.col("away_xg_rolling"))
     if FATIGUE in families:
@@ -227,15 +246,20 @@ def h2h_last5(df: DataFrame, p: FeatureParams = FEATURES) -> DataFrame:
     window runs over a pair's days, and the result is joined back per day. No
     task sees more than days x `h2h_last` rows of a pair.
     """
+    return _h2h_values(df, df.select("*", *pair_key()), p).drop("team_a", "team_b")
+
+
+def _h2h_values(df: DataFrame, keyed: DataFrame, p: FeatureParams) -> DataFrame:
+    """`keyed`, rows with a pair, date and home team, with the shares over what `df` has before."""
     n = p.h2h_last
-    keyed = df.select("*", *pair_key())
+    meetings = df.select("*", *pair_key())
     meeting = F.struct(
         "match_date", "match_id", "home_team",
         result_of().alias("result"), (F.col("fthg") + F.col("ftag")).alias("goals"),
     )
     per_day = Window.partitionBy("team_a", "team_b", "match_date").orderBy(F.col("match_id").desc())
     days = (
-        keyed.select("team_a", "team_b", "match_date", "match_id", meeting.alias("m"))
+        meetings.select("team_a", "team_b", "match_date", "match_id", meeting.alias("m"))
         .withColumn("_rn", F.row_number().over(per_day)).where(F.col("_rn") <= n)
         .groupBy("team_a", "team_b", "match_date")
         .agg(F.sort_array(F.collect_list("m")).alias("tail"))
@@ -261,7 +285,22 @@ def h2h_last5(df: DataFrame, p: FeatureParams = FEATURES) -> DataFrame:
         "h2h_total_goals_avg": share(
             F.aggregate("prev", F.lit(0).cast("bigint"), lambda acc, m: acc + m["goals"])
         ),
-    }).drop("team_a", "team_b", "prev")
+    }).drop("prev")
+
+
+def _later_steps(survivors: DataFrame, families, p: FeatureParams, hot: DataFrame | None) -> DataFrame:
+    """`h2h_last5(form_features(...))` of staged rows, one per match.
+
+    Only keys and values go through the windows, and the wide rows are moved once, to be joined with them.
+    """
+    form = _form_values(survivors, families, p, hot, payload=False)
+    keyed = survivors.select("match_id", "match_date", "home_team", *pair_key())
+    pairs = _h2h_values(survivors, keyed, p)
+    names = [c for c in pairs.columns if c.startswith("h2h_")]
+    joined = survivors.select("*", _match()).join(form, "_match")
+    out = _form_columns(joined, families, p).join(pairs.select(_match(), *names), "_match")
+    rest = [c for c in out.columns if c not in ("_match", "match_date", *names)]
+    return out.select("match_date", *rest, *names)
 
 
 def all_features(
@@ -275,7 +314,7 @@ def all_features(
     if hot is None:
         hot = hot_keys(team_matches(matches, stats=()), ["team"])
     survivors = stage(odds_features(match_features(matches, p=p, hot=hot)), "survivors")
-    return h2h_last5(form_features(survivors, p=p, hot=hot), p)
+    return _later_steps(survivors, (XG, FATIGUE, DRAWS), p, hot)
 
 
 def intl_features(
@@ -285,7 +324,7 @@ def intl_features(
     if hot is None:
         hot = hot_keys(team_matches(matches, stats=()), ["team"])
     survivors = stage(match_features(matches, GOAL_STATS, p, hot), "intl-survivors")
-    out = h2h_last5(form_features(survivors, (DRAWS,), p, hot), p)
+    out = _later_steps(survivors, (DRAWS,), p, hot)
     return out.withColumn("is_neutral", F.col("neutral").cast("int"))
 
 

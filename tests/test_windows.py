@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from kickframe.operators import features as feat
 from kickframe.operators.windows import chronological_index, hot_keys
+from kickframe.session import stage
 from kickframe.workload.features import AVGS
 
 
@@ -89,3 +90,21 @@ def test_split_path_across_the_epoch(spark):
     cols = ["team", "match_id", "avg_gf", "form"]
     plain = feat.rolling_team_stats(records, ("gf", "ga")).select(cols)
     assert rows(plain) == rows(feat.rolling_team_stats(records, ("gf", "ga"), hot=hot).select(cols))
+
+
+def test_later_features_move_keys_and_values_only(spark, matches):
+    """The wide rows go through no later window; a row without id stays, one without date drops, as step by step."""
+    survivors = feat.match_features(matches).cache()
+    odd = survivors.orderBy("match_id").limit(2).collect()
+    rest = survivors.where(~F.col("match_id").isin([r.match_id for r in odd]))
+    changed = [(None, odd[0].match_date), (odd[1].match_id, None)]
+    base = [r.asDict() for r in odd]
+    for r, (i, d) in zip(base, changed):
+        r.update(match_id=i, match_date=d)
+    survivors = stage(rest.unionByName(spark.createDataFrame(base, survivors.schema)), "odd-survivors")
+    for families in ((feat.XG, feat.FATIGUE, feat.DRAWS), (feat.DRAWS,)):
+        step_by_step = feat.h2h_last5(feat.form_features(survivors, families))
+        got = feat._later_steps(survivors, families, feat.FEATURES, None)
+        assert got.columns == step_by_step.columns and rows(got) == rows(step_by_step)
+        assert got.where("match_id IS NULL").count() == 1 and got.where("match_date IS NULL").count() == 0
+    assert "payload" not in feat.all_features(matches)._jdf.queryExecution().optimizedPlan().toString()
