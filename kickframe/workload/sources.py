@@ -148,19 +148,22 @@ def parse_match_text(spark, sf):
 
 
 def odds_events(spark, sf):
-    q = quotes(spark, sf)
-    book = F.struct(F.col("source").alias("key"), F.array(
-        F.struct(F.lit("h2h").alias("key"), F.array(
-            F.struct(F.col("home_team").alias("name"), F.col("odds_home").alias("price")),
-            F.struct(F.lit("Draw").alias("name"), F.col("odds_draw").alias("price")),
-            F.struct(F.col("away_team").alias("name"), F.col("odds_away").alias("price"))).alias("outcomes")),
-        F.struct(F.lit("totals").alias("key"), F.array(F.struct(F.lit("Over").alias("name"), F.lit(1.9).alias("price"))).alias("outcomes"))).alias("markets"))
-    m = matches(spark, sf).select("match_id", "match_date", "home_team", "away_team")
+    """One event per match; its books are gathered as prices and spelled out beside the teams."""
     # A match has at most one book per source.
-    books = m.join(q, "match_id").groupBy("match_id").agg(F.collect_list(book).alias("bookmakers"))
+    prices = quotes(spark, sf).groupBy("match_id").agg(
+        F.collect_list(F.struct("source", "odds_home", "odds_draw", "odds_away")).alias("prices"))
+    m = matches(spark, sf).select("match_id", "match_date", "home_team", "away_team").join(prices, "match_id", "left")
+
+    def book(q):
+        return F.struct(q["source"].alias("key"), F.array(
+            F.struct(F.lit("h2h").alias("key"), F.array(
+                F.struct(F.col("home_team").alias("name"), q["odds_home"].alias("price")),
+                F.struct(F.lit("Draw").alias("name"), q["odds_draw"].alias("price")),
+                F.struct(F.col("away_team").alias("name"), q["odds_away"].alias("price"))).alias("outcomes")),
+            F.struct(F.lit("totals").alias("key"), F.array(F.struct(F.lit("Over").alias("name"), F.lit(1.9).alias("price"))).alias("outcomes"))).alias("markets"))
     event = F.struct(F.col("match_id").cast("string").alias("id"), F.concat(F.col("match_date").cast("string"), F.lit("T18:30:00Z")).alias("commence_time"),
-                     "home_team", "away_team", F.coalesce("bookmakers", F.array()).alias("bookmakers"))
-    return m.join(books, "match_id", "left").select(F.to_json(event).alias("payload"))
+                     "home_team", "away_team", F.coalesce(F.transform("prices", book), F.array()).alias("bookmakers"))
+    return m.select(F.to_json(event).alias("payload"))
 
 
 AVG = [f"{k}_{s}" for k in ("avg", "best") for s in ("home", "draw", "away")]

@@ -126,3 +126,17 @@ def test_missing_shared_folder_is_an_error_off_local_masters():
 
     with pytest.raises(ValueError, match="shared folder"):
         shared_dir(Session())
+
+
+def test_books_travel_as_prices(spark, small):
+    """Quotes are gathered before teams and outcome names are beside them, and every match has its event."""
+    from kickframe.sources.synthetic import matches, quotes
+    from kickframe.workload import sources
+
+    events = sources.odds_events(spark, small)
+    plan = events._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and events.count() == matches(spark, small).count()
+    got = {(r.id, r.source, r.outcome): r.price for r in fd.parse_odds_events(events)[0].collect()}
+    want = {(str(r.match_id), r.source, side): r[f"odds_{side}"] for r in quotes(spark, small).join(matches(spark, small), "match_id").collect()
+            for side in ("home", "draw", "away")}
+    assert got == want
