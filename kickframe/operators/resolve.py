@@ -299,19 +299,25 @@ def cross_source_check(corpus: DataFrame, other: DataFrame, min_overlap: int = 5
     """
     left = corpus.select("match_id", "match_date", F.col("league_code").alias("scope"), "fthg", "ftag",
                          loose_key("home_team").alias("lh"), loose_key("away_team").alias("la"))
-    right = other.groupBy(
+    theirs = other.select(
         F.col("league_code").alias("scope"), F.col("match_date").alias("day"),
-        loose_key("home_team").alias("rh"), loose_key("away_team").alias("ra"),
-    ).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("home_goals", "away_goals", "extra_time")).alias("api"))
+        loose_key("home_team").alias("rh"), loose_key("away_team").alias("ra"), "home_goals", "away_goals", "extra_time")
+    right = theirs.groupBy("scope", "day", "rh", "ra").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("home_goals", "away_goals", "extra_time")).alias("api"))
+    # Names are paired, then the teams that meet in both sources; rows are joined with what both sides are called once.
+    meeting = left.select("scope", "lh", "la").distinct()
     pairs = containing_names(
-        left.select("scope", F.explode(F.array("lh", "la")).alias("l")),
-        right.select("scope", F.explode(F.array("rh", "ra")).alias("r")),
+        meeting.select("scope", F.explode(F.array("lh", "la")).alias("l")),
+        theirs.select("scope", F.explode(F.array("rh", "ra")).alias("r")),
     ).where((F.col("l") == F.col("r")) | (F.least(F.length("l"), F.length("r")) >= min_overlap))
     # Fixed search order: same day, day before, day after.
     offsets = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(d).alias("shift")) for i, d in enumerate((0, -1, 1))])
-    hits = (
-        left.join(pairs.select("scope", F.col("l").alias("lh"), F.col("r").alias("rh")), ["scope", "lh"])
+    called = (
+        meeting.join(pairs.select("scope", F.col("l").alias("lh"), F.col("r").alias("rh")), ["scope", "lh"])
         .join(pairs.select("scope", F.col("l").alias("la"), F.col("r").alias("ra")), ["scope", "la"])
+        .join(theirs.select("scope", "rh", "ra").distinct(), ["scope", "rh", "ra"], "left_semi")
+    )
+    hits = (
+        left.join(called, ["scope", "lh", "la"])
         .select("*", F.explode(offsets).alias("o"))
         .withColumn("day", F.date_add("match_date", F.col("o.shift")))
         .join(right, ["scope", "day", "rh", "ra"])

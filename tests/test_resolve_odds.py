@@ -99,3 +99,19 @@ def test_bootstrap_counts_are_poisson_like():
 
     counts = sc._multiplicities(np.arange(2000), 50, 42)
     assert counts.mean() == pytest.approx(1.0, abs=0.02) and counts.var() == pytest.approx(1.0, abs=0.03)
+
+
+def test_names_that_never_meet_are_not_searched(spark):
+    """A row is compared with pairs of teams that the other source has, not with all pairs of names that fit."""
+    from datetime import date
+
+    from kickframe.operators import resolve as rs
+
+    day = date(2020, 1, 2)
+    corpus = spark.createDataFrame([(1, day, "L", "Ashton", "Burnley", 1, 0), (2, day, "L", "Carlow", "Ashton", 2, 2)],
+                                   "match_id long, match_date date, league_code string, home_team string, away_team string, fthg long, ftag long")
+    other = spark.createDataFrame([("L", date(2020, 1, 1), "FC Ashton", "Burnley FC", 1, 0, False), ("L", day, "Ashton Town", "Carlow", 0, 0, False)],
+                                  "league_code string, match_date date, home_team string, away_team string, home_goals long, away_goals long, extra_time boolean")
+    out = rs.cross_source_check(corpus, other)
+    assert [tuple(r) for r in out.collect()] == [(1, 1, "same")]
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
