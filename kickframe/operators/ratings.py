@@ -35,14 +35,16 @@ WALK_SCHEMA = (
 )
 
 
-def _walker(p: EloParams, played: bool, ends: bool):
+def _walker(p: EloParams, played: bool, ends: bool, only: str | None = None):
     """The walk over batches sorted by pool, starting ratings first and then matches in order."""
     schema = pa.schema([(c, pa.string() if c in ("pool", "source", "team") else pa.int64() if c == "match_id" else pa.bool_() if c == "ended" else pa.float64())
                         for c in [*MATCH_COLUMNS, "team", "rating", "ended"]])
 
-    def matches(batch: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
-        rows, n = batch.filter(pc.invert(batch.column("start"))), len(out)
-        values = np.array(out, np.float64).T
+    def matches(rows: pa.RecordBatch, values: list[np.ndarray]) -> pa.RecordBatch:
+        if only is not None:
+            wanted = pc.fill_null(pc.equal(rows.column("source"), only), False)
+            rows, values = rows.filter(wanted), [v[wanted.to_numpy(zero_copy_only=False)] for v in values]
+        n = rows.num_rows
         return pa.RecordBatch.from_arrays(
             [rows.column("pool"), rows.column("source"), rows.column("match_id"), *[pa.array(v, from_pandas=True) for v in values],
              pa.nulls(n, pa.string()), pa.nulls(n, pa.float64()), pa.array(np.zeros(n, bool))], schema=schema)
@@ -53,12 +55,30 @@ def _walker(p: EloParams, played: bool, ends: bool):
             [pa.array([pool] * n, pa.string()), *[pa.nulls(n, field.type) for field in list(schema)[1:8]],
              pa.array(list(rating), pa.string()), pa.array(list(rating.values()), pa.float64(), from_pandas=True), pa.array(np.ones(n, bool))], schema=schema)
 
+    def names(column: pa.Array) -> list:
+        """The names, each distinct one made once."""
+        coded = column.dictionary_encode(null_encoding="encode")
+        known = coded.dictionary.to_pylist()
+        return [known[i] for i in coded.indices.to_numpy().tolist()]
+
+    def moves(hg: np.ndarray, ag: np.ndarray) -> tuple[list, list]:
+        """The step at full surprise, None without a score, and the home side's share of the points."""
+        gap = hg - ag
+        margins = {g: 1.0 if g == 0 else math.log(g + 1) for g in np.unique(np.abs(gap)).tolist()}
+        given = (~np.isnan(hg) & ~np.isnan(ag)).tolist()
+        size = [p.k_factor * margins.get(g, math.nan) if known else None for g, known in zip(np.abs(gap).tolist(), given)]
+        return size, np.where(gap > 0, 1.0, np.where(gap < 0, 0.0, 0.5)).tolist()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rating, pool, begun = {}, None, False
+        rating, pool, begun, initial = {}, None, False, p.initial_rating
         for batch in batches:
-            out, done = [], []
-            columns = ("pool", "start", "home_team", "away_team", "fthg", "ftag", "home_adv")
-            for name, start, home, away, hg, ag, adv in zip(*[batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in columns]):
+            before_home, before_away, expectation, after_home, after_away, done = [], [], [], [], [], []
+            goals = batch.column("fthg").to_numpy(zero_copy_only=False)
+            size, share = moves(goals, batch.column("ftag").to_numpy(zero_copy_only=False))
+            plain = ("start", "home_adv")
+            for name, home, away, start, adv, hg, full, scored in zip(
+                    *[names(batch.column(c)) for c in ("pool", "home_team", "away_team")],
+                    *[batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in plain], goals.tolist(), size, share):
                 if name != pool or not begun:
                     if begun:
                         done.append((pool, rating))
@@ -66,20 +86,22 @@ def _walker(p: EloParams, played: bool, ends: bool):
                 if start:
                     rating[home] = hg
                     continue
-                rh = rating.get(home, p.initial_rating)
-                ra = rating.get(away, p.initial_rating)
+                rh, ra = rating.get(home, initial), rating.get(away, initial)
                 expected = 1.0 / (1.0 + 10.0 ** ((ra - (rh + adv)) / 400.0))
                 nh, na = rh, ra
-                if hg == hg and ag == ag:
-                    gap = hg - ag
-                    scored = 1.0 if gap > 0 else (0.0 if gap < 0 else 0.5)
-                    margin = 1.0 if gap == 0 else math.log(abs(gap) + 1)
-                    step = p.k_factor * margin * (scored - expected)
+                if full is not None:
+                    step = full * (scored - expected)
                     nh, na = rh + step, ra - step
                 rating[home], rating[away] = nh, na
-                out.append((rh, ra, expected, nh, na))
-            if played and out:
-                yield matches(batch, out)
+                if played:
+                    before_home.append(rh)
+                    before_away.append(ra)
+                    expectation.append(expected)
+                    after_home.append(nh)
+                    after_away.append(na)
+            if before_home:
+                yield matches(batch.filter(pc.invert(batch.column("start"))),
+                              [np.array(v, np.float64) for v in (before_home, before_away, expectation, after_home, after_away)])
             if ends:
                 yield from (ended(*one) for one in done)
         if ends and begun:
@@ -88,7 +110,7 @@ def _walker(p: EloParams, played: bool, ends: bool):
     return run
 
 
-def _run(rows: DataFrame, starts: DataFrame | None, p: EloParams, played: bool, ends: bool) -> DataFrame:
+def _run(rows: DataFrame, starts: DataFrame | None, p: EloParams, played: bool, ends: bool, only: str | None = None) -> DataFrame:
     every = rows.select(*INPUT, F.lit(False).alias("start"))
     if starts is not None:
         given = {"pool": F.col("pool"), "home_team": F.col("team"), "fthg": F.col("rating")}
@@ -96,7 +118,7 @@ def _run(rows: DataFrame, starts: DataFrame | None, p: EloParams, played: bool,
         every = every.unionByName(starts.select(
             *[given.get(c, F.lit(None)).cast(types[c]).alias(c) for c in INPUT], F.lit(True).alias("start")))
     order = [F.col("pool"), F.col("start").desc(), *[F.col(c).asc_nulls_last() for c in ("match_date", "source", "match_id")]]
-    return every.repartition("pool").sortWithinPartitions(*order).mapInArrow(_walker(p, played, ends), WALK_SCHEMA)
+    return every.repartition("pool").sortWithinPartitions(*order).mapInArrow(_walker(p, played, ends, only), WALK_SCHEMA)
 
 
 def _with_eras(rows: DataFrame, era_rows: int) -> tuple[DataFrame, int]:
@@ -110,13 +132,14 @@ def _with_eras(rows: DataFrame, era_rows: int) -> tuple[DataFrame, int]:
     if largest <= era_rows:
         return rows, 0
     before = Window.partitionBy("pool").orderBy(F.col("match_date").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    numbered = days.select(
-        F.col("pool").alias("_pool"), F.col("match_date").alias("_day"),
-        F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / era_rows).cast("int").alias("era"),
-    )
-    same = F.col("pool").eqNullSafe(F.col("_pool")) & F.col("match_date").eqNullSafe(F.col("_day"))
+    numbered = days.select("pool", "match_date", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / era_rows).cast("int").alias("era"))
+    # A pool has a bound per era but the first, so the table is far smaller than its days.
+    bounds = numbered.groupBy("pool", "era").agg(F.min("match_date").alias("_day")).where("era > 0").groupBy(
+        F.col("pool").alias("_pool")).agg(F.collect_list("_day").alias("_bounds"))
+    passed = F.size(F.filter("_bounds", lambda day: F.col("match_date").isNull() | (day <= F.col("match_date"))))
     spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "eras")
-    out = rows.join(numbered, same).drop("_pool", "_day")
+    out = rows.join(F.broadcast(bounds), F.col("pool").eqNullSafe(F.col("_pool")), "left").withColumn(
+        "era", F.coalesce(F.greatest(passed, F.lit(0)), F.lit(0))).drop("_pool", "_bounds")
     with shuffles_freed(spark):
         out.hint("rebalance", "era").write.partitionBy("era").parquet(path)
     # Folders give the column that is not in the files.
@@ -124,16 +147,16 @@ def _with_eras(rows: DataFrame, era_rows: int) -> tuple[DataFrame, int]:
     return out, out.agg(F.max("era")).first()[0]
 
 
-def _walk(matches: DataFrame, p: EloParams, era_rows: int, played: bool) -> DataFrame:
-    """Every match walked (`played`), or the rating each team ends with."""
+def _walk(matches: DataFrame, p: EloParams, era_rows: int, played: bool, only: str | None = None) -> DataFrame:
+    """Every match walked (`played`), or the rating each team ends with; `only` names the source whose matches are given back."""
     rows, last = _with_eras(_prepare(matches, p), era_rows)
     if last == 0:
-        return _run(rows, None, p, played=played, ends=not played)
+        return _run(rows, None, p, played=played, ends=not played, only=only)
     spark, path, starts = rows.sparkSession, scratch_path(rows.sparkSession, "walked"), None
     for era in range(last + 1):
         part = f"{path}/era={era}"
         with shuffles_freed(spark):
-            _run(rows.where(F.col("era") == era), starts, p, played=played, ends=True).write.parquet(part)
+            _run(rows.where(F.col("era") == era), starts, p, played=played, ends=True, only=only).write.parquet(part)
         ended = spark.read.schema(WALK_SCHEMA).parquet(part).where("ended")
         starts = ended.select(*END_COLUMNS)
     return spark.read.schema(WALK_SCHEMA).parquet(path).where("NOT ended") if played else ended
@@ -149,12 +172,13 @@ def _prepare(matches: DataFrame, p: EloParams) -> DataFrame:
     return out.select(*[F.col(c).cast(TYPES[c]) if c in TYPES else F.col(c) for c in INPUT])
 
 
-def elo_walk(matches: DataFrame, p: EloParams = ELO, era_rows: int = params.ERA_ROWS) -> DataFrame:
+def elo_walk(matches: DataFrame, p: EloParams = ELO, era_rows: int = params.ERA_ROWS, only: str | None = None) -> DataFrame:
     """Pre- and post-match ratings and the home expectation of every match.
 
-    Rows without a score get ratings but move none.
+    Rows without a score get ratings but move none. With `only` all matches are
+    walked and those of that source are returned.
     """
-    return _walk(matches, p, era_rows, played=True).select(*MATCH_COLUMNS).withColumns({
+    return _walk(matches, p, era_rows, played=True, only=only).select(*MATCH_COLUMNS).withColumns({
         "elo_diff": F.col("elo_home") - F.col("elo_away"),
         "elo_expected_away": F.lit(1.0) - F.col("elo_expected_home"),
     })
@@ -177,12 +201,13 @@ def neutral_advantage(neutral: Column, p: EloParams = ELO) -> Column:
 
 
 def shared_walk(domestic: DataFrame, supplementary: DataFrame, p: EloParams = ELO,
-                era_rows: int = params.ERA_ROWS) -> DataFrame:
+                era_rows: int = params.ERA_ROWS, only: str | None = None) -> DataFrame:
     """One walk over both corpora; `source` tells the outputs apart, as ids may overlap.
 
     On one day domestic rows come first. Supplementary rows need both teams and both goals.
+    `only` names the source whose rows are returned; rows of both move the ratings.
     """
-    return elo_walk(both_corpora(domestic, supplementary), p, era_rows)
+    return elo_walk(both_corpora(domestic, supplementary), p, era_rows, only)
 
 
 def both_corpora(domestic: DataFrame, supplementary: DataFrame) -> DataFrame:
@@ -199,7 +224,8 @@ def both_corpora(domestic: DataFrame, supplementary: DataFrame) -> DataFrame:
     if not known:
         return both.withColumn("pool", F.lit("all"))
     pools = rating_pools(both.select(F.col("home_league").alias("league_a"), F.col("away_league").alias("league_b")))
-    out = both.join(pools.withColumnRenamed("league", "home_league"), "home_league", "left")
+    # A row per league.
+    out = both.join(F.broadcast(pools.withColumnRenamed("league", "home_league")), "home_league", "left")
     return out.withColumn("pool", F.coalesce("pool", F.lit("none")))
 
 

@@ -18,10 +18,11 @@ KNOWN_MIN = 70
 HISTORY_END = "1995-12-31"
 
 
-def rates(m: DataFrame, min_matches: int = 0) -> DataFrame:
+def rates(m: DataFrame, min_matches: int = 0, priced: DataFrame | None = None) -> DataFrame:
+    """Expected goals of the `priced` matches, by default all, from the strengths of all of `m`."""
     strengths = gl.moment_strengths(m, min_matches)
     ha = strengths.agg(F.max("home_advantage")).scalar()
-    return gl.dc_rates(m.select("match_id", "league_code", "home_team", "away_team"), strengths, ha)
+    return gl.dc_rates((m if priced is None else priced).select("match_id", "league_code", "home_team", "away_team"), strengths, ha)
 
 
 def dc_rates(spark, sf):

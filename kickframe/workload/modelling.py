@@ -129,11 +129,12 @@ def dc_fit(spark, sf):
     return tidy(out)
 
 
-def odds_scored(spark, sf):
-    """Closing-price triple against the outcome, with the score model as q_*."""
+def odds_scored(spark, sf, which="true"):
+    """Closing-price triple against the outcome, with the score model of all matches as q_*, of those that `which` holds for."""
     m = matches(spark, sf)
-    priced = gl.predict_from_odds(m).select("match_id", "league_code", "p_away", "p_draw", "p_home", feat.encoded_result().alias("label"))
-    goals = gl.goal_markets(wg.rates(m), wg.RHO).select(
+    chosen = m.where(which)
+    priced = gl.predict_from_odds(chosen).select("match_id", "league_code", "p_away", "p_draw", "p_home", feat.encoded_result().alias("label"))
+    goals = gl.goal_markets(wg.rates(m, priced=chosen), wg.RHO).select(
         "match_id", F.col("away_win").alias("q_away"), F.col("draw").alias("q_draw"), F.col("home_win").alias("q_home"))
     return priced.join(goals, "match_id")
 
@@ -159,10 +160,13 @@ def blend_sweep(spark, sf):
 
 
 def cross_scored(spark, sf):
-    """Cross-league matches: shared-walk expectation and score-model triple."""
+    """Cross-league matches: shared-walk expectation and score-model triple.
+
+    Ratings and strengths come from all matches; only cross-league ones are moved on to be priced and joined.
+    """
     dom, sup = domestic(spark, sf), wr.supplementary(spark, sf)
-    walked = rt.shared_walk(dom, sup).where("source = 'supplementary'").select("match_id", "elo_expected_home")
-    return odds_scored(spark, sf).join(walked, "match_id").select(
+    walked = rt.shared_walk(dom, sup, only="supplementary").select("match_id", "elo_expected_home")
+    return odds_scored(spark, sf, "is_cross").join(walked, "match_id").select(
         "match_id", "elo_expected_home", "q_away", "q_draw", "q_home", "label")
 
 

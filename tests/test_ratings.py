@@ -1,5 +1,7 @@
 """The era-parallel walk equals the sequential one."""
 
+from datetime import date, timedelta
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -84,3 +86,27 @@ def test_a_pool_is_a_stream_of_batches():
     rest = [r for b in out for r in b.to_pylist()]
     assert [r["elo_home"] == 1500.0 for r in rest if not r["ended"]] == [False, True, True, False]
     assert [(r["pool"], r["team"]) for r in rest if r["ended"]] == [(p, t) for p in ("x", "y", None) for t in "ab"]
+
+
+def test_one_source_of_a_shared_walk_is_the_same_rows(spark):
+    """Only the named source is written and returned, eras or not, and both sources move the ratings."""
+    schema = "match_id long, match_date date, home_team string, away_team string, fthg long, ftag long, home_league string, away_league string"
+    day = lambda i: None if i % 29 == 5 else date(2020, 1, 1) + timedelta(days=i // 3)
+    made = [(i, day(i), f"T{i % 4}", f"T{(i + 1 + i // 4 % 3) % 4}", None if i % 11 == 3 else i % 3, i % 2, "A", "A") for i in range(60)]
+    home = spark.createDataFrame(made, schema)
+    linked = spark.createDataFrame([(i, day(i), f"T{i % 4}", "X", i % 4, 1, "A", "B") for i in range(0, 60, 7)], schema)
+    for era_rows in (1000, 10):
+        every = rt.shared_walk(home, linked, era_rows=era_rows)
+        some = rt.shared_walk(home, linked, era_rows=era_rows, only="supplementary")
+        expected = rows(every.where("source = 'supplementary'"))
+        assert len(expected) == 9 and rows(some) == expected
+    assert rows(rt.shared_walk(home, linked, era_rows=10)) == rows(rt.shared_walk(home, linked))
+
+
+def test_eras_and_pools_are_found_without_moving_the_matches(spark, small):
+    """The rows meet their pool and era by broadcast: they are shuffled once to be written and no more."""
+    from kickframe.sources import synthetic as sy
+
+    out = rt.both_corpora(sy.domestic(spark, small), sy.matches(spark, small).where("is_cross"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
