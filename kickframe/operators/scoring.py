@@ -155,17 +155,36 @@ def baselines(scored: DataFrame, weight: float = CROSS.dixon_coles_weight, draw_
     return metrics_1x2(cells, ("name",))
 
 
+_CDF = np.cumsum(np.exp(-1.0) / np.array([math.factorial(k) for k in range(19)], dtype=float))  # beyond, under 2^-53
+#: The count by the first 12 bits of a hash; NaN where a step of the distribution lies between them.
+_BITS = 12
+_FIRST, _LAST = (np.searchsorted(_CDF, u) for u in (np.arange(1 << _BITS) / (1 << _BITS), (np.arange(1, (1 << _BITS) + 1) - 2.0**(_BITS - 53)) / (1 << _BITS)))
+_COUNT = np.where(_FIRST == _LAST, _FIRST, np.nan)
+
+
 def _multiplicities(ids: np.ndarray, samples: int, seed: int) -> np.ndarray:
-    """Poisson(1) counts per (row, sample), a pure function of id, sample and seed."""
+    """Poisson(1) counts per (row, sample) as doubles, a pure function of id, sample and seed."""
     with np.errstate(over="ignore"):
         x = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
         x = x + (np.arange(samples, dtype=np.uint64) + np.uint64(seed) * np.uint64(1_000_003))[None, :] * np.uint64(0xBF58476D1CE4E5B9)
+        high = np.empty_like(x)
         for shift, mult in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(mult)
-        x = x ^ (x >> np.uint64(31))
-    u = (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-    cdf = np.cumsum(np.exp(-1.0) / np.array([math.factorial(k) for k in range(19)], dtype=float))  # beyond, under 2^-53
-    return np.searchsorted(cdf, u)
+            np.right_shift(x, np.uint64(shift), out=high)
+            np.bitwise_xor(x, high, out=x)
+            np.multiply(x, np.uint64(mult), out=x)
+        np.right_shift(x, np.uint64(31), out=high)
+        np.bitwise_xor(x, high, out=x)
+    np.right_shift(x, np.uint64(64 - _BITS), out=high)
+    counts = _COUNT.take(high.view(np.int64))
+    # A few in a thousand need all bits.
+    near = np.flatnonzero(np.isnan(counts))
+    counts.ravel()[near] = np.searchsorted(_CDF, (x.ravel()[near] >> np.uint64(11)).astype(np.float64) / float(1 << 53))
+    return counts
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores: narrow ones make few files, and each is multiplied by all samples."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
 
 
 def bootstrap_interval(differences: DataFrame, samples: int = CROSS.bootstrap_samples,
@@ -178,15 +197,16 @@ def bootstrap_interval(differences: DataFrame, samples: int = CROSS.bootstrap_sa
     """
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, weight = np.zeros(samples), np.zeros(samples)
+        step = max(1, (1 << 16) // max(samples, 1))  # what a core keeps close
         for batch in batches:
             ids, diff = batch.match_id.to_numpy(), batch["diff"].to_numpy()
-            for at in range(0, len(ids), 1000):
-                counts = _multiplicities(ids[at:at + 1000], samples, seed)
-                total += diff[at:at + 1000] @ counts
+            for at in range(0, len(ids), step):
+                counts = _multiplicities(ids[at:at + step], samples, seed)
+                total += diff[at:at + step] @ counts
                 weight += counts.sum(axis=0)
         yield pd.DataFrame({"sample": np.arange(samples), "total": total, "weight": weight})
 
-    sums = differences.select("match_id", "diff").mapInPandas(partial, "sample bigint, total double, weight double")
+    sums = _spread(differences.select("match_id", "diff")).mapInPandas(partial, "sample bigint, total double, weight double")
     means = sums.groupBy("sample").agg((F.sum("total") / F.sum("weight")).alias("mean"))
     tail = (1.0 - level) / 2.0
     # One row per sample: `samples` rows.
@@ -230,7 +250,7 @@ def selection_bootstrap(scored: DataFrame, p: CrossLeagueParams = CROSS, samples
         for j in range(len(cells)):
             yield pd.DataFrame({"sample": np.arange(-1, samples), "cell": j, "total": total[:, j], "weight": weight})
 
-    sums = scored.select("match_id", "elo_expected_home", "label", *[f"q_{c}" for c in CLASSES]).mapInPandas(
+    sums = _spread(scored.select("match_id", "elo_expected_home", "label", *[f"q_{c}" for c in CLASSES])).mapInPandas(
         partial, "sample int, cell int, total double, weight double")
     means = sums.groupBy("sample", "cell").agg((F.sum("total") / F.nullif(F.sum("weight"), F.lit(0.0))).alias("mean"), F.sum("weight").alias("n"))
     last = len(cells) - 1

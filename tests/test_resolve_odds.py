@@ -6,6 +6,7 @@ from difflib import get_close_matches
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import rows
 from kickframe.operators import odds as od
 from kickframe.operators import resolve as rs
 from kickframe.operators import scoring as sc
@@ -115,3 +116,35 @@ def test_names_that_never_meet_are_not_searched(spark):
     out = rs.cross_source_check(corpus, other)
     assert [tuple(r) for r in out.collect()] == [(1, 1, "same")]
     assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bootstrap_counts_equal_the_search_over_all_bits():
+    import math
+
+    import numpy as np
+
+    ids = np.array([-3, 0, 7, 2**40 + 1])
+    with np.errstate(over="ignore"):
+        x = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+        x = x + (np.arange(50_000, dtype=np.uint64) + np.uint64(42) * np.uint64(1_000_003))[None, :] * np.uint64(0xBF58476D1CE4E5B9)
+        for shift, mult in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(mult)
+        x = x ^ (x >> np.uint64(31))
+    cdf = np.cumsum(np.exp(-1.0) / np.array([math.factorial(k) for k in range(19)], dtype=float))
+    expected = np.searchsorted(cdf, (x >> np.uint64(11)).astype(np.float64) / float(1 << 53))
+    assert (sc._multiplicities(ids, 50_000, 42) == expected).all()
+
+
+def test_bootstrap_is_spread_over_all_cores(spark):
+    """Rows of one file are multiplied by all samples in as many tasks as there are cores."""
+    df = spark.range(500).select(F.col("id").alias("match_id"), F.lit(0.5).alias("diff")).coalesce(1)
+    plan = sc.bootstrap_interval(df, samples=20)._jdf.queryExecution().optimizedPlan().toString()
+    assert f"Repartition {spark.sparkContext.defaultParallelism}, true" in plan
+
+
+def test_only_cross_league_matches_are_priced_for_their_blend(spark, small):
+    from kickframe.workload import modelling as wm
+
+    some = rows(wm.odds_scored(spark, small, "is_cross"))
+    every = rows(wm.odds_scored(spark, small).where("match_id % 10 = 0"))
+    assert some == every and some
