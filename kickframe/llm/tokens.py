@@ -21,6 +21,8 @@ from kickframe.llm.batches import claim
 _KEPT, _LONG = 500_000, 100
 #: Marks that follow a word; with a letter before them they begin a new piece in every supported rule.
 _TAILS = frozenset(".,;:!?")
+#: Between blanks, runs of these at a word's end are one piece that a letter before is never merged with, unless an added token holds them.
+_RUNS = ".,;:!?#$%&*"
 #: White space other than blank and line feed.
 _ODD = re.compile(r"[^\S \n]")
 #: White space beyond ASCII's; a tokenizer file may or may not see a border in it.
@@ -63,6 +65,9 @@ class Encoder:
         self.pieces = self.tokenizer.model.tokenize
         self.words = words
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.char = self.dtype.char
+        added = {c for t in self.tokenizer.get_added_tokens_decoder().values() for c in t.content}
+        self.runs = "".join(c for c in _RUNS if c not in added)
         self.known = _Known(self._learn)
         self.before: dict[str, bytes] = {}  # the previous generation, asked before the tokenizer
 
@@ -91,7 +96,7 @@ class Encoder:
         return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _packed(self, ids: list[int]) -> bytes:
-        return array(self.dtype.char, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
+        return array(self.char, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
 
     def _parts(self, text: str) -> list[str]:
         if self.words == "blank" and not _OTHER.search(text):
@@ -107,6 +112,13 @@ class Encoder:
     def _learn(self, word: str) -> bytes:
         """Ids of an unknown word; a mark after a letter is never merged with it, so what stands before is looked up."""
         ids = self.before.get(word)
+        if ids is None and self.words == "blank":
+            if word.isalpha():
+                return self._packed([t.id for t in self.pieces(word.lower())]) if word.isascii() else self._one(word)
+            stem = word.rstrip(self.runs)
+            if len(stem) < len(word) and stem[-1:].lower().isalpha():
+                return self.known[stem] + self.known[word[len(stem):]]
+            return self._one(word)
         if ids is None:
             if word[-1:] in _TAILS and self.words != "none" and word[-2:-1].lower().isalpha():
                 return self.known[word[:-1]] + self.known[_BARE + word[-1] if self.words == "byte" else word[-1]]

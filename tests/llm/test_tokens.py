@@ -128,3 +128,18 @@ def test_a_table_is_packed_as_tightly_as_the_bound(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), words="blank", digest=True).select("length", "sequence_id").collect()
     assert len({r.sequence_id for r in rows}) == packing.lower_bound(Counter(r.length for r in rows))
+
+
+def test_runs_of_marks_after_a_word_are_looked_up():
+    """A word followed by marks costs the tokenizer the word and the run once each, and ids equal those of the whole text."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, code, asked = Tokenizer.from_file(path), Encoder(path, "blank"), []
+    one = code._one
+    code._one = lambda word: asked.append(word) or one(word)
+    for stem in ("thor", "ciónñ", "Haus"):
+        for run in ("&&&", "$$$", ",%%%", "!!", "***", "###"):
+            code.ids([stem + run])
+    assert not [w for w in asked if w[0].isalpha() and w[-1] in "&$%!*#"]
+    for text in ("a&&& b$$$", "İ.. İ%%", "ΣΣ!! οδοσ&&", "don't!! it's..", "a1%% 1&& &&a", "x<|endoftext|> <|endoftext|>!! |>a|> y<|endoftext|", "é** é́##",
+                 "a≠ a‍.. K!!", "'s&& a's!! a'&&", "中文.. لا!!", "&&&&" * 60 + " a" + "%" * 150):
+        assert np.frombuffer(code.ids([text])[0], code.dtype).tolist() == whole.encode(text, add_special_tokens=False).ids, text
