@@ -4,8 +4,8 @@ Vectors are cut into column blocks. A task scans one block and knows only that
 block's slice of the centroids; it computes exact partial distances in 64-bit
 integers. Partial distances are added by vector, the least sum is its cluster.
 For the update the assignments meet the slices again: the blocks are bucketed by
-vector, so only the assignments (two numbers a vector) move, and every block sums
-and floors its own slice. The driver holds the centroids, nothing that grows with
+vector, so only the assignments (two numbers a vector) move, and a task sums the slices
+of all blocks in its bucket. The driver holds the centroids, nothing that grows with
 the number of vectors.
 """
 
@@ -42,9 +42,13 @@ def quantised(vectors: DataFrame, dims: int = DIMS, scale: int = SCALE) -> DataF
 
 @dataclass
 class Blocks:
-    """Column blocks of all vectors in one table, bucketed by the vector's number."""
+    """Column blocks of all vectors in one table, bucketed by the vector's number.
+
+    `files` reads the same rows without the buckets, in as many tasks as their size asks for.
+    """
 
     table: str
+    files: DataFrame
     borders: list[tuple[int, int]]
     spark: object
 
@@ -60,9 +64,10 @@ class Blocks:
         rows = numbered.select("row", "vec_id", F.explode(slices).alias("s")).select("row", "vec_id", "s.block", "s.x")
         name = f"blocks_{uuid.uuid4().hex[:12]}"
         # By the number of the bucket: each lies in one task, whatever the number of tasks.
+        path = scratch_path(spark, name)
         (rows.repartition(buckets, F.pmod(F.hash("row"), F.lit(buckets))).write.format("parquet")
-         .option("path", scratch_path(spark, name)).partitionBy("block").bucketBy(buckets, "row").sortBy("row").saveAsTable(name))
-        return cls(name, borders, spark)
+         .option("path", path).partitionBy("block").bucketBy(buckets, "row").sortBy("row").saveAsTable(name))
+        return cls(name, spark.read.schema(spark.table(name).schema).parquet(path), borders, spark)
 
     def block(self, number: int) -> DataFrame:
         return self.spark.table(self.table).where(F.col("block") == number)
@@ -86,16 +91,20 @@ def _partial(centroids: np.ndarray):
     return run
 
 
-def _sums(clusters: int, width: int):
-    """Component sums and sizes per cluster of what a task has read of one block."""
+def _sums(clusters: int, borders: list[tuple[int, int]]):
+    """Component sums and sizes per cluster of the slices that a task has read."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, size = np.zeros((clusters, width), np.int64), np.zeros(clusters, np.int64)
+        total = np.zeros((clusters, borders[-1][1]), np.int64)
+        size = np.zeros_like(total)
         for batch in batches:
-            cluster = batch.column("cluster").to_numpy()
-            np.add.at(total, cluster, _matrix(batch.column("x"), width))
-            size += np.bincount(cluster, minlength=clusters)
-        k, place = np.nonzero(np.broadcast_to(size[:, None] > 0, total.shape))
-        yield pa.RecordBatch.from_arrays([pa.array(a) for a in (k.astype(np.int32), place.astype(np.int32), total[k, place], size[k])], names=["cluster", "place", "total", "size"])
+            block, clustered = batch.column("block").to_numpy(), batch.column("cluster").to_numpy()
+            for i in np.unique(block):
+                (a, b), own = borders[i], np.flatnonzero(block == i)
+                cluster = clustered[own]
+                np.add.at(total[:, a:b], cluster, _matrix(batch.column("x").take(pa.array(own)), b - a))
+                size[:, a:b] += np.bincount(cluster, minlength=clusters)[:, None]
+        k, place = np.nonzero(size)
+        yield pa.RecordBatch.from_arrays([pa.array(a) for a in (k.astype(np.int32), place.astype(np.int32), total[k, place], size[k, place])], names=["cluster", "place", "total", "size"])
     return run
 
 
@@ -104,7 +113,8 @@ def assign(blocks: Blocks, centroids: np.ndarray) -> DataFrame:
     k = len(centroids)
     names = [f"d{j}" for j in range(k)]
     schema = "row long, vec_id long, " + ", ".join(f"{n} long" for n in names)
-    parts = [blocks.block(i).select("row", "vec_id", "x").mapInArrow(_partial(centroids[:, a:b]), schema)
+    # The sums are shuffled anyway, so the scans need no buckets.
+    parts = [blocks.files.where(F.col("block") == i).select("row", "vec_id", "x").mapInArrow(_partial(centroids[:, a:b]), schema)
              for i, (a, b) in enumerate(blocks.borders)]
     summed = functools.reduce(DataFrame.unionAll, parts).groupBy("row").agg(F.max("vec_id").alias("vec_id"), *[F.sum(n).alias(n) for n in names])
     least = F.array_min(F.array(*[F.struct(F.col(n).alias("distance"), F.lit(j).alias("cluster")) for j, n in enumerate(names)]))
@@ -112,13 +122,12 @@ def assign(blocks: Blocks, centroids: np.ndarray) -> DataFrame:
 
 
 def update(blocks: Blocks, assigned: DataFrame, centroids: np.ndarray) -> np.ndarray:
-    """Each block's slice of the new centroids: the floor of the mean; an empty cluster keeps its centroid."""
-    parts = []
-    for i, (a, b) in enumerate(blocks.borders):
-        own = blocks.block(i).select("row", "x").hint("merge").join(assigned.select("row", "cluster"), "row").select("cluster", "x")
-        part = own.mapInArrow(_sums(len(centroids), b - a), "cluster int, place int, total long, size long")
-        parts.append(part.select("cluster", (F.col("place") + a).alias("place"), "total", "size"))
-    total = functools.reduce(DataFrame.unionAll, parts).groupBy("cluster", "place").agg(F.sum("total").alias("t"), F.sum("size").alias("n"))
+    """The new centroids: the floor of the mean; an empty cluster keeps its centroid."""
+    # A task per bucket takes all its blocks: the assignments are summed and sorted once.
+    slices = blocks.spark.table(blocks.table).select("row", F.col("block").cast("int").alias("block"), "x")
+    own = slices.hint("merge").join(assigned.select("row", "cluster"), "row").select("block", "cluster", "x")
+    parts = own.mapInArrow(_sums(len(centroids), blocks.borders), "cluster int, place int, total long, size long")
+    total = parts.groupBy("cluster", "place").agg(F.sum("total").alias("t"), F.sum("size").alias("n"))
     mean = F.expr("(t - pmod(t, n)) div n")  # exact, rounded down below zero as well
     moved = centroids.copy()
     for row in total.select("cluster", "place", mean.alias("mean")).collect():  # clusters x dimensions numbers

@@ -56,6 +56,24 @@ def test_blocks_meet_assignments_without_a_shuffle(spark):
     assert plan.count("Exchange") == 1  # of the partial distances
 
 
+def test_a_round_takes_little_more_than_a_task_per_bucket(spark):
+    table = spark.range(200).selectExpr("id AS vec_id", "transform(sequence(1, 8), i -> double(i * id % 17)) AS embedding")
+    kept = clustering.quantised(table, 8)
+    sc, before = spark.sparkContext, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        blocks, first = clustering.Blocks.write(kept, 8, 4), clustering.first_centroids(kept)
+        sc.setJobGroup("a-round", "")
+        clustering.update(blocks, clustering.assign(blocks, first), first)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    status = sc.statusTracker()
+    stages = {s for job in status.getJobIdsForGroup("a-round") for s in status.getJobInfo(job).stageIds}
+    # A task per bucket sums the slices; two blocks once took two there and two for the distances.
+    assert sum(info.numCompletedTasks for info in map(status.getStageInfo, stages) if info) < 2 * 40
+
+
 def plain_terms(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
