@@ -45,3 +45,12 @@ def test_a_search_scores_draws_as_separate_validations_do(spark):
         tuned = replace(p, gbt_rounds=int(r.n_estimators), gbt_depth=2, gbt_rate=0.1, gbt_subsample=0.8, gbt_columns=1.0)
         want = tr.cross_validate(rows, ["a", "b"], tuned, names=("boosted",)).first()
         assert r.log_loss_mean == pytest.approx(want.log_loss_mean, abs=1e-9)
+
+
+def test_the_forest_keeps_node_numbers_and_grows_the_same_trees(spark):
+    ready = tr.prepare(tr.cut(tiny(spark).withColumn("c", F.rand(5))), ["a", "b", "c"])
+    forest = tr.base_models(ready.total_weight, replace(TRAINING, rf_trees=5, rf_depth=4))["forest"]
+    assert forest.getCacheNodeIds()
+    kept = forest.fit(ready.rows)
+    walked = forest.copy().setCacheNodeIds(False).fit(ready.rows)
+    assert kept.toDebugString == walked.toDebugString
