@@ -84,15 +84,17 @@ def uniform_share(max_goals: int) -> dict[str, float]:
     }
 
 
-def grid_cells(max_goals: int) -> list[tuple[int, int, str]]:
-    """(i, j, probability) of every cell in row-major order, from helper columns.
+def cell_masses(max_goals: int) -> list[str]:
+    """Unnormalised mass of every cell in row-major order, from helper columns.
 
     Written out cell by cell: each side's probabilities stay plain columns that
     are computed once, where a nested lambda would recompute them per cell.
     """
-    even = 1.0 / (max_goals + 1) ** 2
     size = range(max_goals + 1)
-    mass = {(i, j): f"_c{i}{j}" if (i, j) in LOW else f"_h{i} * _a{j}" for i in size for j in size}
-    return [
-        (i, j, f"CASE WHEN _total > 0 THEN {mass[i, j]} / _total ELSE {even}D END") for i in size for j in size
-    ]
+    return [f"_c{i}{j}" if (i, j) in LOW else f"_h{i} * _a{j}" for i in size for j in size]
+
+
+def grid_cells(max_goals: int) -> list[tuple[int, int, str]]:
+    """(i, j, probability) of every cell in row-major order, from the columns _m0, _m1, .. of its mass and _total."""
+    n = max_goals + 1
+    return [(k // n, k % n, f"CASE WHEN _total > 0 THEN _m{k} / _total ELSE {1.0 / n ** 2}D END") for k in range(n * n)]

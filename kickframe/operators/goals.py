@@ -58,11 +58,22 @@ def add(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.selectExpr("*", *[f"{sql} AS {name}" for name, sql in columns.items()])
 
 
-def _grid_columns(rates: DataFrame, rho: float, p: ScoreParams) -> DataFrame:
-    """Per-side probabilities, then the corrected cells, then the market masses."""
+def _sides(rates: DataFrame, rho: float, p: ScoreParams) -> DataFrame:
+    """Per-side probabilities, then the corrected cells."""
     out = add(rates, sg.pmf_columns("lambda_home", "lambda_away", p.max_goals))
-    out = add(out, sg.corrected_cells("lambda_home", "lambda_away", f"({rho}D)"))
-    return add(out, sg.grid_masses(p.max_goals))
+    return add(out, sg.corrected_cells("lambda_home", "lambda_away", f"({rho}D)"))
+
+
+def _cells(rates: DataFrame, rho: float, p: ScoreParams) -> DataFrame:
+    """Adds the mass of every cell, _m0, _m1, .., and their sum, _total.
+
+    The cells are columns, each used in the sum and in a probability, so that the steps stay
+    apart. Above `spark.sql.codegen.maxFields` columns a step is compiled as many small
+    functions; in one function a whole grid is too long for HotSpot, which then interprets it.
+    """
+    masses = sg.cell_masses(p.max_goals)
+    out = _sides(rates, rho, p).selectExpr(*rates.columns, *[f"{sql} AS _m{k}" for k, sql in enumerate(masses)])
+    return add(out, {"_total": " + ".join(f"_m{k}" for k in range(len(masses)))})
 
 
 def score_grid(rates: DataFrame, rho: float, p: ScoreParams = SCORES) -> DataFrame:
@@ -70,7 +81,7 @@ def score_grid(rates: DataFrame, rho: float, p: ScoreParams = SCORES) -> DataFra
     cells = ", ".join(
         f"named_struct('i', {i}, 'j', {j}, 'p', {prob})" for i, j, prob in sg.grid_cells(p.max_goals)
     )
-    return _grid_columns(rates, rho, p).selectExpr(*rates.columns, f"array({cells}) AS grid")
+    return _cells(rates, rho, p).selectExpr(*rates.columns, f"array({cells}) AS grid")
 
 
 def goal_markets(rates: DataFrame, rho: float, p: ScoreParams = SCORES) -> DataFrame:
@@ -83,7 +94,7 @@ def goal_markets(rates: DataFrame, rho: float, p: ScoreParams = SCORES) -> DataF
         "over_35": f"1.0D - {share['_u35']}", "under_25": share["_u25"],
         "btts_yes": share["_btts"], "btts_no": f"1.0D - {share['_btts']}",
     }
-    return _grid_columns(rates, rho, p).selectExpr(
+    return add(_sides(rates, rho, p), sg.grid_masses(p.max_goals)).selectExpr(
         *rates.columns, *[f"{sql} AS {name}" for name, sql in markets.items()])
 
 
@@ -98,7 +109,7 @@ def top_scorelines(rates: DataFrame, rho: float, p: ScoreParams = SCORES) -> Dat
     reach = f"filter(sequence(0, {size * size - 1}), k -> _ps[k] >= _cut)"
     best = f"slice(sort_array(transform({reach}, k -> named_struct('p', _ps[k], 'cell', k)), false), 1, {n})"
     return (
-        _grid_columns(rates, rho, p)
+        _cells(rates, rho, p)
         .selectExpr(*rates.columns, f"array({probs}) AS _ps")
         .selectExpr("*", f"sort_array(_ps, false)[{n - 1}] AS _cut")
         .selectExpr(*rates.columns, f"posexplode({best}) AS (pos, s)")

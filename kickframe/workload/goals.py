@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kickframe.operators import goals as gl
 from kickframe.operators import insights as ins
-from kickframe.params import CROSS
+from kickframe.params import CROSS, SCORES
 from kickframe.sources.synthetic import matches
 from kickframe.workload import insights as wi
 from kickframe.workload.common import big, r, sql, tidy
@@ -30,15 +30,19 @@ def dc_rates(spark, sf):
 
 
 def score_grid(spark, sf):
-    """The grid of every match, reported as moments, corner cells and its peak."""
+    """The grid of every match, reported as moments, corner cells and its peak.
+
+    Sums are written out over the cells: a lambda is interpreted, and a sum that is one builds a record per cell.
+    The lambda of the peak also keeps this step in small functions (see `gl._cells`).
+    """
     g = gl.score_grid(rates(matches(spark, sf)), RHO)
-    moments = """aggregate(grid, named_struct('m', 0D, 'h', 0D, 'a', 0D, 'x', 0D, 'top', 0D),
-        (s, c) -> named_struct('m', s.m + c.p, 'h', s.h + c.p * c.i, 'a', s.a + c.p * c.j,
-                               'x', s.x + c.p * c.i * c.j, 'top', greatest(s.top, c.p)))"""
-    out = g.selectExpr("match_id", "grid", f"{moments} AS s").selectExpr(
-        "match_id", "s.m AS mass", "s.h AS mean_home", "s.a AS mean_away", "s.x AS mean_product",
-        "grid[0].p AS p00", "grid[1].p AS p01", "grid[11].p AS p10", "grid[12].p AS p11",
-        "s.top AS peak", "size(grid) AS cells")
+    n = SCORES.max_goals + 1
+    moment = lambda of: " + ".join(["0D", *[f"grid[{k}].p{of(k // n, k % n)}" for k in range(n * n)]])
+    out = g.selectExpr(
+        "match_id", f"{moment(lambda i, j: '')} AS mass", f"{moment(lambda i, j: f' * {i}')} AS mean_home",
+        f"{moment(lambda i, j: f' * {j}')} AS mean_away", f"{moment(lambda i, j: f' * {i} * {j}')} AS mean_product",
+        "grid[0].p AS p00", "grid[1].p AS p01", f"grid[{n}].p AS p10", f"grid[{n + 1}].p AS p11",
+        "aggregate(grid, 0D, (top, c) -> greatest(top, c.p)) AS peak", "size(grid) AS cells")
     return tidy(out)
 
 

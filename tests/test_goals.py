@@ -1,5 +1,7 @@
 """Score model fit and grids."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -53,6 +55,15 @@ def test_markets_agree_with_the_grid(spark):
         assert m.over_15 >= m.over_25 >= m.over_35
 
 
+def test_no_step_of_a_grid_is_too_long_to_be_compiled(spark, capsys):
+    """HotSpot interprets methods above 8000 bytes, whatever a session's limit for generated code is."""
+    rates = spark.range(5).selectExpr("id AS match_id", "0.4D + id AS lambda_home", "1.3D AS lambda_away")
+    for out in (gl.score_grid(rates, -0.05), gl.top_scorelines(rates, -0.05)):
+        out.explain("codegen")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+        assert sizes and max(sizes) <= 8000
+
+
 def test_refusal_asks_for_history_and_enough_matches(spark):
     fixtures = spark.createDataFrame([(1, "a", "b"), (2, "a", "x"), (3, "c", "a"), (4, "d", "a")], "match_id int, home_team string, away_team string")
     known = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "team string")
