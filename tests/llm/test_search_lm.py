@@ -207,6 +207,17 @@ def test_probabilities_sum_to_one(corpus):
     assert np.allclose((10 ** follows).sum(1), 1) and np.allclose(10 ** size / trained.model.sizes.sum(), share)
 
 
+def test_every_word_seen_twice_is_exchanged(corpus):
+    """Words seen once are in the class of the unknown word, all others in an exchanged one."""
+    trained = classlm.Corpus.read(corpus)
+    trained.exchange(1)
+    model, c = trained.model, plain_counts([(r.doc_id, r.text) for r in corpus.collect()])
+    assert sorted(model.counts.tolist()) == sorted(n for w, n in c.items() if w and n > 1)
+    assert any(n == 1 for n in c.values()) and any(2 <= n < 16 for n in c.values())
+    counts, number = np.array([5, 0, 1, 2, 15]), np.array([-1, -1, -1, 0, 1])
+    assert model.class_of(counts, number).tolist() == [model.end, model.clusters, model.clusters, *model.classes[:2]]
+
+
 def test_held_out_texts_change_nothing(spark):
     rows = [(i, f"a b c d{i % 5} e{i % 3} a b") for i in range(200)]
     changed = [(d, "other words here" if held(d) else t) for d, t in rows]
